@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 #: ASCII white space, as ``bytes.split()`` and ``[\x20\x09-\x0D]`` see it.
 SPACE = " \t\n\x0b\x0c\r"
-SPACE_RE = "[\\\\x20\\\\x09-\\\\x0D]"
 TOKENIZER_FILE = "word_bpe_49k.json"
 
 

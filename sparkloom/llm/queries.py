@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, quality
+from . import common, exact_dedup, packing, quality, token_counts
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,5 +15,24 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *quality.STATS, "base_failed", "kept")
 
 
-QUERIES = {"op8_quality_rules": op8_quality_rules}
-ORACLES: dict[str, str] = {}
+def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = exact_dedup.located(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return exact_dedup.assigned(docs).select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
+
+
+OP6_SQL = """
+WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n, sha256(regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', '', 'g')) AS h FROM documents),
+g AS (SELECT *, first_value(doc_id) OVER (PARTITION BY h ORDER BY n DESC, doc_id) AS keep_id, count(*) OVER (PARTITION BY h) AS group_size FROM d)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, h AS text_sha256 FROM g
+"""
+
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(common.table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(common.table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+QUERIES = {"op3_best_fit_packing": op3_best_fit_packing, "op4_token_counts": op4_token_counts, "op6_exact_dedup": op6_exact_dedup, "op8_quality_rules": op8_quality_rules}
+ORACLES: dict[str, str] = {"op6_exact_dedup": OP6_SQL}
