@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, exact_dedup, packing, quality, token_counts
+from . import common, exact_dedup, mixing, packing, quality, token_counts
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +26,11 @@ g AS (SELECT *, first_value(doc_id) OVER (PARTITION BY h ORDER BY n DESC, doc_id
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, h AS text_sha256 FROM g
 """
 
+def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sized = mixing.word_sizes(common.table(spark, sf_dir, "documents"), "text", ["doc_id", "source"])
+    return mixing.mix(sized, ["doc_id"]).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(common.table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
@@ -34,5 +39,5 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(common.table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {"op3_best_fit_packing": op3_best_fit_packing, "op4_token_counts": op4_token_counts, "op6_exact_dedup": op6_exact_dedup, "op8_quality_rules": op8_quality_rules}
+QUERIES = {"op2_source_mixing": op2_source_mixing, "op3_best_fit_packing": op3_best_fit_packing, "op4_token_counts": op4_token_counts, "op6_exact_dedup": op6_exact_dedup, "op8_quality_rules": op8_quality_rules}
 ORACLES: dict[str, str] = {"op6_exact_dedup": OP6_SQL}
