@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, exact_dedup, minhash, mixing, packing, quality, token_counts
+from . import common, exact_dedup, html_extract, minhash, mixing, packing, quality, token_counts
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,5 +44,10 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_groups(docs, words=4).select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
 
 
-QUERIES = {"op2_source_mixing": op2_source_mixing, "op3_best_fit_packing": op3_best_fit_packing, "op4_token_counts": op4_token_counts, "op6_exact_dedup": op6_exact_dedup, "op7_minhash_near_dedup": op7_minhash_near_dedup, "op8_quality_rules": op8_quality_rules}
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = html_extract.extract(common.table(spark, sf_dir, "pages"))
+    return text.select(F.col("id").alias("page_id"), "url", "text", F.length("text").cast("bigint").alias("n_chars"))
+
+
+QUERIES = {"op2_source_mixing": op2_source_mixing, "op3_best_fit_packing": op3_best_fit_packing, "op4_token_counts": op4_token_counts, "op6_exact_dedup": op6_exact_dedup, "op7_minhash_near_dedup": op7_minhash_near_dedup, "op8_quality_rules": op8_quality_rules, "op9_html_extraction": op9_html_extraction}
 ORACLES: dict[str, str] = {"op6_exact_dedup": OP6_SQL}
