@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, exact_dedup, html_extract, minhash, mixing, packing, quality, token_counts
+from . import common, exact_dedup, html_extract, minhash, mixing, packing, quality, token_counts, warc
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,5 +49,11 @@ def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.select(F.col("id").alias("page_id"), "url", "text", F.length("text").cast("bigint").alias("n_chars"))
 
 
-QUERIES = {"op2_source_mixing": op2_source_mixing, "op3_best_fit_packing": op3_best_fit_packing, "op4_token_counts": op4_token_counts, "op6_exact_dedup": op6_exact_dedup, "op7_minhash_near_dedup": op7_minhash_near_dedup, "op8_quality_rules": op8_quality_rules, "op9_html_extraction": op9_html_extraction}
+def op10_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    derived = warc.derivatives(warc.responses(common.table(spark, sf_dir, "pages")), key="page_id")
+    kept = derived.select("page_id", "record_id", "kind", "refers_to", "target_uri", "status", "digest_ok", F.col("headers")["WARC-Payload-Digest"].alias("payload_digest"), "block_digest", "n_bytes", F.when(F.col("kind") == "conversion", F.decode("block", F.lit("UTF-8"))).alias("text"))
+    return kept
+
+
+QUERIES = {"op2_source_mixing": op2_source_mixing, "op3_best_fit_packing": op3_best_fit_packing, "op4_token_counts": op4_token_counts, "op6_exact_dedup": op6_exact_dedup, "op7_minhash_near_dedup": op7_minhash_near_dedup, "op8_quality_rules": op8_quality_rules, "op9_html_extraction": op9_html_extraction, "op10_warc_derivatives": op10_warc_derivatives}
 ORACLES: dict[str, str] = {"op6_exact_dedup": OP6_SQL}
