@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, exact_dedup, html_extract, minhash, mixing, packing, quality, token_counts, warc
+from . import common, exact_dedup, html_extract, minhash, mixing, packing, quality, token_counts, toxicity, warc
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,5 +55,12 @@ def op10_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept
 
 
-QUERIES = {"op2_source_mixing": op2_source_mixing, "op3_best_fit_packing": op3_best_fit_packing, "op4_token_counts": op4_token_counts, "op6_exact_dedup": op6_exact_dedup, "op7_minhash_near_dedup": op7_minhash_near_dedup, "op8_quality_rules": op8_quality_rules, "op9_html_extraction": op9_html_extraction, "op10_warc_derivatives": op10_warc_derivatives}
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, common.table(spark, sf_dir, "labels"))
+    held_out = common.id_bucket_column(F.col("id"), toxicity.FOLDS) == toxicity.HELD_OUT
+    return toxicity.score(docs, model).select(F.col("id").alias("doc_id"), held_out.alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
+QUERIES = {"op2_source_mixing": op2_source_mixing, "op3_best_fit_packing": op3_best_fit_packing, "op4_token_counts": op4_token_counts, "op5_toxicity": op5_toxicity, "op6_exact_dedup": op6_exact_dedup, "op7_minhash_near_dedup": op7_minhash_near_dedup, "op8_quality_rules": op8_quality_rules, "op9_html_extraction": op9_html_extraction, "op10_warc_derivatives": op10_warc_derivatives}
 ORACLES: dict[str, str] = {"op6_exact_dedup": OP6_SQL}
