@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, exact_dedup, html_extract, minhash, mixing, packing, quality, token_counts, toxicity, warc
+from . import common, exact_dedup, html_extract, lm_scoring, minhash, mixing, packing, quality, token_counts, toxicity, warc
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +26,10 @@ g AS (SELECT *, first_value(doc_id) OVER (PARTITION BY h ORDER BY n DESC, doc_id
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, h AS text_sha256 FROM g
 """
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.lm_scores(common.table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     sized = mixing.word_sizes(common.table(spark, sf_dir, "documents"), "text", ["doc_id", "source"])
     return mixing.mix(sized, ["doc_id"]).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
@@ -62,5 +66,5 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select(F.col("id").alias("doc_id"), held_out.alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
-QUERIES = {"op2_source_mixing": op2_source_mixing, "op3_best_fit_packing": op3_best_fit_packing, "op4_token_counts": op4_token_counts, "op5_toxicity": op5_toxicity, "op6_exact_dedup": op6_exact_dedup, "op7_minhash_near_dedup": op7_minhash_near_dedup, "op8_quality_rules": op8_quality_rules, "op9_html_extraction": op9_html_extraction, "op10_warc_derivatives": op10_warc_derivatives}
+QUERIES = {"op1_lm_scoring": op1_lm_scoring, "op2_source_mixing": op2_source_mixing, "op3_best_fit_packing": op3_best_fit_packing, "op4_token_counts": op4_token_counts, "op5_toxicity": op5_toxicity, "op6_exact_dedup": op6_exact_dedup, "op7_minhash_near_dedup": op7_minhash_near_dedup, "op8_quality_rules": op8_quality_rules, "op9_html_extraction": op9_html_extraction, "op10_warc_derivatives": op10_warc_derivatives}
 ORACLES: dict[str, str] = {"op6_exact_dedup": OP6_SQL}
