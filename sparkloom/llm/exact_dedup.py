@@ -49,9 +49,11 @@ def absorb(spark: SparkSession, incoming: str, state: str, max_bytes: str | None
 
     Calling it again with the same ``state`` takes only files that came since.
     """
-    held = {k: spark.conf.get(k, None) for k in ("spark.sql.streaming.stateStore.providerClass", "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled")}
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
+    store = "spark.sql.streaming.stateStore"
+    wanted = {f"{store}.providerClass": ROCKSDB, f"{store}.rocksdb.changelogCheckpointing.enabled": "true", f"{store}.rocksdb.allowFAllocate": "false"}
+    held = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
     try:
         reader = spark.readStream.schema(spark.read.parquet(incoming).schema)
         if max_bytes:
@@ -92,7 +94,7 @@ def assigned(docs: DataFrame, key: str = "doc_id", text: str = "text", digest=sh
 def collided(docs: DataFrame, state: DataFrame, text: str, digest) -> DataFrame:
     """Digests under which two different normalised texts were found, by comparing whole texts."""
     groups = state.where("seen > 1").select("digest", "best.file", "best.row", F.ceil(F.col("seen") / ROWS_PER_SALT).cast("int").alias("salts"))
-    members = docs.select(digest(normal(F.col(text))).alias("digest"), normal(F.col(text)).alias("normal"), "x_file", "x_row").join(groups, "digest")
+    members = common.stored(docs.select(digest(normal(F.col(text))).alias("digest"), normal(F.col(text)).alias("normal"), "x_file", "x_row").join(groups, "digest"), "dedup-members")
     first = members.where((F.col("x_file") == F.col("file")) & (F.col("x_row") == F.col("row"))).select("digest", F.col("normal").alias("held"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
     rest = members.select("digest", "normal", F.pmod(F.xxhash64("x_file", "x_row"), F.col("salts")).cast("int").alias("salt"))
     return common.stored(rest.join(first, ["digest", "salt"]).where(F.col("normal") != F.col("held")).select("digest").distinct(), "dedup-collided")

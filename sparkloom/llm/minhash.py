@@ -4,9 +4,9 @@ Two random permutations make the whole signature: the first scatters the shingle
 universe, the second, circularly shifted by k places, orders them for coordinate k.  Signatures are
 cut in bands; sets that agree in a band are candidates.  Before that, equal sets collapse to one
 class, so copies never meet in pairs.  Small buckets compare all their classes; in large ones every
-class meets a few pivots first, and then only those that are not yet connected to the bucket's main
-component meet the rest of it, so no link is lost and no group expands into all pairs.  A link
-counts only after the full sets were compared.
+class meets a few pivots first, and then only those that are not yet connected to the bucket's
+largest component meet the rest of it, if their sketches allow a link, so no link is lost and no
+group expands into all pairs.  A link counts only after the full sets were compared.
 """
 
 from __future__ import annotations
@@ -27,6 +27,8 @@ from .token_counts import raw
 
 UNIVERSE = 1 << 20
 BANDS, ROWS = 32, 4
+#: Coordinates of a signature; the bands use the first BANDS * ROWS of them.
+COORDINATES = 256
 WORDS = 5
 PERCENT = 80
 #: Buckets of up to so many classes compare all of them; larger ones begin with pivots.
@@ -73,16 +75,37 @@ def _permutations(seed: int, size: int) -> tuple[np.ndarray, np.ndarray]:
     return first, np.lib.stride_tricks.sliding_window_view(np.concatenate([second, second[:size]]), size)
 
 
-def signature(hashes: np.ndarray, size: int = BANDS * ROWS, seed: int = 1) -> np.ndarray:
+def signature(hashes: np.ndarray, size: int = COORDINATES, seed: int = 1) -> np.ndarray:
     """Least value of each shifted permutation over the set, which must not be empty."""
     first, shifted = _permutations(seed, size)
     at = first[(hashes & np.uint64(UNIVERSE - 1)).astype("int64")]
     return np.min([shifted[at[k : k + 20_000]].min(axis=0) for k in range(0, len(at), 20_000)], axis=0)
 
 
+def sketch(sig: np.ndarray) -> np.ndarray:
+    """The lowest two bits of every coordinate, 32 coordinates to a 64-bit number."""
+    two = (sig & 3).reshape(-1, 32).astype("uint64") << np.arange(0, 64, 2, dtype="uint64")
+    return np.bitwise_or.reduce(two, axis=1).view("int64")
+
+
+def _may_link(percent: int):
+    """Whether two sketches leave it possible that the sets are similar enough.
+
+    Unequal coordinates differ in their two bits three times out of four.  The bound lies 5.2 standard
+    deviations above the expectation at the threshold, so like banding it misses less than one in a million.
+    """
+    p = 0.75 * (1 - percent / 100)
+    most = int(COORDINATES * p + 5.2 * (COORDINATES * p * (1 - p)) ** 0.5) + 1
+    differ = F.lit(0)
+    for k in range(COORDINATES // 32):
+        x = F.get("sketch", F.lit(k)).bitwiseXOR(F.get("sketch2", F.lit(k)))
+        differ = differ + F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x5555555555555555)))
+    return differ <= most
+
+
 def bands(sig: np.ndarray, rows: int = ROWS) -> np.ndarray:
     """One 64-bit key for each band; keys of different bands differ."""
-    s = sig.reshape(-1, rows).astype("uint64")
+    s = sig[: BANDS * rows].reshape(-1, rows).astype("uint64")
     out = np.arange(1, len(s) + 1, dtype="uint64") * np.uint64(0xD6E8FEB86659FD93)
     for k in range(rows):
         out = (out ^ s[:, k]) * _MIX
@@ -94,13 +117,15 @@ def _signed(key: str, text: str, words: int):
     def run(batches):
         number = TaskContext.get().partitionId() << 33
         for b in batches:
-            n, digests, keys = [], [], []
+            n, digests, keys, sketches = [], [], [], []
             for x in raw(b.column(text)):
                 s = shingles(x, words)
                 n.append(len(s))
                 digests.append(blake2b(s.tobytes(), digest_size=16).digest())
-                keys.append(bands(signature(s)) if len(s) else np.empty(0, "int64"))
-            yield pa.RecordBatch.from_arrays([pa.array(range(number, number + len(n)), pa.int64()), b.column(key), b.column("x_file"), b.column("x_row"), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["rid", "id", "x_file", "x_row", "n", "digest", "bands"])
+                sig = signature(s) if len(s) else np.empty(0, "int32")
+                keys.append(bands(sig))
+                sketches.append(sketch(sig))
+            yield pa.RecordBatch.from_arrays([pa.array(range(number, number + len(n)), pa.int64()), b.column(key), b.column("x_file"), b.column("x_row"), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))], ["rid", "id", "x_file", "x_row", "n", "digest", "bands", "sketch"])
             number += len(n)
 
     return run
@@ -141,7 +166,7 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words:
     fewer than ``words`` words have one shingle, the whole sequence.  Of rows with the same id only
     the one first in file order is kept; null ids are never a component's id unless alone in it.
     """
-    signed = docs.select(key, text, "x_file", "x_row").mapInArrow(_signed(key, text, words), f"rid bigint, id {docs.schema[key].dataType.simpleString()}, x_file string, x_row bigint, n bigint, digest binary, bands array<bigint>")
+    signed = docs.select(key, text, "x_file", "x_row").mapInArrow(_signed(key, text, words), f"rid bigint, id {docs.schema[key].dataType.simpleString()}, x_file string, x_row bigint, n bigint, digest binary, bands array<bigint>, sketch array<bigint>")
     signed = common.stored(signed, "near-signatures")
     classes = signed.where("n > 0").groupBy("digest").agg(F.min("rid").alias("cid"))
     members = common.stored(signed.where("n > 0").select("rid", "id", "x_file", "x_row", "n", "digest").join(classes, "digest").drop("digest"), "near-members")
@@ -150,23 +175,24 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words:
     banded = signed.where("n > 0").join(heads.select("cid"), F.col("rid") == F.col("cid"), "left_semi").select(F.col("rid").alias("cid"), "n", F.explode("bands").alias("bucket"))
     shared = common.stored(banded.groupBy("bucket").agg(F.count("*").alias("held"), F.min("cid").alias("least")).where("held > 1"), "near-buckets")
     rows = common.stored(banded.join(shared, "bucket"), "near-rows")
-    small, big = rows.where(F.col("held") <= SMALL), rows.where(F.col("held") > SMALL)
+    small, large = rows.where(F.col("held") <= SMALL), rows.where(F.col("held") > SMALL)
+    big = common.stored(large.join(signed.select(F.col("rid").alias("cid"), "sketch"), "cid"), "near-big")
     other = lambda df: df.select("bucket", F.col("cid").alias("cid2"), F.col("n").alias("n2"))
     pairs = small.join(other(small), "bucket").where((F.col("cid") < F.col("cid2")) & _near_sizes(percent)).select(F.col("cid").alias("a"), F.col("cid2").alias("b"))
-    lowest = [F.min(F.struct(F.xxhash64("cid", F.lit(k)).alias("h"), F.col("cid").alias("cid2"), F.col("n").alias("n2"))).alias(f"p{k}") for k in range(PIVOTS)]
-    pivots = big.groupBy("bucket").agg(*lowest).select("bucket", F.explode(F.array(*[f"p{k}" for k in range(PIVOTS)])).alias("p")).select("bucket", "p.cid2", "p.n2").distinct()
-    starred = big.join(pivots, "bucket").where((F.col("cid") != F.col("cid2")) & _near_sizes(percent)).select(F.least("cid", "cid2").alias("a"), F.greatest("cid", "cid2").alias("b"))
+    lowest = [F.min(F.struct(F.xxhash64("cid", F.lit(k)).alias("h"), F.col("cid").alias("cid2"), F.col("n").alias("n2"), F.col("sketch").alias("sketch2"))).alias(f"p{k}") for k in range(PIVOTS)]
+    pivots = big.groupBy("bucket").agg(*lowest).select("bucket", F.explode(F.array(*[f"p{k}" for k in range(PIVOTS)])).alias("p")).select("bucket", "p.cid2", "p.n2", "p.sketch2").dropDuplicates(["bucket", "cid2"])
+    starred = big.join(pivots, "bucket").where((F.col("cid") != F.col("cid2")) & _near_sizes(percent) & _may_link(percent)).select(F.least("cid", "cid2").alias("a"), F.greatest("cid", "cid2").alias("b"))
     pairs = common.stored(pairs.unionByName(starred).distinct(), "near-pairs")
     links = _confirmed(docs, heads, pairs, text, words, percent)
     found = common.stored(components(links), "near-components")
 
     if big.head(1):
-        placed = big.join(found, F.col("cid") == F.col("node"), "left").select("bucket", "cid", "n", "least", F.coalesce("component", "cid").alias("component"))
+        placed = big.join(found, F.col("cid") == F.col("node"), "left").select("bucket", "cid", "n", "sketch", F.coalesce("component", "cid").alias("component"))
         placed = common.stored(placed, "near-placed")
-        main = placed.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("cid", F.lit(0)).alias("h"), F.col("component").alias("c"))).alias("m")).select("bucket", F.col("m.c").alias("main"))
-        late = placed.join(main, "bucket").where("component <> main").select("bucket", F.col("cid").alias("cid2"), F.col("n").alias("n2"), F.col("component").alias("component2"), "main")
+        main = placed.groupBy("bucket", "component").agg(F.count("*").alias("of")).groupBy("bucket").agg(F.max(F.struct("of", "component")).alias("m")).select("bucket", F.col("m.component").alias("main"))
+        late = placed.join(main, "bucket").where("component <> main").select("bucket", F.col("cid").alias("cid2"), F.col("n").alias("n2"), F.col("sketch").alias("sketch2"), F.col("component").alias("component2"), "main")
         if late.head(1):
-            again = placed.join(late, "bucket").where((F.col("component") != F.col("component2")) & ((F.col("component") == F.col("main")) | (F.col("cid") < F.col("cid2"))) & _near_sizes(percent))
+            again = placed.join(late, "bucket").where((F.col("component") != F.col("component2")) & ((F.col("component") == F.col("main")) | (F.col("cid") < F.col("cid2"))) & _near_sizes(percent) & _may_link(percent))
             more = common.stored(again.select(F.least("cid", "cid2").alias("a"), F.greatest("cid", "cid2").alias("b")).distinct(), "near-pairs")
             extra = _confirmed(docs, heads, more, text, words, percent)
             found = common.stored(components(links.unionByName(extra)), "near-components")

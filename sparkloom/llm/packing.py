@@ -98,8 +98,8 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", file: str = c
         for b in batches:
             arrow = b.schema.field(key).type
             full = []
-            for k, t in zip(b.column(key).to_pylist(), raw(b.column(text)), strict=True):
-                for i, (start, n, crc) in enumerate(cut(tokens.text_ids(t) + end, capacity)):
+            for k, (_, ids) in zip(b.column(key).to_pylist(), tokens.of_texts(raw(b.column(text))), strict=True):
+                for i, (start, n, crc) in enumerate(cut(b"".join(ids) + end, capacity)):
                     (full if n == capacity else items).append([(k, i, start, n, crc)])
             if full:
                 yield _bins(full, first, arrow)

@@ -9,7 +9,7 @@ stored, questions about truncation and budgets need no encoding of the text.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
@@ -20,13 +20,19 @@ from pyspark.sql import functions as F
 from . import common
 
 LIMIT = 2048
-#: Words remembered by one worker before it starts afresh, and the longest word worth remembering.
-MEMORY = 400_000
-LONGEST = 200
+#: Words remembered by one worker before it starts afresh.
+MEMORY = 800_000
+#: Marks that end a word and never share a token with letters or digits.
+MARKS = b".,;:!?"
 
 
 class WordTokens:
-    """Ids and counts of the words of a text, each distinct word encoded once."""
+    """The ids of the words of texts, each distinct word encoded once.
+
+    A word is what stands between white space.  Full stops and the like at its end form tokens of
+    their own, so they are split off; words of letters alone end in exactly one token that marks a
+    word's end, so many of them are encoded in one call and told apart by that mark.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -34,33 +40,83 @@ class WordTokens:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        vocabulary = self.library.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.ids: dict[bytes, bytes] = {}
-        self.counts: dict[bytes, int] = {}
 
     def encode(self, word: bytes) -> bytes:
         return np.asarray(self.library.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _remember(self, known: dict, word: bytes, value):
-        if len(word) <= LONGEST:
-            if len(known) >= MEMORY:
-                known.clear()
-            known[word] = value
-        return value
+    def encode_letters(self, words: list[bytes]) -> list[bytes]:
+        """The ids of words that consist of letters."""
+        out = []
+        for k in range(0, len(words), 1000):
+            part = words[k : k + 1000]
+            ids = np.asarray(self.library.encode(b" ".join(part).decode(), add_special_tokens=False).ids, "<u4")
+            at = np.flatnonzero(self.ends[ids]) + 1
+            if len(at) == len(part) and at[-1] == len(ids):
+                data, cuts = ids.tobytes(), (4 * at).tolist()
+                out += [data[a:b] for a, b in zip([0, *cuts], cuts, strict=False)]
+            else:
+                out += map(self.encode, part)
+        return out
+
+    def words(self, text: bytes) -> list[bytes]:
+        """The words, in lower case unless the text may hold special strings."""
+        return (text if b"<|" in text else text.lower()).split()
+
+    def learn(self, lists: list[list[bytes]]) -> None:
+        """Make sure that ``ids`` has every word of the lists."""
+        new = set().union(*lists) - self.ids.keys()
+        if len(self.ids) + len(new) > MEMORY:
+            self.ids.clear()
+            new = set().union(*lists)
+        parts, letters, other = {}, set(), set()
+        for w in new:
+            head = w.rstrip(MARKS)
+            if head != w and head and head.decode()[-1].isalnum():
+                parts[w] = head, w[len(head) :]
+            else:
+                parts[w] = w, b""
+            for x in filter(None, parts[w]):
+                if x not in self.ids:
+                    (letters if x.decode().isalpha() else other).add(x)
+        known = list(letters)
+        self.ids.update(zip(known, self.encode_letters(known), strict=True))
+        for x in other:
+            self.ids[x] = self.encode(x)
+        for w, (head, tail) in parts.items():
+            if tail:
+                self.ids[w] = self.ids[head] + self.ids[tail]
 
     def word_ids(self, word: bytes) -> bytes:
         got = self.ids.get(word)
-        return self._remember(self.ids, word, self.encode(word)) if got is None else got
+        return self.encode(word) if got is None else got
 
     def word_count(self, word: bytes) -> int:
-        got = self.counts.get(word)
-        return self._remember(self.counts, word, len(self.encode(word)) // 4) if got is None else got
+        return len(self.word_ids(word)) // 4
+
+    def of_texts(self, texts: list[bytes], most: int = 4 << 20) -> Iterator[tuple[bytes, list[bytes]]]:
+        """(text, ids of its words) for each text; a few MB of text are learned at a time."""
+        at = 0
+        while at < len(texts):
+            to, size = at, 0
+            while to < len(texts) and (to == at or size + len(texts[to]) <= most):
+                size += len(texts[to])
+                to += 1
+            lists = [self.words(x) for x in texts[at:to]]
+            self.learn(lists)
+            for x, words in zip(texts[at:to], lists, strict=True):
+                yield x, list(map(self.ids.__getitem__, words))
+            at = to
 
     def text_ids(self, text: bytes) -> bytes:
         """The ids of a whole text, 4 little-endian bytes each."""
-        return b"".join(map(self.word_ids, text.split()))
+        return b"".join(next(self.of_texts([text]))[1])
 
     def count(self, text: bytes) -> int:
-        return sum(map(self.word_count, text.split()))
+        return len(self.text_ids(text)) // 4
 
 
 class PrefixCounts:
@@ -74,7 +130,7 @@ class PrefixCounts:
             at = text.index(w, at) + len(w)
             ends.append(at)
         self.ends = np.asarray(ends)
-        self.sums = np.cumsum([0, *map(tokens.word_count, words)])
+        self.sums = np.cumsum([0, *map(tokens.word_count, tokens.words(text))])
 
     def at(self, n_bytes: int) -> int:
         """Tokens of the first ``n_bytes`` bytes, which must end between two characters."""
@@ -110,7 +166,7 @@ def counter(file: str, limit: int, key: str, text: str) -> Callable:
         tokens = word_tokens(file)
         for b in batches:
             rows = raw(b.column(text))
-            n = np.asarray([tokens.count(x) for x in rows], "int64")
+            n = np.asarray([sum(map(len, ids)) // 4 for _, ids in tokens.of_texts(rows)], "int64")
             fits = [len(x) if k <= limit else PrefixCounts(x, tokens).fit(limit) for x, k in zip(rows, n, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(key), pa.array([len(x) for x in rows], pa.int64()), pa.array(n), pa.array(n > limit), pa.array(fits, pa.int64())], ["id", "n_bytes", "n_tokens", "over_limit", "fit_bytes"])
 

@@ -20,3 +20,6 @@ def query(name: str, sql: str | None = None):
         return f
 
     return put
+
+
+from . import tensor_queries  # noqa: E402, F401  fills the registries
