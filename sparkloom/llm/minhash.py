@@ -4,9 +4,11 @@ Two random permutations make the whole signature: the first scatters the shingle
 universe, the second, circularly shifted by k places, orders them for coordinate k.  Signatures are
 cut in bands; sets that agree in a band are candidates.  Before that, equal sets collapse to one
 class, so copies never meet in pairs.  Small buckets compare all their classes; in large ones every
-class meets a few pivots first, and then only those that are not yet connected to the bucket's
-largest component meet the rest of it, if their sketches allow a link, so no link is lost and no
-group expands into all pairs.  A link counts only after the full sets were compared.
+class meets a few pivots first, those that share most with the bucket.  Classes that this doesn't
+connect to the bucket's largest component meet the rest only where a link is possible at all: two
+sets that are similar enough share one of their rarest shingles, within a prefix whose length follows
+from both sizes.  That filter is exact, so no link is lost and no group expands into all pairs.  A
+link counts only after the full sets were compared.
 """
 
 from __future__ import annotations
@@ -139,6 +141,14 @@ def _sets(text: str, words: int):
     return run
 
 
+def _hashed(text: str, words: int):
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("cid"), pa.array([shingles(x, words).view("int64") for x in raw(b.column(text))], pa.list_(pa.int64()))], ["cid", "hashes"])
+
+    return run
+
+
 def _verified(percent: int):
     def run(batches):
         for b in batches:
@@ -176,24 +186,26 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words:
     shared = common.stored(banded.groupBy("bucket").agg(F.count("*").alias("held"), F.min("cid").alias("least")).where("held > 1"), "near-buckets")
     rows = common.stored(banded.join(shared, "bucket"), "near-rows")
     small, large = rows.where(F.col("held") <= SMALL), rows.where(F.col("held") > SMALL)
-    big = common.stored(large.join(signed.select(F.col("rid").alias("cid"), "sketch"), "cid"), "near-big")
+    score = large.groupBy("cid").agg(F.sum("held").alias("score"))
+    big = common.stored(large.join(score, "cid").join(signed.select(F.col("rid").alias("cid"), "sketch"), "cid"), "near-big")
     other = lambda df: df.select("bucket", F.col("cid").alias("cid2"), F.col("n").alias("n2"))
     pairs = small.join(other(small), "bucket").where((F.col("cid") < F.col("cid2")) & _near_sizes(percent)).select(F.col("cid").alias("a"), F.col("cid2").alias("b"))
-    lowest = [F.min(F.struct(F.xxhash64("cid", F.lit(k)).alias("h"), F.col("cid").alias("cid2"), F.col("n").alias("n2"), F.col("sketch").alias("sketch2"))).alias(f"p{k}") for k in range(PIVOTS)]
-    pivots = big.groupBy("bucket").agg(*lowest).select("bucket", F.explode(F.array(*[f"p{k}" for k in range(PIVOTS)])).alias("p")).select("bucket", "p.cid2", "p.n2", "p.sketch2").dropDuplicates(["bucket", "cid2"])
+    rank = F.struct("score", F.col("cid").alias("cid2"), F.col("n").alias("n2"), F.col("sketch").alias("sketch2"))
+    best = [F.max(F.when(F.pmod(F.xxhash64("cid"), F.lit(PIVOTS)) == k, rank)).alias(f"p{k}") for k in range(PIVOTS)]
+    pivots = big.groupBy("bucket").agg(*best).select("bucket", F.explode(F.array(*[f"p{k}" for k in range(PIVOTS)])).alias("p")).where("p is not null").select("bucket", "p.cid2", "p.n2", "p.sketch2")
     starred = big.join(pivots, "bucket").where((F.col("cid") != F.col("cid2")) & _near_sizes(percent) & _may_link(percent)).select(F.least("cid", "cid2").alias("a"), F.greatest("cid", "cid2").alias("b"))
     pairs = common.stored(pairs.unionByName(starred).distinct(), "near-pairs")
     links = _confirmed(docs, heads, pairs, text, words, percent)
     found = common.stored(components(links), "near-components")
 
     if big.head(1):
-        placed = big.join(found, F.col("cid") == F.col("node"), "left").select("bucket", "cid", "n", "sketch", F.coalesce("component", "cid").alias("component"))
-        placed = common.stored(placed, "near-placed")
+        placed = common.stored(big.join(found, F.col("cid") == F.col("node"), "left").select("bucket", "cid", "n", F.coalesce("component", "cid").alias("component")), "near-placed")
         main = placed.groupBy("bucket", "component").agg(F.count("*").alias("of")).groupBy("bucket").agg(F.max(F.struct("of", "component")).alias("m")).select("bucket", F.col("m.component").alias("main"))
-        late = placed.join(main, "bucket").where("component <> main").select("bucket", F.col("cid").alias("cid2"), F.col("n").alias("n2"), F.col("sketch").alias("sketch2"), F.col("component").alias("component2"), "main")
+        late = common.stored(placed.join(main, "bucket").where("component <> main").select("bucket", "cid"), "near-late")
         if late.head(1):
-            again = placed.join(late, "bucket").where((F.col("component") != F.col("component2")) & ((F.col("component") == F.col("main")) | (F.col("cid") < F.col("cid2"))) & _near_sizes(percent) & _may_link(percent))
-            more = common.stored(again.select(F.least("cid", "cid2").alias("a"), F.greatest("cid", "cid2").alias("b")).distinct(), "near-pairs")
+            asked = placed.join(late.select("bucket").distinct(), "bucket", "left_semi").groupBy("cid").agg(F.first("n").alias("n"), F.first("component").alias("component"))
+            asked = asked.join(late.select("cid").distinct().withColumn("late", F.lit(True)), "cid", "left").select("cid", "n", "component", F.coalesce("late", F.lit(False)).alias("late"))
+            more = common.stored(_prefix_pairs(docs, heads, common.stored(asked, "near-asked"), text, words, percent), "near-pairs")
             extra = _confirmed(docs, heads, more, text, words, percent)
             found = common.stored(components(links.unionByName(extra)), "near-components")
 
@@ -205,6 +217,27 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words:
     return linked.unionByName(signed.where("n = 0").select("id", "x_file", "x_row", F.col("n").alias("n_shingles"), F.col("id").alias("component_id"), F.lit(True).alias("kept")))
 
 
+def _prefix_pairs(docs: DataFrame, heads: DataFrame, asked: DataFrame, text: str, words: int, percent: int) -> DataFrame:
+    """(a, b): all pairs of ``asked`` (cid, n, component, late) that may be linked, one of them late, in different components.
+
+    Sets of sizes n and m that are similar enough share at least k = percent (n + m) / (100 + percent)
+    shingles.  In any order common to both, the first n - k + 1 of one and the first m - k + 1 of the other
+    then have one in common; the rarest first makes that rare.
+    """
+    places = heads.select("cid", "x_file", "x_row").join(asked.select("cid"), "cid")
+    sets = common.stored(docs.select(text, "x_file", "x_row").join(places, ["x_file", "x_row"]).select("cid", text).mapInArrow(_hashed(text, words), "cid bigint, hashes array<bigint>"), "near-asked-sets")
+    cells = sets.select("cid", F.explode("hashes").alias("z"))
+    counted = cells.join(cells.groupBy("z").agg(F.count("*").alias("f")), "z")
+    first = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    ordered = counted.groupBy("cid").agg(F.array_sort(F.collect_list(F.struct("f", "z"))).alias("order")).join(asked, "cid")
+    posted = ordered.select("cid", "n", "component", "late", F.posexplode(F.slice("order", F.lit(1), first.cast("int"))).alias("at", "o")).where("o.f > 1")
+    posted = common.stored(posted.select(F.col("o.z").alias("z"), "cid", "n", "component", "late", "at"), "near-posted")
+    other = posted.select("z", *[F.col(c).alias(f"{c}2") for c in ("cid", "n", "component", "late", "at")])
+    least = F.ceil((F.col("n") + F.col("n2")) * percent / (100 + percent))
+    fits = (F.col("component") != F.col("component2")) & (~F.col("late2") | (F.col("cid") < F.col("cid2"))) & _near_sizes(percent) & (F.col("at") <= F.col("n") - least) & (F.col("at2") <= F.col("n2") - least)
+    return posted.where("late").join(other, "z").where(fits).select(F.least("cid", "cid2").alias("a"), F.greatest("cid", "cid2").alias("b")).distinct()
+
+
 def _confirmed(docs: DataFrame, heads: DataFrame, pairs: DataFrame, text: str, words: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
     wanted = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct()

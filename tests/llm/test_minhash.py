@@ -77,3 +77,17 @@ def test_empty_and_repeated_rows(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id bigint, text string, n bigint").write.parquet(f"{tmp_path}/r")
     out = minhash.near_dedup(spark.read.parquet(f"{tmp_path}/r"))
     assert out.columns == ["doc_id", "text", "n"] and sorted(x.doc_id for x in out.collect()) == [1, 2, 2]
+
+
+def test_prefix_filter_loses_no_link(spark, tmp_path):
+    r = random.Random(3)
+    rows = list(enumerate(near_copies(r, 25, 6)))
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/p")
+    docs = exact_dedup.located(spark.read.parquet(f"{tmp_path}/p"))
+    sets = {k: shingle_set(t, 4) for k, t in rows}
+    size = spark.createDataFrame([(k, len(s)) for k, s in sets.items()], "doc_id bigint, n bigint")
+    heads = docs.join(size, "doc_id").selectExpr("doc_id AS cid", "x_file", "x_row", "n")
+    asked = heads.selectExpr("cid", "n", "cid AS component", "cid % 3 = 0 AS late")
+    got = {(x.a, x.b) for x in minhash._prefix_pairs(docs, heads, asked, "text", 4, 80).collect()}
+    links = {(a, b) for b, y in sets.items() for a, x in sets.items() if a < b and (a % 3 == 0 or b % 3 == 0) and 100 * len(x & y) >= 80 * len(x | y)}
+    assert links and links <= got
