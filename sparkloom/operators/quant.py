@@ -75,7 +75,7 @@ def unpack(packed: DataFrame, bits: int, group: int) -> DataFrame:
         at = i * bits
         word = F.floor(at / 32).cast("int")
         low = F.floor(F.get("words", word) / F.pow(F.lit(2.0), at % 32)).cast("bigint")
-        high = F.coalesce(F.get("words", word + 1), F.lit(0)) * F.pow(F.lit(2.0), F.lit(32) - at % 32)
+        high = (F.coalesce(F.get("words", word + 1), F.lit(0)) % F.lit(2**bits)) * F.pow(F.lit(2.0), F.lit(32) - at % 32)
         return ((low + high.cast("bigint")) % F.lit(2**bits)).cast("int")
 
     return packed.select("row", "grp", F.transform(F.sequence(F.lit(0), F.lit(group - 1)), code).alias("codes"))

@@ -254,9 +254,15 @@ def reorder_grouped_heads(inputs, args, dims):
     return _by_blocks(inputs[0], k, block, lambda j: (j % per) * ratio + F.floor(j / per).cast("bigint"), lambda i: (i % ratio) * per + F.floor(i / ratio).cast("bigint"))
 
 
+#: Names of the dimensions that give the head geometry where a step doesn't.
+HEAD_DIMS = {"heads": "linear_num_value_heads", "k_heads": "linear_num_key_heads", "block": "linear_value_head_dim"}
+
+
 def _heads(args, dims) -> dict:
     def value(name):
-        v = args[name]
+        v = args.get(name, HEAD_DIMS[name])
+        if v is None and name == "k_heads":
+            return value("heads")
         if isinstance(v, str):
             if v not in dims:
                 raise PlanError(f"unknown dimension {v}")

@@ -43,7 +43,7 @@ def tensor_neg_exp(spark, sf_dir):
     return t.df.select("row", F.posexplode("values").alias("col", "v")).select("row", F.col("col").cast("bigint"), F.round((-F.col("v")).cast("double"), 6).alias("neg"), F.round(F.exp(F.col("v").cast("double")), 5).alias("exp"))
 
 
-@query("q_tensor_log_guarded", cells_sql("CASE WHEN v > 0 THEN round(ln(v::DOUBLE), 4) WHEN v = 0 THEN -1e308 ELSE -1e307 END"))
+@query("q_tensor_log_guarded", cells_sql("CASE WHEN v > 0 THEN round(ln(v::DOUBLE)::FLOAT::DOUBLE, 4) WHEN v = 0 THEN -1e308 ELSE -1e307 END"))
 def tensor_log(spark, sf_dir):
     long = registry.apply("log", [embeddings(spark, sf_dir)]).long()
     v = F.col("value")
@@ -138,7 +138,7 @@ def tensor_v_heads(spark, sf_dir):
     return registry.apply("qwen35_v_head_unpermute", [embeddings(spark, sf_dir, 496)], {"heads": "n_heads", "k_heads": 62, "block": 2}, {"n_heads": 248}).long()
 
 
-@query("q_tensor_decay_parameter", cells_sql("CASE WHEN -v > 0 THEN round(ln((-v)::DOUBLE), 4) ELSE 0 END", where="WHERE r < 496", row="(((r // 2) % 124) * 2 + (r // 2) // 124) * 2 + r % 2"))
+@query("q_tensor_decay_parameter", cells_sql("CASE WHEN -v > 0 THEN round(ln((-v)::DOUBLE)::FLOAT::DOUBLE, 4) ELSE 0 END", where="WHERE r < 496", row="(((r // 2) % 124) * 2 + (r // 2) // 124) * 2 + r % 2"))
 def tensor_decay(spark, sf_dir):
     t = embeddings(spark, sf_dir, 496)
     for op, args in (("reorder_grouped_heads", {"axis": 0, "block": 2, "ratio": 2}), ("neg", {}), ("log", {})):
