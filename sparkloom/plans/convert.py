@@ -8,7 +8,7 @@ the only exchange is the one that brings a shard's rows together to be written.
 from __future__ import annotations
 
 import json
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 from math import prod
 from typing import Any
@@ -27,6 +27,8 @@ from .resolve import Resolver
 from .selection import Decision
 
 MODE = "affine"
+#: Gives (name, row, values) of the named tensors.
+Model = Callable[[list[str]], DataFrame]
 OUT = "key string, dtype string, row bigint, data binary"
 
 
@@ -70,12 +72,12 @@ def stacks(plan: Plan) -> dict[tuple, list[Job]]:
     return out
 
 
-def transformed(plan: Plan, model: DataFrame, jobs: list[Job]) -> TensorFrame:
-    """The pipeline's result for jobs of one stack, in their order. ``model``: (name, row, values)."""
+def transformed(plan: Plan, model: Model, jobs: list[Job]) -> TensorFrame:
+    """The pipeline's result for jobs of one stack, in their order."""
     names = [j.source for j in jobs]
     rows = prod(jobs[0].source_shape[:-1])
     place = F.element_at(F.create_map(*[x for k, n in enumerate(names) for x in (F.lit(n), F.lit(k).cast("bigint"))]), F.col("name"))
-    read = model.where(F.col("name").isin(names)).select((place * rows + F.col("row")).alias("row"), "values")
+    read = model(names).select((place * rows + F.col("row")).alias("row"), "values")
     return run_steps(jobs[0], TensorFrame(read, (len(names), *jobs[0].source_shape)), plan.dims)
 
 
@@ -101,13 +103,17 @@ def _written(rows: DataFrame, kind: str) -> DataFrame:
     return rows.select("key", "row", "values").mapInArrow(_bytes(kind), OUT)
 
 
+def _field(name: str):
+    return lambda g: g[name]
+
+
 def _keys(names: list[str], per: int) -> tuple:
     """(key, row) columns for rows numbered through a stack."""
     at = (F.floor(F.col("row") / per) + 1).cast("int")
     return F.element_at(F.array(*[F.lit(n) for n in names]), at).alias("key"), (F.col("row") % per).cast("bigint").alias("row")
 
 
-def outputs(plan: Plan, model: DataFrame, decision: Decision, group: int = 64, check: bool = True) -> tuple[list[sharded.Entry], DataFrame]:
+def outputs(plan: Plan, model: Model, decision: Decision, group: int = 64, check: bool = True) -> tuple[list[sharded.Entry], DataFrame]:
     """What the output holds, in order, and its rows (key, dtype, row, data)."""
     layout: dict[str, list[sharded.Entry]] = {}
     parts: list[DataFrame] = []
@@ -126,7 +132,7 @@ def outputs(plan: Plan, model: DataFrame, decision: Decision, group: int = 64, c
             small = q.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("grp", "scale", "bias"))).alias("g"))
             for name, tail in (("scale", "scales"), ("bias", "biases")):
                 key, row = _keys([f"{module_of(d)}.{tail}" for d in dests], per)
-                parts.append(_written(small.select(key, row, F.transform("g", lambda g, n=name: g[n]).alias("values")), "F16"))
+                parts.append(_written(small.select(key, row, F.transform("g", _field(name)).alias("values")), "F16"))
             for d in dests:
                 s, b = companions(d)
                 layout[d] = [sharded.Entry(d, "U32", (*lead, inner * bits // 32)), sharded.Entry(s, "F16", (*lead, inner // size)), sharded.Entry(b, "F16", (*lead, inner // size))]
@@ -195,7 +201,7 @@ class Report:
         return json.dumps({"output_bytes": self.output_bytes, "n_tensors": self.tensors, "n_shards": self.shards, "bits": self.decision.record(), "dims": dict(self.dims), "overridden": list(self.overridden)}, indent=2)
 
 
-def convert(spark: SparkSession, plan: Plan, model: DataFrame, target: str, decision: Decision, group: int = 64, tokenizer: str | None = None, overwrite: bool = False, check: bool = True) -> Report:
+def convert(spark: SparkSession, plan: Plan, model: Model, target: str, decision: Decision, group: int = 64, tokenizer: str | None = None, overwrite: bool = False, check: bool = True) -> Report:
     """Write the plan's output to a folder, which appears whole or not at all."""
     most = plan.config.output.max_shard_bytes
     config, overridden = output_config(plan, plan.resolver, decision, group)

@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 
 from ..errors import VerifyError
 from ..sources import files, safetensors
-from .convert import quantization_record, stacks, transformed, unpacked
+from .convert import Model, quantization_record, stacks, transformed, unpacked
 from .planner import Plan, companions, module_of
 
 # The least tolerance by bit width, of which a fifth counts.
@@ -128,7 +128,7 @@ class Report:
         return not self.failures
 
 
-def verify(spark: SparkSession, plan: Plan, model: DataFrame, folder: str, bits: int | None = None, group: int | None = None, mode: str | None = None, tol: float | None = None, sample: bool = False, finite: bool = True) -> Report:
+def verify(spark: SparkSession, plan: Plan, model: Model, folder: str, bits: int | None = None, group: int | None = None, mode: str | None = None, tol: float | None = None, sample: bool = False, finite: bool = True) -> Report:
     """All checks of a written folder; only settings that contradict its record raise."""
     failures: list[str] = []
     index, held = safetensors.index_frame(spark, folder), safetensors.keys_frame(spark, folder).cache()
@@ -146,7 +146,7 @@ def verify(spark: SparkSession, plan: Plan, model: DataFrame, folder: str, bits:
     jobs = spark.createDataFrame([(j.dest, bool(q) and j.quantize, list(j.out_shape), *of.get(module_of(j.dest), (None, None))) for j in plan.jobs], "dest string, quantize boolean, out_shape array<bigint>, bits int, group_size int")
     failures += [f"{r.dest}: {r.failure}" for r in structure(jobs, held).orderBy("dest").collect()]
 
-    rows, expected = safetensors.read(spark, folder), None
+    read, expected = (lambda keys: safetensors.read(spark, folder, keys)), None
     for group_jobs in stacks(plan).values():
         wanted = [j for j in group_jobs if j.dest in numeric]
         if wanted:
@@ -159,9 +159,9 @@ def verify(spark: SparkSession, plan: Plan, model: DataFrame, folder: str, bits:
     if expected is not None:
         packed = {module_of(j.dest): of[module_of(j.dest)] for j in plan.jobs if q and j.quantize and j.dest in numeric}
         plain = [j.dest for j in plan.jobs if j.dest in numeric and module_of(j.dest) not in packed]
-        got = safetensors.as_numbers(rows.where(F.col("key").isin(plain))).select("key", "row", "values")
+        got = safetensors.as_numbers(read(plain)).select("key", "row", "values")
         if packed:
-            got = got.unionByName(unpacked(rows.where(F.col("key").isin([k for m in packed for k in (f"{m}.weight", m, *companions(m))])), packed))
+            got = got.unionByName(unpacked(read([k for m in packed for k in (f"{m}.weight", m, *companions(m))]), packed))
         judged = difference(expected, got).join(jobs.select(F.col("dest").alias("key"), "bits", "quantize"), "key", "left")
         limit = F.when(F.col("quantize"), tolerance(F.col("bits"), F.col("least"), F.col("most"), tol)).otherwise(F.lit(PLAIN_TOLERANCE if q or tol is not None else 1e-3) if tol is None else F.lit(float(tol)))
         for r in judged.withColumn("tol", limit).orderBy("key").collect():
@@ -172,7 +172,7 @@ def verify(spark: SparkSession, plan: Plan, model: DataFrame, folder: str, bits:
             else:
                 details.append(f"{r.key}: within {r.tol:g} ({r.max_diff:.6g})")
     if finite:
-        floats = safetensors.as_numbers(rows.where(F.col("dtype").isin("F16", "F32", "F64", "BF16")))
+        floats = safetensors.as_numbers(read([s.key for s in safetensors.stored(folder) if s.dtype in ("F16", "F32", "F64", "BF16")]))
         failures += [f"{r.key}: values that aren't finite" for r in not_finite(floats).orderBy("key").collect()]
     held.unpersist()
     return Report(len(numeric), len(plan.jobs), len(has) if finite else 0, tuple(failures), tuple(details))

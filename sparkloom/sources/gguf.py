@@ -1,20 +1,22 @@
 """Model files in GGUF layout as a Spark data source.
 
 ``spark.read.format("gguf").load(path)`` gives (name, row, values): a partition per tensor and range of
-rows, decoded where it is read.  Filters on ``name`` and ``row`` prune partitions before anything is
-read.  The header alone (metadata and the table of tensors) is read on the driver.
+rows, decoded where it is read.  The options ``names``, ``lo`` and ``hi`` leave out partitions before
+anything is read.  The header alone (metadata and the table of tensors) is read on the driver.
 """
 
 from __future__ import annotations
 
+import json
 import struct
+from collections.abc import Sequence
 from dataclasses import dataclass
 from math import prod
 from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThanOrEqual, In, InputPartition, LessThan
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..errors import SourceError
 from . import blocks, files
@@ -166,27 +168,18 @@ class _Range(InputPartition):
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, path: str):
-        self.path, self.names, self.lo, self.hi = path, None, 0, None
-
-    def pushFilters(self, filters):
-        for f in filters:
-            if isinstance(f, EqualTo) and f.attribute == ("name",):
-                self.names = {f.value} if self.names is None else self.names & {f.value}
-            elif isinstance(f, In) and f.attribute == ("name",):
-                self.names = set(f.value) if self.names is None else self.names & set(f.value)
-            elif isinstance(f, GreaterThanOrEqual) and f.attribute == ("row",):
-                self.lo = max(self.lo, f.value)
-            elif isinstance(f, LessThan) and f.attribute == ("row",):
-                self.hi = f.value if self.hi is None else min(self.hi, f.value)
-            else:
-                yield f
+    """Tensors and rows to read come as options: filters pushed to scans of one table would be shared by all of them."""
+
+    def __init__(self, options):
+        self.path, names = options["path"], options.get("names")
+        self.names = None if names is None else set(json.loads(names))
+        self.lo, self.hi = int(options.get("lo", 0)), int(options.get("hi", -1))
 
     def partitions(self):
         out = []
         for t in read_header(self.path).tensors:
             if self.names is None or t.name in self.names:
-                hi = t.rows if self.hi is None else min(self.hi, t.rows)
+                hi = t.rows if self.hi < 0 else min(self.hi, t.rows)
                 out += [_Range(self.path, t, self.lo + a, self.lo + b) for a, b in files.splits(max(0, hi - self.lo), t.row_bytes)]
         return out
 
@@ -209,26 +202,39 @@ class GGUFSource(DataSource):
         return ROWS
 
     def reader(self, schema):
-        return _Reader(self.options["path"])
+        return _Reader(self.options)
+
+
+@dataclass(frozen=True)
+class Model:
+    """A model file: called with names of tensors (or none for all), it gives (name, row, values)."""
+
+    spark: SparkSession
+    header: Header
+
+    def __call__(self, names: Sequence[str] | None = None, lo: int = 0, hi: int | None = None) -> DataFrame:
+        reader = self.spark.read.format("gguf").option("lo", lo).option("hi", -1 if hi is None else hi)
+        if names is not None:
+            reader = reader.option("names", json.dumps(list(names)))
+        return reader.load(self.header.path)
 
 
-def open_model(spark: SparkSession, path: str) -> tuple[Header, DataFrame]:
-    """The header and (name, row, values) of all tensors."""
+def open_model(spark: SparkSession, path: str) -> Model:
+    """The header is read at once, tensors when they are asked for."""
     spark.dataSource.register(GGUFSource)
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    return read_header(path), spark.read.format("gguf").load(path)
+    return Model(spark, read_header(path))
 
 
-def read_rows(model: DataFrame, name: str, lo: int, hi: int) -> DataFrame:
+def read_rows(model: Model, name: str, lo: int, hi: int) -> DataFrame:
     """Rows lo to hi - 1 of a tensor; nothing else is read."""
-    return model.where((model["name"] == name) & (model["row"] >= lo) & (model["row"] < hi))
+    return model([name], lo, hi)
 
 
-def read_matrix(model: DataFrame, name: str) -> DataFrame:
-    return model.where(model["name"] == name)
+def read_matrix(model: Model, name: str) -> DataFrame:
+    return model([name])
 
 
-def read_vector(header: Header, model: DataFrame, name: str) -> DataFrame:
-    if len(header.shapes()[name]) != 1:
+def read_vector(model: Model, name: str) -> DataFrame:
+    if len(model.header.shapes()[name]) != 1:
         raise SourceError(f"{name!r} is no vector")
-    return read_matrix(model, name)
+    return model([name])

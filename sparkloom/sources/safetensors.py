@@ -7,14 +7,14 @@ from __future__ import annotations
 
 import json
 import struct
+from collections.abc import Sequence
 from dataclasses import dataclass
 from math import prod
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, In, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..errors import SourceError, VerifyError
 from . import files
@@ -100,16 +100,9 @@ class _Range(InputPartition):
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, folder: str):
-        self.folder, self.keys = folder, None
-
-    def pushFilters(self, filters):
-        for f in filters:
-            if isinstance(f, (EqualTo, In)) and f.attribute == ("key",):
-                wanted = set(f.value) if isinstance(f, In) else {f.value}
-                self.keys = wanted if self.keys is None else self.keys & wanted
-            else:
-                yield f
+    def __init__(self, options):
+        self.folder, keys = options["path"], options.get("keys")
+        self.keys = None if keys is None else set(json.loads(keys))
 
     def partitions(self):
         return [_Range(f"{self.folder.rstrip('/')}/{t.shard}", t, a, b) for t in stored(self.folder) if self.keys is None or t.key in self.keys for a, b in files.splits(t.rows, t.row_bytes)]
@@ -132,14 +125,14 @@ class SafetensorsSource(DataSource):
         return "key string, dtype string, row bigint, data binary"
 
     def reader(self, schema):
-        return _Reader(self.options["path"])
+        return _Reader(self.options)
 
 
-def read(spark: SparkSession, folder: str) -> DataFrame:
-    """(key, dtype, row, data)."""
+def read(spark: SparkSession, folder: str, keys: Sequence[str] | None = None) -> DataFrame:
+    """(key, dtype, row, data) of all tensors or of those named; nothing else is read."""
     spark.dataSource.register(SafetensorsSource)
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    return spark.read.format("safetensors").load(folder)
+    reader = spark.read.format("safetensors")
+    return (reader if keys is None else reader.option("keys", json.dumps(list(keys)))).load(folder)
 
 
 def as_numbers(rows: DataFrame) -> DataFrame:
@@ -156,8 +149,8 @@ def as_numbers(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "key string, dtype string, row bigint, values array<double>")
 
 
-def tensor(rows: DataFrame, folder: str, key: str) -> DataFrame:
+def tensor(spark: SparkSession, folder: str, key: str) -> DataFrame:
     """One tensor; a key that isn't there is an error."""
     if key not in {s.key for s in stored(folder)}:
         raise VerifyError(f"{folder} has no tensor {key!r}")
-    return rows.where(F.col("key") == key)
+    return read(spark, folder, [key])
