@@ -55,7 +55,7 @@ def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     derived = warc.derivatives(warc.responses(common.table(spark, sf_dir, "pages")), key="page_id")
-    kept = derived.select("page_id", "record_id", "kind", "refers_to", "target_uri", "status", "digest_ok", F.col("headers")["WARC-Payload-Digest"].alias("payload_digest"), "block_digest", "n_bytes", F.when(F.col("kind") == "conversion", F.decode("block", F.lit("UTF-8"))).alias("text"))
+    kept = derived.select("page_id", "record_id", "kind", "refers_to", "target_uri", "status", "digest_ok", F.col("headers")["WARC-Payload-Digest"].alias("payload_digest"), "block_digest", "n_bytes", F.when(F.col("kind") == "conversion", F.decode("block", "UTF-8")).alias("text"))
     return kept
 
 
