@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +28,47 @@ g AS (SELECT *, first_value(doc_id) OVER (PARTITION BY h ORDER BY n DESC, doc_id
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, h AS text_sha256 FROM g
 """
 
+
+WORDS_SQL = "list_filter(regexp_split_to_array({0}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
+
+OP7_SQL = f"""
+WITH RECURSIVE w AS (SELECT doc_id, {WORDS_SQL.format("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS shingle FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL),
+e AS (SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * c >= {minhash.PERCENT} * (nx.n + ny.n - c)),
+both_ways AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
+r(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, y FROM r JOIN both_ways ON r.b = x),
+c AS (SELECT a, min(b) AS component_id FROM r GROUP BY a)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM documents LEFT JOIN n USING (doc_id) JOIN c ON a = doc_id
+"""
+
+
+def op8_sql() -> str:
+    """Counts by windows of words, the sketch by ranks of log bins, limits with the fallbacks of small groups."""
+    gamma = (1 + quality.ACCURACY) / (1 - quality.ACCURACY)
+    ranked = lambda keys, tag: f"{tag} AS (SELECT {keys}rate, max(total) AS total, min(bin) FILTER (100 * k >= 50 * total) AS b50, min(bin) FILTER (100 * k >= 90 * total) AS b90 FROM (SELECT *, row_number() OVER (PARTITION BY {keys}rate ORDER BY bin) AS k, count(*) OVER (PARTITION BY {keys}rate) AS total FROM b) GROUP BY {keys}rate)"
+    pick = lambda x: f"CASE WHEN o.total >= {quality.MIN_GROUP} THEN o.{x} WHEN l.total >= {quality.MIN_GROUP} THEN l.{x} ELSE a.{x} END"
+    rates = ", ".join(f"('{r}', {c}, {slack})" for r, (c, slack) in quality.RATES.items())
+    return f"""
+WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS t, {WORDS_SQL.format("coalesce(text, '')")} AS w FROM documents),
+g AS (SELECT doc_id, unnest(range(1, len(w) - 3)) AS p, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS g FROM d WHERE len(w) >= 5),
+twice AS (SELECT doc_id, p FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
+r AS (SELECT doc_id, sum(fresh)::BIGINT AS n_repeat_words FROM (SELECT doc_id, least(5, coalesce(p - lag(p) OVER (PARTITION BY doc_id ORDER BY p), 5)) AS fresh FROM twice) GROUP BY doc_id),
+c AS (SELECT doc_id, lang, source, len(w)::BIGINT AS n_words, length(regexp_replace(t, '[\\x20\\x09-\\x0D]+', '', 'g'))::BIGINT AS word_chars, (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+ len(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')))::BIGINT - len(list_distinct(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]'))))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words FROM d LEFT JOIN r USING (doc_id)),
+f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM c),
+v AS (SELECT f.doc_id, lang, source, base_failed, x.rate, 1000 * x.n // greatest(n_words, 1) AS v, x.slack FROM f, LATERAL (VALUES {rates}) x(rate, n, slack)),
+b AS (SELECT lang, source, rate, CASE WHEN v <= 0 THEN -1 ELSE ceil(ln(v::DOUBLE) / {math.log(gamma)!r})::INTEGER END AS bin FROM v WHERE NOT base_failed),
+{ranked("lang, source, ", "o")},
+{ranked("lang, ", "l")},
+{ranked("", "a")},
+q AS (SELECT o.lang, o.source, o.rate, CASE WHEN {pick("b50")} < 0 THEN 0.0 ELSE pow({gamma!r}, {pick("b50")}) END AS mid, CASE WHEN {pick("b90")} < 0 THEN 0.0 ELSE pow({gamma!r}, {pick("b90")}) END AS high FROM o LEFT JOIN l ON o.lang IS NOT DISTINCT FROM l.lang AND o.rate = l.rate LEFT JOIN a ON o.rate = a.rate),
+over AS (SELECT v.doc_id, bool_or(v.v > coalesce(mid + {quality.SPREAD} * (high - mid) + v.slack, 'inf'::DOUBLE)) AS over FROM v LEFT JOIN q ON v.lang IS NOT DISTINCT FROM q.lang AND v.source IS NOT DISTINCT FROM q.source AND v.rate = q.rate GROUP BY v.doc_id)
+SELECT f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT over AS kept FROM f JOIN over USING (doc_id)
+"""
+
+
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.lm_scores(common.table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
@@ -67,4 +110,4 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_lm_scoring": op1_lm_scoring, "op2_source_mixing": op2_source_mixing, "op3_best_fit_packing": op3_best_fit_packing, "op4_token_counts": op4_token_counts, "op5_toxicity": op5_toxicity, "op6_exact_dedup": op6_exact_dedup, "op7_minhash_near_dedup": op7_minhash_near_dedup, "op8_quality_rules": op8_quality_rules, "op9_html_extraction": op9_html_extraction, "op10_warc_derivatives": op10_warc_derivatives}
-ORACLES: dict[str, str] = {"op6_exact_dedup": OP6_SQL}
+ORACLES: dict[str, str] = {"op6_exact_dedup": OP6_SQL, "op7_minhash_near_dedup": OP7_SQL, "op8_quality_rules": op8_sql()}
