@@ -12,7 +12,7 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
-from . import config
+from . import architectures, config
 from .errors import LoomError
 from .operators import registry
 from .operators.quant import BITS, GROUPS
@@ -107,8 +107,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             for name in registry.all_ops():
                 print(f"{name} ({registry.get_op(name).kind})")
         elif args.command == "list-configs":
-            for name, path in config.discover(args.configs).items():
-                print(f"{name}: {path}")
+            found = {k: "built in" for k in architectures.BUILT_IN} | {k: str(p) for k, p in config.discover(args.configs).items()}
+            for name, where in found.items():
+                print(f"{name}: {where}")
         elif args.command == "validate-config":
             c = config.resolve_config(args.configs, args.config)
             print(f"{c.id}: {len(c.rules)} rules, {len(c.dims)} dimensions")

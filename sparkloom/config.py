@@ -319,15 +319,18 @@ def discover(folders: list[str | Path]) -> dict[str, Path]:
 
 
 def resolve_config(folders: list[str | Path], name: str | None = None, arch: str | None = None) -> Config:
-    """By path, by name, or the only one that accepts the architecture identifier."""
-    known = discover(folders)
+    """By name, by path, or the only one that accepts the architecture identifier; files come before what is built in."""
+    from .architectures import BUILT_IN
+
+    known: dict[str, Callable[[], Config]] = {k: lambda f=f: parse(f(), k) for k, f in BUILT_IN.items()}
+    known |= {k: lambda p=p: load(p) for k, p in discover(folders).items()}
     if name is not None:
         if name in known:
-            return load(known[name])
+            return known[name]()
         if Path(name).is_file():
             return load(name)
         raise ConfigError(f"no configuration is called {name!r}; there are {sorted(known)}")
-    fits = [c for c in map(load, known.values()) if c.accepted is not None and c.accepts(arch)]
+    fits = [c for c in (get() for get in known.values()) if c.accepted is not None and c.accepts(arch)]
     if len(fits) != 1:
         raise ConfigError(f"{len(fits)} configurations accept the architecture {arch!r}")
     return fits[0]
