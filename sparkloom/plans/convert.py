@@ -8,6 +8,8 @@ the only exchange is the one that brings a shard's rows together to be written.
 from __future__ import annotations
 
 import json
+import resource
+import time
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 from math import prod
@@ -196,14 +198,16 @@ class Report:
     decision: Decision
     dims: Mapping[str, Any]
     overridden: tuple[str, ...]
+    elapsed_s: float
+    peak_rss_gib: float
 
     def json(self) -> str:
-        return json.dumps({"output_bytes": self.output_bytes, "n_tensors": self.tensors, "n_shards": self.shards, "bits": self.decision.record(), "dims": dict(self.dims), "overridden": list(self.overridden)}, indent=2)
+        return json.dumps({"output_bytes": self.output_bytes, "n_tensors": self.tensors, "n_shards": self.shards, "bits": self.decision.record(), "dims": dict(self.dims), "overridden": list(self.overridden), "elapsed_s": round(self.elapsed_s, 2), "peak_rss_gib": round(self.peak_rss_gib, 3)}, indent=2)
 
 
 def convert(spark: SparkSession, plan: Plan, model: Model, target: str, decision: Decision, group: int = 64, tokenizer: str | None = None, overwrite: bool = False, check: bool = True) -> Report:
     """Write the plan's output to a folder, which appears whole or not at all."""
-    most = plan.config.output.max_shard_bytes
+    most, began = plan.config.output.max_shard_bytes, time.monotonic()
     config, overridden = output_config(plan, plan.resolver, decision, group)
     entries, rows = outputs(plan, model, decision, group, check)
     for j in plan.jobs:
@@ -217,7 +221,7 @@ def convert(spark: SparkSession, plan: Plan, model: Model, target: str, decision
         if tokenizer is not None:
             sharded.copy_files(tokenizer, folder, plan.config.output.tokenizer_files)
             sharded.check_tokenizer(folder)
-    return Report(index["metadata"]["total_size"], len(plan.jobs), len(set(index["weight_map"].values())), decision, plan.dims, tuple(overridden))
+    return Report(index["metadata"]["total_size"], len(plan.jobs), len(set(index["weight_map"].values())), decision, plan.dims, tuple(overridden), time.monotonic() - began, resource.getrusage(resource.RUSAGE_SELF).ru_maxrss / 2**20)
 
 
 def unpacked(rows: DataFrame, settings: Mapping[str, tuple[int, int]]) -> DataFrame:

@@ -108,6 +108,11 @@ def manifest_failures(manifest: DataFrame, found: DataFrame) -> DataFrame:
     return both.select("m.path", failure.alias("failure")).where("failure is not null")
 
 
+def manifest_totals(manifest: DataFrame) -> DataFrame:
+    """One row: files and bytes."""
+    return manifest.agg(F.count("*").alias("files"), F.coalesce(F.sum("size"), F.lit(0)).alias("total_bytes"))
+
+
 def with_revision(assets: DataFrame, recorded: DataFrame) -> DataFrame:
     """Assets (repo, revision, ...) with the revision on record for their repo instead of the stated one, where there is one."""
     log = recorded.groupBy("repo").agg(F.max("revision").alias("x_revision"))
