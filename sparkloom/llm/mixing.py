@@ -122,7 +122,7 @@ def mix(sized: DataFrame, keys: list[str], source: str = "source", size: str = "
 
     def flight(last_round: int):
         def run(key, g: pd.DataFrame) -> pd.DataFrame:
-            g = g.sort_values(["order", *ids], kind="stable", ignore_index=True)
+            g = g.sort_values(["order", *ids, "size"], kind="stable", ignore_index=True)
             n = g["size"].to_numpy("int64")
             p = fly(g["p"].to_numpy("float64"), n, Random(f"{seed}|{last_round}|{key}"))
             if (g["blocks"] == 1).all():
