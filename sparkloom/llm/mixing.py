@@ -6,7 +6,8 @@ The cube method turns the probabilities into decisions: it moves them, three doc
 along the null space of the constraints (words, documents) until one of the three is 0 or 1, so both
 totals stay as they are.  Blocks of bounded size fly in parallel and leave at most two undecided
 documents each; these meet in the next round, until one block of each source lands its last two by
-the rounding that misses the word total least.  Random numbers come from the block's name, and the
+the rounding that misses the word total least, and makes up for the rest with a few documents of
+the right size.  Random numbers come from the block's name, and the
 order in a block from a hash of the row, so reruns agree however rows are partitioned.
 """
 
@@ -87,6 +88,23 @@ def land(p: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.round(p)
 
 
+def settle(p: np.ndarray, size: np.ndarray, words: float, flips: int = 4) -> np.ndarray:
+    """Take or leave a few single documents, each time the one that brings the word total nearest to ``words``.
+
+    What the landing misses is at most about the size of a long document; a document of that size makes
+    up for it.  Nothing changes once no single document helps.
+    """
+    p = p.copy()
+    for _ in range(flips):
+        miss = float(np.dot(p, size)) - words
+        after = np.abs(miss + np.where(p > 0.5, -size, size))
+        if not len(p) or after.min() >= abs(miss) - 0.5:
+            break
+        k = int(after.argmin())
+        p[k] = 1 - p[k]
+    return p
+
+
 def word_sizes(docs: DataFrame, text: str, keep: list[str], out: str = "size") -> DataFrame:
     """Append the number of words; null text has none. Only ``keep`` is carried along."""
 
@@ -126,7 +144,7 @@ def mix(sized: DataFrame, keys: list[str], source: str = "source", size: str = "
             n = g["size"].to_numpy("int64")
             p = fly(g["p"].to_numpy("float64"), n, Random(f"{seed}|{last_round}|{key}"))
             if (g["blocks"] == 1).all():
-                p = land(p, n)
+                p = settle(land(p, n), n, float(np.dot(g["p"].to_numpy("float64"), n)))
             g["p"], g["open"] = p, (p > EPS) & (p < 1 - EPS)
             return g[[*ids, "source", "size", "source_size", "target", "base", "p", "open"]]
 

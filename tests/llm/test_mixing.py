@@ -32,6 +32,17 @@ def test_inclusion_probabilities_hold():
     assert (abs(hits / 2000 - 0.5) < 0.08).all()
 
 
+def test_a_few_documents_make_up_for_the_landing():
+    r = random.Random(7)
+    for _ in range(30):
+        size = np.asarray([*(r.randint(1, 400) for _ in range(40)), 9000, 0])
+        p = np.full(42, 0.37)
+        got = mixing.settle(mixing.land(mixing.fly(p, size, r), size), size, float(np.dot(p, size)))
+        assert set(got) <= {0.0, 1.0} and abs(np.dot(got, size) - np.dot(p, size)) < 2700
+    whole = np.asarray([5, 5])
+    assert mixing.settle(np.zeros(2), whole, 0.0).tolist() == [0, 0] and len(mixing.settle(np.zeros(0), np.zeros(0), 0.0)) == 0
+
+
 @pytest.mark.parametrize("block", [20_000, 40])
 def test_mix(spark, docs, monkeypatch, block):
     monkeypatch.setattr(mixing, "BLOCK", block)
@@ -50,7 +61,7 @@ def test_mix(spark, docs, monkeypatch, block):
         target[x.source] = x.target
     order = ["B", "a", "b", "é", None]
     assert [target[s] for s in order] == pytest.approx(mixing.targets([sizes[s] for s in order]))
-    assert all(abs(taken[s] - target[s]) <= 300 for s in order)
+    assert all(abs(taken[s] - target[s]) <= (20 if block > 600 else 300) for s in order)
 
 
 def test_empty(spark, docs):
