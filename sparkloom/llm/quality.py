@@ -132,5 +132,9 @@ def judged(counted: DataFrame, lang: str = "lang", source: str = "source", out:
 
 
 def quality_filter(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
-    """The documents that pass, with their columns as they were."""
-    return judged(with_counts(docs, text, "q__"), lang, source, "q__").where("q__kept").select(*docs.columns)
+    """The documents that pass, with their columns as they were.
+
+    The counts are computed once and written beside the documents: the sketch reads a few narrow columns
+    of that table, the filter all of it, and no document moves between tasks.
+    """
+    return judged(common.stored(with_counts(docs, text, "q__"), "quality-counted"), lang, source, "q__").where("q__kept").select(*docs.columns)
