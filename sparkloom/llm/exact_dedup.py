@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from . import common
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Memory that all state stores of an executor share; beyond, state lies on disk.
+STATE_MB = 200
 #: Rows of one group that one salt holds when bytes are compared.
 ROWS_PER_SALT = 500
 
@@ -51,6 +53,7 @@ def absorb(spark: SparkSession, incoming: str, state: str, max_bytes: str | None
     """
     store = "spark.sql.streaming.stateStore"
     wanted = {f"{store}.providerClass": ROCKSDB, f"{store}.rocksdb.changelogCheckpointing.enabled": "true", f"{store}.rocksdb.allowFAllocate": "false"}
+    wanted |= {f"{store}.rocksdb.boundedMemoryUsage": "true", f"{store}.rocksdb.maxMemoryUsageMB": str(STATE_MB)}
     held = {k: spark.conf.get(k, None) for k in wanted}
     for k, v in wanted.items():
         spark.conf.set(k, v)
