@@ -129,6 +129,7 @@ def _signed(key: str, text: str, words: int):
                 sketches.append(sketch(sig))
             yield pa.RecordBatch.from_arrays([pa.array(range(number, number + len(n)), pa.int64()), b.column(key), b.column("x_file"), b.column("x_row"), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))], ["rid", "id", "x_file", "x_row", "n", "digest", "bands", "sketch"])
             number += len(n)
+        _words.clear()  # idle workers hold nothing
 
     return run
 
