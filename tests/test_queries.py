@@ -1,6 +1,7 @@
 """Every query with an oracle against DuckDB on the same tables; the others must give rows of a stable schema."""
 
 import math
+import os
 from collections import Counter
 from datetime import datetime
 from decimal import Decimal
@@ -11,7 +12,7 @@ import pytest
 from sparkloom.plans.catalogue import ORACLES, QUERIES
 
 duckdb = pytest.importorskip("duckdb")
-DATA = "/root/testdata/sf0.001"
+DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
 def plain(v):
