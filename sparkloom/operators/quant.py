@@ -40,6 +40,23 @@ def quantize(t: TensorFrame, bits: int, group: int, half: bool = True) -> DataFr
     return ranged.select("row", "grp", grid(F.col("step")).alias("scale"), grid(F.col("lo")).alias("bias"), F.transform("v", code).alias("codes"))
 
 
+def quantize_rows(t: TensorFrame, bits: int, group: int, half: bool = True) -> DataFrame:
+    """(row, scales, biases, codes): whole rows with the codes of all their groups, as one projection."""
+    check(t.shape, bits, group)
+    top, grid = float(2**bits - 1), f16 if half else (lambda v: v.cast("double"))
+
+    def of_group(v):
+        lo = F.array_min(v)
+        return F.struct(v.alias("v"), lo.alias("lo"), ((F.array_max(v) - lo) / top).alias("step"))
+
+    def codes_of(g):
+        step = F.when(g["step"] == 0, F.lit(1.0)).otherwise(g["step"])
+        return F.transform(g["v"], lambda x: F.when(g["step"] == 0, F.lit(0)).otherwise(F.least(F.greatest(F.rint((x - g["lo"]) / step), F.lit(0.0)), F.lit(top)).cast("int")))
+
+    ranged = t.df.select("row", F.transform(groups_of(F.transform("values", lambda x: grid(x)), t.inner, group), of_group).alias("g"))
+    return ranged.select("row", F.transform("g", lambda g: grid(g["step"])).alias("scales"), F.transform("g", lambda g: grid(g["lo"])).alias("biases"), F.flatten(F.transform("g", codes_of)).alias("codes"))
+
+
 def dequantize(q: DataFrame) -> DataFrame:
     """(row, grp, values)."""
     return q.select("row", "grp", F.transform("codes", lambda c: (c * F.col("scale") + F.col("bias")).cast("float")).alias("values"))

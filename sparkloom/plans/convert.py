@@ -105,8 +105,22 @@ def _written(rows: DataFrame, kind: str) -> DataFrame:
     return rows.select("key", "row", "values").mapInArrow(_bytes(kind), OUT)
 
 
-def _field(name: str):
-    return lambda g: g[name]
+def _triples(bits: int):
+    """Three rows of each quantized row: packed words, scales and biases; numpy packs the bits."""
+
+    def rows_of(column, kind):
+        flat, ends = column.flatten().to_numpy(zero_copy_only=False).astype(kind), column.offsets.to_numpy() - column.offsets[0].as_py()
+        return [flat[a:z] for a, z in zip(ends[:-1], ends[1:], strict=True)]
+
+    def run(batches):
+        for b in batches:
+            words = [np.packbits((c[:, None] >> np.arange(bits) & 1).astype("u1"), bitorder="little").tobytes() for c in rows_of(b.column("codes"), "u1")]
+            keys, n = b.column("key").to_pylist(), b.num_rows
+            data = words + [x.tobytes() for name in ("scales", "biases") for x in rows_of(b.column(name), "<f2")]
+            names = b.column("weight").to_pylist() + [f"{k}.{tail}" for tail in ("scales", "biases") for k in keys]
+            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(["U32"] * n + ["F16"] * 2 * n), pa.array(b.column("row").to_pylist() * 3, pa.int64()), pa.array(data, pa.binary())], ["key", "dtype", "row", "data"])
+
+    return run
 
 
 def _keys(names: list[str], per: int) -> tuple:
@@ -127,14 +141,10 @@ def outputs(plan: Plan, model: Model, decision: Decision, group: int = 64, check
         per, dests = prod(lead), [j.dest for j in jobs]
         if first.quantize and decision.bits:
             bits, size = first.setting(decision.bits, group)
-            q = quant.quantize(TensorFrame(t.df, t.shape), bits, size)
-            key, row = _keys(dests, per)
-            packed = quant.pack(q, bits, size).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("grp", "words"))).alias("g"))
-            parts.append(_written(packed.select(key, row, F.flatten(F.transform("g", lambda g: g["words"])).alias("values")), "U32"))
-            small = q.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("grp", "scale", "bias"))).alias("g"))
-            for name, tail in (("scale", "scales"), ("bias", "biases")):
-                key, row = _keys([f"{module_of(d)}.{tail}" for d in dests], per)
-                parts.append(_written(small.select(key, row, F.transform("g", _field(name)).alias("values")), "F16"))
+            q = quant.quantize_rows(t, bits, size)
+            key, row = _keys([module_of(d) for d in dests], per)
+            weights = F.element_at(F.array(*[F.lit(d) for d in dests]), (F.floor(F.col("row") / per) + 1).cast("int"))
+            parts.append(q.select(key, weights.alias("weight"), row, "scales", "biases", "codes").mapInArrow(_triples(bits), OUT))
             for d in dests:
                 s, b = companions(d)
                 layout[d] = [sharded.Entry(d, "U32", (*lead, inner * bits // 32)), sharded.Entry(s, "F16", (*lead, inner // size)), sharded.Entry(b, "F16", (*lead, inner // size))]
