@@ -68,27 +68,29 @@ class WordTokens:
 
     def learn(self, lists: list[list[bytes]]) -> None:
         """Make sure that ``ids`` has every word of the lists."""
-        new = set().union(*lists) - self.ids.keys()
+        new = {w for w in set().union(*lists) if w not in self.ids}  # a difference with the keys would visit all of them
         if len(self.ids) + len(new) > MEMORY:
             self.ids.clear()
             new = set().union(*lists)
-        parts, letters, other = {}, set(), set()
+        known, tails, letters, other = self.ids, [], set(), set()
         for w in new:
-            head = w.rstrip(MARKS)
-            if head != w and head and head.decode()[-1].isalnum():
-                parts[w] = head, w[len(head) :]
+            x = w.rstrip(MARKS)
+            if len(x) == len(w):
+                pass
+            elif x and (x[-1:].isalnum() or x[-1] > 127 and x.decode()[-1].isalnum()):
+                tails.append((w, x, mark := w[len(x) :]))
+                if mark not in known:
+                    other.add(mark)
             else:
-                parts[w] = w, b""
-            for x in filter(None, parts[w]):
-                if x not in self.ids:
-                    (letters if x.decode().isalpha() else other).add(x)
-        known = list(letters)
-        self.ids.update(zip(known, self.encode_letters(known), strict=True))
+                x = w
+            if x not in known:  # bytes.isalpha holds for ASCII letters alone
+                (letters if x.isalpha() or not x.isascii() and x.decode().isalpha() else other).add(x)
+        found = list(letters)
+        known.update(zip(found, self.encode_letters(found), strict=True))
         for x in other:
-            self.ids[x] = self.encode(x)
-        for w, (head, tail) in parts.items():
-            if tail:
-                self.ids[w] = self.ids[head] + self.ids[tail]
+            known[x] = self.encode(x)
+        for w, x, mark in tails:
+            known[w] = known[x] + known[mark]
 
     def word_ids(self, word: bytes) -> bytes:
         got = self.ids.get(word)
