@@ -29,7 +29,7 @@ from .token_counts import raw
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 REPEAT = 2
-BLOCK = 20_000
+BLOCK = 5_000
 #: Up to so many sources, their targets are sent to every executor; beyond, they are joined by shuffle.
 BROADCAST_SOURCES = 50_000
 EPS = 1e-9

@@ -43,7 +43,7 @@ def test_a_few_documents_make_up_for_the_landing():
     assert mixing.settle(np.zeros(2), whole, 0.0).tolist() == [0, 0] and len(mixing.settle(np.zeros(0), np.zeros(0), 0.0)) == 0
 
 
-@pytest.mark.parametrize("block", [20_000, 40])
+@pytest.mark.parametrize("block", [5_000, 40])
 def test_mix(spark, docs, monkeypatch, block):
     monkeypatch.setattr(mixing, "BLOCK", block)
     r = random.Random(6)
