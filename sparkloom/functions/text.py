@@ -101,25 +101,27 @@ def _tail_repeats(s: Column, most: int) -> Column:
     return F.exists(F.sequence(F.lit(8), F.lit(most)), same)
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once, however often a lambda in ``body`` reads it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _segment_repeats(s: Column) -> Column:
     """A run of ten characters or more without a space that the text holds five times."""
-    runs = F.regexp_extract_all(s, F.lit(r"\S{10,}"), F.lit(0))
-    hay = F.concat_ws(" ", runs)  # a run can only stand inside another run
-    times = lambda x: (F.length(hay) - F.length(F.replace(hay, x, F.lit("")))) >= 5 * F.length(x)
-    return F.exists(F.array_distinct(runs), times)
+    times = lambda hay, x: (F.length(hay) - F.length(F.replace(hay, x, F.lit("")))) >= 5 * F.length(x)
+    among = lambda runs: _let(F.concat_ws(" ", runs), lambda hay: F.exists(F.array_distinct(runs), lambda x: times(hay, x)))
+    return _let(F.regexp_extract_all(s, F.lit(r"\S{10,}"), F.lit(0)), among)  # a run can only stand inside another run
 
 
 def is_repetition_loop(text: Column) -> Column:
     """Whether an output ran into a loop: its tail, a segment, its last lines or one character."""
-    s, last = squeezed(text), lines(text)
-    four = (F.size(last) >= 4) & (F.size(F.array_distinct(F.slice(last, F.greatest(F.size(last) - 3, F.lit(1)), F.lit(4)))) == 1)
-    return (F.length(s) >= 64) & (_tail_repeats(s, 64) | _segment_repeats(s) | four | s.rlike(r"(.)\1{29,}"))
+    four = lambda last: (F.size(last) >= 4) & (F.size(F.array_distinct(F.slice(last, F.greatest(F.size(last) - 3, F.lit(1)), F.lit(4)))) == 1)
+    return _let(squeezed(text), lambda s: (F.length(s) >= 64) & (_tail_repeats(s, 64) | _let(lines(text), four) | s.rlike(r"(.)\1{29,}") | _segment_repeats(s)))
 
 
 def is_repetition(text: Column) -> Column:
     """The same for answers to multiple-choice questions, by tail and segment alone."""
-    s = squeezed(text)
-    return (F.length(s) >= 48) & (_tail_repeats(s, 48) | _segment_repeats(s))
+    return _let(squeezed(text), lambda s: (F.length(s) >= 48) & (_tail_repeats(s, 48) | _segment_repeats(s)))
 
 
 def _found(text: Column, pattern: str) -> Column:
