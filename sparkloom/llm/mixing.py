@@ -6,9 +6,11 @@ The cube method turns the probabilities into decisions: it moves them, three doc
 along the null space of the constraints (words, documents) until one of the three is 0 or 1, so both
 totals stay as they are.  Blocks of bounded size fly in parallel and leave at most two undecided
 documents each; these meet in the next round, until one block of each source lands its last two by
-the rounding that misses the word total least, and makes up for the rest with a few documents of
-the right size.  Random numbers come from the block's name, and the
-order in a block from a hash of the row, so reruns agree however rows are partitioned.
+the rounding that misses the word total least.  What the landing still misses, at most about one
+long document, is made up for by taking or leaving up to four single documents of the right size in
+that last block.  For these few, and for the two of the landing, inclusion probabilities hold no longer; for all
+others they do.  Random numbers come from the block's name, and the order in a block from a hash
+of the row, so reruns agree however rows are partitioned.
 """
 
 from __future__ import annotations
@@ -18,13 +20,12 @@ from itertools import product
 from random import Random
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .token_counts import raw
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -106,15 +107,9 @@ def settle(p: np.ndarray, size: np.ndarray, words: float, flips: int = 4) -> np.
 
 
 def word_sizes(docs: DataFrame, text: str, keep: list[str], out: str = "size") -> DataFrame:
-    """Append the number of words; null text has none. Only ``keep`` is carried along."""
-
-    def run(batches):
-        for b in batches:
-            n = pa.array([len(x.split()) for x in raw(b.column(text))], pa.int64())
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], n], [*keep, out])
-
-    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(*dict.fromkeys([*keep, text])).mapInArrow(run, f"{fields}, {out} bigint")
+    """The columns ``keep``, then the number of words; null text has none."""
+    n = F.coalesce(F.regexp_count(common.column(text), F.lit(common.WORD)), F.lit(0)).cast("bigint")
+    return docs.select(*map(common.column, keep), n.alias(out))
 
 
 def mix(sized: DataFrame, keys: list[str], source: str = "source", size: str = "size", weights: Sequence[float] = WEIGHTS, share: float = SHARE, seed: int = 0) -> DataFrame:
@@ -122,10 +117,11 @@ def mix(sized: DataFrame, keys: list[str], source: str = "source", size: str = "
 
     Sources stand in code-point order, null last.  Documents without words may be taken but add
     nothing.  A source without words has target 0.  Repeated rows are drawn one by one.  An empty
-    table gives an empty table.
+    table gives an empty table.  The driver holds one row for each source; ``keys`` may be null.
     """
     spark = sized.sparkSession
-    sized = common.stored(sized.select(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], F.col(source).alias("source"), F.col(size).alias("size")), "mixing-sizes")
+    common.small_batches(spark)
+    sized = common.stored(sized.select(*[common.column(k).alias(f"k{i}") for i, k in enumerate(keys)], common.column(source).alias("source"), common.column(size).alias("size")), "mixing-sizes")
     ids = [f"k{i}" for i in range(len(keys))]
     sums = sorted(((r.source, r.n, r.total) for r in sized.groupBy("source").agg(F.count("*").alias("n"), F.sum("size").alias("total")).collect()), key=lambda r: (r[0] is None, r[0] or ""))
     wanted = targets([r[2] for r in sums], weights, share)
@@ -139,14 +135,14 @@ def mix(sized: DataFrame, keys: list[str], source: str = "source", size: str = "
         return F.broadcast(df) if len(rows) <= BROADCAST_SOURCES else df
 
     def flight(last_round: int):
-        def run(key, g: pd.DataFrame) -> pd.DataFrame:
-            g = g.sort_values(["order", *ids, "size"], kind="stable", ignore_index=True)
-            n = g["size"].to_numpy("int64")
-            p = fly(g["p"].to_numpy("float64"), n, Random(f"{seed}|{last_round}|{key}"))
-            if (g["blocks"] == 1).all():
-                p = settle(land(p, n), n, float(np.dot(g["p"].to_numpy("float64"), n)))
-            g["p"], g["open"] = p, (p > EPS) & (p < 1 - EPS)
-            return g[[*ids, "source", "size", "source_size", "target", "base", "p", "open"]]
+        def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+            g = rows.take(pc.sort_indices(rows, [(c, "ascending") for c in ("order", *ids, "size")]))
+            n, wanted = g["size"].to_numpy(), g["p"].to_numpy()
+            p = fly(wanted, n, Random(f"{seed}|{last_round}|{[k.as_py() for k in key]}"))
+            if pc.max(g["blocks"]).as_py() == 1:
+                p = settle(land(p, n), n, float(np.dot(wanted, n)))
+            got = g.select([*ids, "source", "size", "source_size", "target", "base"])
+            return got.append_column("p", pa.array(p)).append_column("open", pa.array((p > EPS) & (p < 1 - EPS)))
 
         return run
 
@@ -157,7 +153,7 @@ def mix(sized: DataFrame, keys: list[str], source: str = "source", size: str = "
     for k in range(20):
         order = F.xxhash64(*ids, F.lit(seed), F.lit(k))
         dealt = rows.withColumn("order", order).withColumn("block", F.pmod(F.xxhash64("order"), F.col("blocks")).cast("int"))
-        out = common.stored(dealt.groupBy("source", "block").applyInPandas(flight(k), schema), "mixing")
+        out = common.stored(dealt.groupBy("source", "block").applyInArrow(flight(k), schema), "mixing")
         done.append(out.where("not open"))
         if max(blocks, default=1) <= 1:
             break
@@ -171,9 +167,13 @@ def mix(sized: DataFrame, keys: list[str], source: str = "source", size: str = "
 
 
 def mixed(docs: DataFrame, text: str = "text", source: str = "source") -> DataFrame:
-    """The rows of a plain file scan, each as often as the mix takes it."""
-    from .exact_dedup import located
+    """The rows of a plain file scan, each as often as the mix takes it: not at all, once or twice.
 
-    full = located(docs)
-    taken = mix(word_sizes(full, text, ["x_file", "x_row", source]), ["x_file", "x_row"], source).where("copies > 0").select("x_file", "x_row", "copies")
-    return full.join(taken, ["x_file", "x_row"]).withColumn("copies", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    All columns stay as they are, whatever their names; nulls in them are kept.  Null text has no
+    words; a null source is a source of its own, the last.  Equal rows are drawn one by one, told apart
+    by where they lie.  An empty table gives an empty table.
+    """
+    sized = word_sizes(common.located(docs, text=text, source=source), "text", ["x_file", "x_row", "source"])
+    taken = mix(sized, ["x_file", "x_row"]).where("copies > 0").select("x_file", "x_row", "copies")
+    full = common.placed(docs, taken, "copies")
+    return full.withColumn(full.columns[-1], F.explode(F.sequence(F.lit(1), F.col(full.columns[-1])))).select(*common.columns(docs))

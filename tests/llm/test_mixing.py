@@ -49,7 +49,7 @@ def test_mix(spark, docs, monkeypatch, block):
     r = random.Random(6)
     rows = [(i, r.choice([None, "", "w " * r.randint(1, 300)]) if i % 3 else "w " * r.randint(1, 300), "en", r.choice(["a", "b", "B", None, "é"])) for i in range(600)]
     rows += [(7, "x y z", "en", "a")] * 5
-    size = lambda df: mixing.word_sizes(df.withColumn("size", df.doc_id), "text", ["doc_id", "source"])
+    size = lambda df: mixing.word_sizes(df, "text", ["doc_id", "source"])
     got = mixing.mix(size(docs(rows).repartition(3)), ["doc_id"]).collect()
     again = mixing.mix(size(docs(rows[::-1])), ["doc_id"]).collect()
     assert sorted(map(str, got)) == sorted(map(str, again)) and len(got) == len(rows)
