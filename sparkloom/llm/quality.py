@@ -3,9 +3,17 @@
 Every document gets counts (words, symbols, repeated lines, repeated passages).  Rates made of
 these counts are summarised per (language, source) in a mergeable quantile sketch: values fall in
 logarithmic bins whose counts add up, so partial sketches of any partitioning merge to the same
-result, with a bounded relative error and no randomness.  A threshold is the median plus a multiple
-of the distance from the median to a high quantile.  Groups with too few documents use the merged
-sketch of their language, then that of all documents.
+result, with a bounded relative error and no randomness.  No limit is set by hand; two come from the
+sketch, and the lower one holds:
+
+* the fence: the median plus the distance to the 90 % point, times ``t ** REACH``, where t says how much
+  farther the 95 % point lies, so heavy tails get a wider fence.  Rates that are zero in nine of ten
+  documents have no fence;
+* the valley: where a mode of outliers stands apart from the bulk, it begins after ``VALLEY`` doublings
+  of the rate that hold next to no documents.
+
+A group of fewer than ``MIN_GROUP`` documents can't tell its 95 % point; it uses the merged sketch of its
+language, and if that is too small as well the sketch of all documents.
 """
 
 from __future__ import annotations
@@ -19,10 +27,15 @@ from pyspark.sql.window import Window
 from . import common
 
 SYMBOLS = "#*$%&|<>"
-#: rate -> (numerator, slack): a document fails if its rate exceeds the group's threshold plus slack.
-RATES = {"symbols_pm": ("n_symbols", 150), "dup_lines_pm": ("n_dup_lines", 100), "repeat_pm": ("n_repeat_words", 100), "word_len_pm": ("word_chars", 6000)}
+#: rate per 1000 words -> what it counts.
+RATES = {"symbols_pm": "n_symbols", "dup_lines_pm": "n_dup_lines", "repeat_pm": "n_repeat_words", "word_len_pm": "word_chars"}
 ACCURACY = 0.01
-SPREAD = 4.0
+#: Powers of the tail's weight that a fence lies away: from the 95 % point on, about six halvings of what lies beyond.
+REACH = 6
+#: Bins that make one doubling of the rate, and doublings that an outlier mode stands apart.
+DOUBLING, VALLEY = 35, 7
+#: The valley holds less than this part of what lies above it; the bulk below is three quarters at least.
+EMPTY, BULK = 8, 75
 MIN_GROUP = 50
 #: Up to so many thresholds are sent to every executor; beyond, they are joined by shuffle.
 BROADCAST_GROUPS = 20_000
@@ -66,48 +79,62 @@ def rule_counts(text: Column) -> Column:
     )
 
 
+def _names(docs: DataFrame, out: str) -> str:
+    """A prefix that begins no column of ``docs``."""
+    while any(c.lower().startswith(out.lower()) for c in docs.columns):
+        out += "_"
+    return out
+
+
 def with_counts(docs: DataFrame, text: str = "text", out: str = "q_") -> DataFrame:
-    """Append the counts, named ``out`` + name, and ``out`` + base_failed."""
-    bare = docs.withColumn(f"{out}s", rule_counts(F.col(text)))
-    got = lambda n: F.col(f"{out}s")["w"][n] if n in ("n_words", "n_repeat_words") else F.col(f"{out}s")[n]
-    bare = bare.select(*docs.columns, *[got(n).alias(f"{out}{n}") for n in STATS])
+    """Append the counts, named ``out`` + name, and ``out`` + base_failed; null text counts as empty."""
+    s = common.free(docs, f"{out}struct")[0]
+    got = lambda n: F.col(s)["w"][n] if n in ("n_words", "n_repeat_words") else F.col(s)[n]
+    bare = docs.withColumn(s, rule_counts(common.column(text))).select(*common.columns(docs), *[got(n).alias(f"{out}{n}") for n in STATS])
     return bare.withColumn(f"{out}base_failed", (F.col(f"{out}n_words") < 10) | (100 * F.col(f"{out}n_repeat_words") > 20 * F.col(f"{out}n_words")))
 
 
 def _rate(rate: str, out: str) -> Column:
-    return F.expr(f"1000 * {out}{RATES[rate][0]} div greatest({out}n_words, 1)")
+    return F.expr(f"1000 * {out}{RATES[rate]} div greatest({out}n_words, 1)")
 
 
 def _sketch(counted: DataFrame, lang: str, source: str, out: str) -> DataFrame:
     """(lang, source, rate, bin, n): log bins of ratio (1 + accuracy) / (1 - accuracy); bin -1 holds zeros."""
     step = math.log((1 + ACCURACY) / (1 - ACCURACY))
     rates = F.explode(F.array(*[F.struct(F.lit(r).alias("rate"), _rate(r, out).alias("v")) for r in RATES])).alias("r")
-    long = counted.where(~F.col(f"{out}base_failed")).select(F.col(lang).alias("lang"), F.col(source).alias("source"), rates)
+    long = counted.where(~F.col(f"{out}base_failed")).select(common.column(lang).alias("lang"), common.column(source).alias("source"), rates)
     bin_ = F.when(F.col("r.v") <= 0, F.lit(-1)).otherwise(F.ceil(F.ln(F.col("r.v").cast("double")) / F.lit(step)).cast("int"))
     return long.groupBy("lang", "source", F.col("r.rate").alias("rate"), bin_.alias("bin")).agg(F.count("*").alias("n"))
 
 
-def _quantiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
-    """Median and 90 % point of each merged sketch; a bin stands for its upper bound."""
+def _limits(sketch: DataFrame, keys: list[str]) -> DataFrame:
+    """(*keys, rate, total, limit) of each merged sketch; the limit is null where neither fence nor valley exists."""
+    gamma = (1 + ACCURACY) / (1 - ACCURACY)
     by = Window.partitionBy(*keys, "rate")
     merged = sketch.groupBy(*keys, "rate", "bin").agg(F.sum("n").alias("n"))
     ranked = merged.select(*keys, "rate", "bin", F.sum("n").over(by.orderBy("bin")).alias("upto"), F.sum("n").over(by).alias("total"))
     at = lambda q: F.min(F.when(F.col("upto") * 100 >= F.col("total") * q, F.col("bin")))
-    return ranked.groupBy(*keys, "rate").agg(F.max("total").alias("total"), at(50).alias("b50"), at(90).alias("b90"))
+    value = lambda b: F.when(F.col(b) < 0, F.lit(0.0)).otherwise(F.pow(F.lit(gamma), F.col(b)))
+    near, far = value("b90") - value("b50"), value("b95") - value("b50")
+    fence = F.when(F.col("b90") > F.col("b50"), value("b50") + near * F.pow(far / near, F.lit(REACH)))
+    fences = ranked.groupBy(*keys, "rate").agg(F.max("total").alias("total"), at(50).alias("b50"), at(90).alias("b90"), at(95).alias("b95")).select(*keys, "rate", "total", fence.alias("limit"))
+
+    doubled = merged.groupBy(*keys, "rate", F.floor(F.col("bin") / DOUBLING).cast("int").alias("d")).agg(F.sum("n").alias("n"))
+    upto = lambda k: F.coalesce(F.sum("n").over(by.orderBy("d").rangeBetween(Window.unboundedPreceding, k)), F.lit(0))
+    parts = doubled.select(*keys, "rate", "d", F.sum("n").over(by).alias("total"), upto(-1).alias("below"), upto(-1 - VALLEY).alias("bulk"))
+    apart = (EMPTY * (F.col("below") - F.col("bulk")) < F.col("total") - F.col("below")) & (F.col("bulk") * 100 >= F.col("total") * BULK)
+    valleys = parts.where(apart).groupBy(*keys, "rate").agg(F.min("d").alias("d")).select(*keys, "rate", F.lit(0).cast("bigint").alias("total"), F.pow(F.lit(gamma), F.col("d") * DOUBLING - 1).alias("limit"))
+    return fences.unionByName(valleys).groupBy(*keys, "rate").agg(F.max("total").alias("total"), F.min("limit").alias("limit"))
 
 
 def thresholds(counted: DataFrame, lang: str = "lang", source: str = "source", out: str = "q_") -> DataFrame:
-    """One row per (lang, source) with a limit for every rate."""
+    """One row (t_lang, t_source, t_<rate>...) per language and source; a null limit rejects nothing."""
     sketch = common.stored(_sketch(counted, lang, source, out), "quality-sketch")
-    name = lambda df, tail: df.select(*[F.col(c).alias(c if c in ("lang", "source", "rate") else f"{c}{tail}") for c in df.columns])
-    own, of_lang, of_all = name(_quantiles(sketch, ["lang", "source"]), "_o"), name(_quantiles(sketch, ["lang"]), "_l"), name(_quantiles(sketch, []), "_a")
-    joined = own.alias("o").join(of_lang.alias("l"), F.col("o.lang").eqNullSafe(F.col("l.lang")) & (F.col("o.rate") == F.col("l.rate")), "left").join(of_all.alias("a"), F.col("o.rate") == F.col("a.rate"), "left")
-    pick = lambda b: F.when(F.col("total_o") >= MIN_GROUP, F.col(f"{b}_o")).when(F.col("total_l") >= MIN_GROUP, F.col(f"{b}_l")).otherwise(F.col(f"{b}_a"))
-    gamma = (1 + ACCURACY) / (1 - ACCURACY)
-    value = lambda b: F.when(pick(b) < 0, F.lit(0.0)).otherwise(F.pow(F.lit(gamma), pick(b)))
-    slack = F.create_map(*[x for r, (_, s) in RATES.items() for x in (F.lit(r), F.lit(float(s)))])
-    limit = value("b50") + SPREAD * (value("b90") - value("b50")) + slack[F.col("o.rate")]
-    return joined.groupBy(F.col("o.lang").alias("t_lang"), F.col("o.source").alias("t_source")).agg(*[F.max(F.when(F.col("o.rate") == r, limit)).alias(f"t_{r}") for r in RATES])
+    name = lambda df, tail: df.select(*[F.col(c).alias(f"{c}_{tail}") for c in df.columns])
+    o, l, a = name(_limits(sketch, ["lang", "source"]), "o"), name(_limits(sketch, ["lang"]), "l"), name(_limits(sketch, []), "a")
+    joined = o.join(l, F.col("lang_o").eqNullSafe(F.col("lang_l")) & (F.col("rate_o") == F.col("rate_l")), "left").join(a, F.col("rate_o") == F.col("rate_a"), "left")
+    limit = F.when(F.col("total_o") >= MIN_GROUP, F.col("limit_o")).when(F.col("total_l") >= MIN_GROUP, F.col("limit_l")).otherwise(F.col("limit_a"))
+    return joined.groupBy(F.col("lang_o").alias("t_lang"), F.col("source_o").alias("t_source")).agg(*[F.max(F.when(F.col("rate_o") == r, limit)).alias(f"t_{r}") for r in RATES])
 
 
 def judged(counted: DataFrame, lang: str = "lang", source: str = "source", out: str = "q_") -> DataFrame:
@@ -117,24 +144,28 @@ def judged(counted: DataFrame, lang: str = "lang", source: str = "source", out:
     null-safely, so rows without language or source form groups of their own.  An empty table
     gives an empty table; repeated rows are judged alike, each counting in the sketch.
     """
+    p = _names(counted, f"{out}limit_")
     limits = common.stored(thresholds(counted, lang, source, out), "quality-limits")
-    same = F.col(lang).eqNullSafe(F.col("t_lang")) & F.col(source).eqNullSafe(F.col("t_source"))
-    if limits.count() <= BROADCAST_GROUPS:
+    held = limits.count()
+    limits = limits.select(*[F.col(c).alias(p + c) for c in limits.columns])
+    same = common.column(lang).eqNullSafe(F.col(f"{p}t_lang")) & common.column(source).eqNullSafe(F.col(f"{p}t_source"))
+    if held <= BROADCAST_GROUPS:
         joined = counted.join(F.broadcast(limits), same, "left")
     else:  # hot groups are spread over 32 copies of their limit
-        salted = limits.withColumn("t_salt", F.explode(F.sequence(F.lit(0), F.lit(31))))
-        joined = counted.withColumn(f"{out}salt", F.pmod(F.xxhash64(*[f"{out}{n}" for n in STATS]), F.lit(32)).cast("int")).join(salted, same & (F.col(f"{out}salt") == F.col("t_salt")), "left").drop(f"{out}salt", "t_salt")
-    over = [_rate(r, out) > F.coalesce(F.col(f"t_{r}"), F.lit(float("inf"))) for r in RATES]
+        salt = F.pmod(F.xxhash64(*[f"{out}{n}" for n in STATS]), F.lit(32)).cast("int")
+        joined = counted.withColumn(f"{p}salt", salt).join(limits.withColumn(f"{p}copy", F.explode(F.sequence(F.lit(0), F.lit(31)))), same & (F.col(f"{p}salt") == F.col(f"{p}copy")), "left")
     fine = ~F.col(f"{out}base_failed")
-    for x in over:
-        fine = fine & ~x
-    return joined.withColumn(f"{out}kept", fine).drop("t_lang", "t_source", *[f"t_{r}" for r in RATES])
+    for r in RATES:
+        fine = fine & (_rate(r, out) <= F.coalesce(F.col(f"{p}t_{r}"), F.lit(float("inf"))))
+    return joined.select(*common.columns(counted), fine.alias(f"{out}kept"))
 
 
 def quality_filter(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
-    """The documents that pass, with their columns as they were.
+    """The documents that pass, with their columns as they were, whatever their names.
 
     The counts are computed once and written beside the documents: the sketch reads a few narrow columns
-    of that table, the filter all of it, and no document moves between tasks.
+    of that table, the filter all of it, and no document moves between tasks.  Null and empty texts
+    fail the base rules; repeated rows pass or fail together; an empty table gives an empty table.
     """
-    return judged(common.stored(with_counts(docs, text, "q__"), "quality-counted"), lang, source, "q__").where("q__kept").select(*docs.columns)
+    out = _names(docs, "q_")
+    return judged(common.stored(with_counts(docs, text, out), "quality-counted"), lang, source, out).where(F.col(f"{out}kept")).select(*common.columns(docs))
