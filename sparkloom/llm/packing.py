@@ -27,7 +27,9 @@ CAPACITY = 2048
 END = 0
 #: A bin with at most so many free places is final.
 NEARLY = 2
-#: Bins that one task of a later round receives.
+#: Pieces that a task holds at a time, and that one task of a later round receives.
+PIECES_HELD = 200_000
+#: Underfull bins that one task of a later round receives, at most.
 GROUP = 20_000
 ROUNDS = 8
 
@@ -86,31 +88,35 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", file: str = c
     """Rows (id, piece, start, length, ids_crc32, sequence_id, offset).
 
     Null text counts as empty: such a document is its end id alone.  A row that occurs twice is packed
-    twice.  An empty table gives an empty table.
+    twice; ids may be null.  An empty table gives an empty table; columns other than ``key`` and ``text``
+    aren't read.
     """
-    kind = docs.schema[key].dataType.simpleString()
+    common.small_batches(docs.sparkSession)
+    docs = docs.select(common.column(key).alias("id"), common.column(text).alias("text"))
+    kind = docs.schema["id"].dataType.simpleString()
     schema = f"bin bigint, fill bigint, pieces {PIECES.format(kind=kind)}"
     end = int(END).to_bytes(4, "little")
 
     def local(batches):
         tokens, task = word_tokens(file), TaskContext.get().partitionId()
         first, items, arrow = task << 32, [], None
-        for b in batches:
-            arrow = b.schema.field(key).type
+        for b in common.pieces(batches, "text"):
+            arrow = b.schema.field("id").type
             full = []
-            for k, (_, ids) in zip(b.column(key).to_pylist(), tokens.of_texts(raw(b.column(text))), strict=True):
+            for k, (_, ids) in zip(b.column("id").to_pylist(), tokens.of_texts(raw(b.column("text"))), strict=True):
                 for i, (start, n, crc) in enumerate(cut(b"".join(ids) + end, capacity)):
                     (full if n == capacity else items).append([(k, i, start, n, crc)])
             if full:
                 yield _bins(full, first, arrow)
                 first += len(full)
-            if len(items) >= 200_000:  # bounds the task's memory; what stays open goes on as bins
+            if len(items) >= PIECES_HELD:  # bounds the task's memory; what stays open goes on as bins
                 for out in _packed(items, first, arrow, capacity):
                     first += out.num_rows
                     yield out
                 items = []
         if items:
             yield from _packed(items, first, arrow, capacity)
+        tokens.rest()
 
     def merge(k: int):
         def run(batches):
@@ -123,23 +129,24 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", file: str = c
 
         return run
 
-    bins = common.stored(docs.select(key, text).mapInArrow(local, schema), "packing")
+    bins = common.stored(docs.mapInArrow(local, schema), "packing")
     done = []
     final = F.col("fill") >= capacity - nearly
-    left = bins.where(~final).count()
+    open_ = lambda df: df.where(~final).agg(F.count("*").alias("bins"), F.coalesce(F.sum(F.size("pieces")), F.lit(0)).alias("pieces")).first()
+    left = open_(bins)
     for k in range(1, ROUNDS + 1):
         done.append(bins.where(final))
         rest = bins.where(~final)
-        if left == 0:
+        if left.bins == 0:
             break
-        tasks = -(-left // GROUP)
+        tasks = max(-(-left.bins // GROUP), -(-left.pieces // PIECES_HELD))
         dealt = rest.repartition(tasks, F.xxhash64(F.col("bin"), F.lit(k))) if tasks > 1 else rest.coalesce(1)
         bins = common.stored(dealt.mapInArrow(merge(k), schema), "packing")
         now = bins.count()
-        if tasks == 1 or now > 0.99 * left:
+        if tasks == 1 or now > 0.99 * left.bins:
             done.append(bins)
             break
-        left = bins.where(~final).count()
+        left = open_(bins)
     else:
         done.append(bins)
     out = done[0]

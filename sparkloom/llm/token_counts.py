@@ -9,8 +9,10 @@ stored, questions about truncation and budgets need no encoding of the text.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
-from functools import cache
+from functools import cache, cached_property
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +22,8 @@ from pyspark.sql import functions as F
 from . import common
 
 LIMIT = 2048
-#: Words remembered by one worker before it starts afresh.
-MEMORY = 800_000
+#: Words remembered by one worker before it starts afresh, and by one that idles between tasks.
+MEMORY, IDLE_MEMORY = 600_000, 250_000
 #: Marks that end a word and never share a token with letters or digits.
 MARKS = b".,;:!?"
 
@@ -29,9 +31,11 @@ MARKS = b".,;:!?"
 class WordTokens:
     """The ids of the words of texts, each distinct word encoded once.
 
-    A word is what stands between white space.  Full stops and the like at its end form tokens of
-    their own, so they are split off; words of letters alone end in exactly one token that marks a
-    word's end, so many of them are encoded in one call and told apart by that mark.
+    A word is what stands between white space.  Full stops and the like that follow a letter or digit
+    form tokens of their own, so they are split off; what counts is the letter in lower case, as the
+    vocabulary sees it, for one capital (U+0130) turns into a letter and a mark that joins the full stop.
+    Words of letters alone end in exactly one token that marks a word's end, so many of them are encoded
+    in one call and told apart by that mark.
     """
 
     def __init__(self, path: str):
@@ -77,7 +81,7 @@ class WordTokens:
             x = w.rstrip(MARKS)
             if len(x) == len(w):
                 pass
-            elif x and (x[-1:].isalnum() or x[-1] > 127 and x.decode()[-1].isalnum()):
+            elif x and (x[-1:].isalnum() or x[-1] > 127 and x.decode()[-1].lower()[-1].isalnum()):
                 tails.append((w, x, mark := w[len(x) :]))
                 if mark not in known:
                     other.add(mark)
@@ -120,29 +124,46 @@ class WordTokens:
     def count(self, text: bytes) -> int:
         return len(self.text_ids(text)) // 4
 
+    def rest(self) -> None:
+        """At the end of a task: an idle worker holds few words."""
+        if len(self.ids) > IDLE_MEMORY:
+            self.ids.clear()
+        common.trim()
+
 
 class PrefixCounts:
-    """Token counts of all prefixes of one text, answering without encoding it again."""
+    """Token counts of all prefixes of one text, answering without encoding it again.
+
+    ``sums[k]`` counts the tokens of the first k words; ``ends[k]``, found when first asked for, is the
+    byte after the k-th.
+    """
 
-    def __init__(self, text: bytes, tokens: WordTokens):
+    def __init__(self, text: bytes, tokens: WordTokens, ids: list[bytes] | None = None):
         self.text, self.tokens = text, tokens
-        words = text.split()
+        words = tokens.words(text) if ids is None else ()
+        self.sums = list(accumulate(map(len, ids) if ids is not None else (4 * tokens.word_count(w) for w in words), initial=0))
+
+    @property
+    def total(self) -> int:
+        return self.sums[-1] // 4
+
+    @cached_property
+    def ends(self) -> list[int]:
         ends, at = [0], 0
-        for w in words:
-            at = text.index(w, at) + len(w)
+        for w in self.text.split():
+            at = self.text.index(w, at) + len(w)
             ends.append(at)
-        self.ends = np.asarray(ends)
-        self.sums = np.cumsum([0, *map(tokens.word_count, tokens.words(text))])
+        return ends
 
     def at(self, n_bytes: int) -> int:
         """Tokens of the first ``n_bytes`` bytes, which must end between two characters."""
-        k = int(np.searchsorted(self.ends, n_bytes, "right")) - 1
+        k = bisect_right(self.ends, n_bytes) - 1
         part = self.text[self.ends[k] : n_bytes].split()
-        return int(self.sums[k]) + (self.tokens.word_count(part[0]) if part else 0)
+        return self.sums[k] // 4 + (self.tokens.word_count(part[0]) if part else 0)
 
     def fit(self, budget: int) -> int:
-        """Bytes of the longest prefix made of whole words that has at most ``budget`` tokens."""
-        return int(self.ends[np.searchsorted(self.sums, budget, "right") - 1])
+        """Bytes of the longest prefix made of whole words that has at most ``budget`` tokens, all if the text has."""
+        return len(self.text) if self.total <= budget else self.ends[bisect_right(self.sums, 4 * budget) - 1]
 
     def every(self) -> list[int]:
         """The count after each character, the empty prefix first."""
@@ -163,14 +184,19 @@ def raw(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]
 
 
-def counter(file: str, limit: int, key: str, text: str) -> Callable:
+def prefixes(file: str, text: str, batches) -> Iterator[tuple[pa.RecordBatch, list[PrefixCounts]]]:
+    """Each piece of the batches with the prefix counts of its texts."""
+    tokens = word_tokens(file)
+    for b in common.pieces(batches, text):
+        yield b, [PrefixCounts(x, tokens, ids) for x, ids in tokens.of_texts(raw(b.column(text)))]
+    tokens.rest()
+
+
+def counter(file: str, limit: int) -> Callable:
     def run(batches):
-        tokens = word_tokens(file)
-        for b in batches:
-            rows = raw(b.column(text))
-            n = np.asarray([sum(map(len, ids)) // 4 for _, ids in tokens.of_texts(rows)], "int64")
-            fits = [len(x) if k <= limit else PrefixCounts(x, tokens).fit(limit) for x, k in zip(rows, n, strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(key), pa.array([len(x) for x in rows], pa.int64()), pa.array(n), pa.array(n > limit), pa.array(fits, pa.int64())], ["id", "n_bytes", "n_tokens", "over_limit", "fit_bytes"])
+        for b, got in prefixes(file, "text", batches):
+            n = [g.total for g in got]
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([len(g.text) for g in got], pa.int64()), pa.array(n, pa.int64()), pa.array([k > limit for k in n], pa.bool_()), pa.array([g.fit(limit) for g in got], pa.int64())], ["id", "n_bytes", "n_tokens", "over_limit", "fit_bytes"])
 
     return run
 
@@ -182,20 +208,21 @@ def token_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", file:
     gives them; ids may repeat or be null and are passed on.  No rows are moved between tasks.
     ``file`` is a vocabulary file of the public tokenizers or a path.
     """
-    kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(counter(file, limit, key, text), f"id {kind}, n_bytes bigint, n_tokens bigint, over_limit boolean, fit_bytes bigint")
+    common.small_batches(docs.sparkSession)
+    rows = docs.select(common.column(key).alias("id"), common.column(text).alias("text"))
+    return rows.mapInArrow(counter(file, limit), f"id {rows.schema['id'].dataType.simpleString()}, n_bytes bigint, n_tokens bigint, over_limit boolean, fit_bytes bigint")
 
 
 def prefix_table(docs: DataFrame, key: str = "doc_id", text: str = "text", file: str = common.TOKENIZER_FILE) -> DataFrame:
     """Per row: id, ends (byte offset after each word) and counts (tokens up to there), both starting at 0."""
 
     def run(batches):
-        tokens = word_tokens(file)
-        for b in batches:
-            got = [PrefixCounts(x, tokens) for x in raw(b.column(text))]
-            yield pa.RecordBatch.from_arrays([b.column(key), pa.array([g.ends for g in got], pa.list_(pa.int64())), pa.array([g.sums for g in got], pa.list_(pa.int64()))], ["id", "ends", "counts"])
+        for b, got in prefixes(file, "text", batches):
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([g.ends for g in got], pa.list_(pa.int64())), pa.array([[x // 4 for x in g.sums] for g in got], pa.list_(pa.int64()))], ["id", "ends", "counts"])
 
-    return docs.select(key, text).mapInArrow(run, f"id {docs.schema[key].dataType.simpleString()}, ends array<bigint>, counts array<bigint>")
+    common.small_batches(docs.sparkSession)
+    rows = docs.select(common.column(key).alias("id"), common.column(text).alias("text"))
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, ends array<bigint>, counts array<bigint>")
 
 
 def within_budget(prefixes: DataFrame, budget: int) -> DataFrame:

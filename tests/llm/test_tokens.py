@@ -29,6 +29,14 @@ def test_counts_match_the_library(spark, docs):
         assert len(ids(cut.decode())) <= 2048
 
 
+def test_random_strings_match_the_library():
+    r, tokens = random.Random(12), token_counts.word_tokens(common.TOKENIZER_FILE)
+    letters = "abcİıIßſKÅΣσς.,;:!?'\" \t\n-_#<|>0123½²Ⅷ①é\u0301日本ñÑÄ\xa0\u200bﬁ😀ǅŉẞ\u0345\u037e。"
+    lines = ["".join(r.choice(letters) for _ in range(r.randint(1, 14))) + r.choice(["", " İ.", "<|endoftext|>", " é!"]) for _ in range(20_000)]
+    for t, (_, parts) in zip(lines, tokens.of_texts([t.encode() for t in lines]), strict=True):
+        assert np.frombuffer(b"".join(parts), "<u4").tolist() == ids(t), t
+
+
 def test_every_prefix_is_exact():
     tokens = token_counts.word_tokens(common.TOKENIZER_FILE)
     for t in texts(10):
