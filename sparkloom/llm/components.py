@@ -16,7 +16,7 @@ def components(links: DataFrame) -> DataFrame:
     Spark splits.  No links give no rows.
     """
     edges = common.stored(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "components")
-    before = None
+    before, old = None, [edges]
     while True:
         both = edges.select(F.col("u").alias("x"), F.col("v").alias("y")).unionByName(edges.select(F.col("v").alias("x"), F.col("u").alias("y")))
         least = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
@@ -24,6 +24,8 @@ def components(links: DataFrame) -> DataFrame:
         lowest = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(lowest, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = common.stored(moved.unionByName(lowest.select("u", F.col("m").alias("v"))).distinct(), "components")
+        common.done_with(*old, large)
+        old = [edges]
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break

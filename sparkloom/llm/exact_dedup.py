@@ -32,18 +32,14 @@ def sha256(text: Column) -> Column:
     return F.sha2(text, 256)
 
 
-def located(docs: DataFrame) -> DataFrame:
-    """Append ``x_file`` and ``x_row``: where a row's content lies. The table must be a plain file scan."""
-    return docs.select("*", F.col("_metadata.file_path").alias("x_file"), F.col("_metadata.row_index").alias("x_row"))
+def standing() -> Column:
+    """What orders the rows (id, text, x_file, x_row) of a group: the least stays."""
+    return F.struct((-F.length(F.coalesce("text", F.lit("")))).alias("fewer"), F.col("id").isNull().alias("no_id"), "id", F.col("x_file").alias("file"), F.col("x_row").alias("row"))
 
 
-def standing(key: str, text: str) -> Column:
-    """What orders the rows of a group: the least stays."""
-    return F.struct((-F.length(F.coalesce(F.col(text), F.lit("")))).alias("fewer"), F.col(key).isNull().alias("no_id"), F.col(key).alias("id"), F.col("x_file").alias("file"), F.col("x_row").alias("row"))
-
-
-def fingerprints(docs: DataFrame, key: str, text: str, digest=sha256) -> DataFrame:
-    return docs.select(digest(normal(F.col(text))).alias("digest"), standing(key, text).alias("best"))
+def fingerprints(rows: DataFrame, digest=sha256) -> DataFrame:
+    """(digest, best) of rows (id, text, x_file, x_row)."""
+    return rows.select(digest(normal(F.col("text"))).alias("digest"), standing().alias("best"))
 
 
 def absorb(spark: SparkSession, incoming: str, state: str, max_bytes: str | None = None) -> DataFrame:
@@ -72,39 +68,46 @@ def absorb(spark: SparkSession, incoming: str, state: str, max_bytes: str | None
 
 
 def assigned(docs: DataFrame, key: str = "doc_id", text: str = "text", digest=sha256) -> DataFrame:
-    """One row per row of ``docs``: x_file, x_row, id, digest, keep_id, group_size, kept.
+    """One row per row of a plain file scan: x_file, x_row, id, digest, keep_id, group_size, kept.
 
-    ``docs`` needs the columns of ``located``.  Null text counts as empty, and all empty texts are
-    one group; a null id sorts last.  Rows that agree in everything are told apart by their locator,
-    so exactly one row of each group is kept.  An empty table gives an empty table.
+    Null text counts as empty, and all empty texts are one group; a null id sorts last.  Rows that agree
+    in everything are told apart by their locator, so exactly one row of each group is kept.  Every call
+    has a state of its own; ``absorb`` is what goes on from an older one.  An empty table gives an empty
+    table; columns other than ``key`` and ``text`` aren't read.
     """
     spark = docs.sparkSession
-    path = common.shared_dir(spark, "dedup-prints")
-    fingerprints(docs, key, text, digest).write.parquet(path)
+    full = common.located(docs, id=key, text=text)
+    path, held = common.shared_dir(spark, "dedup-prints"), common.shared_dir(spark, "dedup-state")
+    fingerprints(full, digest).write.option("parquet.block.size", common.ROW_GROUP).parquet(path)
     prints = spark.read.parquet(path)
-    state = common.stored(absorb(spark, path, common.shared_dir(spark, "dedup-state")), "dedup-groups") if prints.head(1) else prints.withColumn("seen", F.lit(1).cast("bigint"))
+    state = common.stored(absorb(spark, path, held), "dedup-groups") if prints.head(1) else prints.withColumn("seen", F.lit(1).cast("bigint"))
+    common.remove(spark, held)
     narrow = prints.select("digest", F.col("best.id").alias("id"), F.col("best.file").alias("x_file"), F.col("best.row").alias("x_row"))
     rows = narrow.join(state, "digest").select("digest", "id", "x_file", "x_row", F.col("best.id").alias("keep_id"), F.col("seen").alias("group_size"), ((F.col("x_file") == F.col("best.file")) & (F.col("x_row") == F.col("best.row"))).alias("kept"))
-    odd = collided(docs, state, text, digest)
+    odd = collided(full, state, digest)
     if not odd.head(1):
         return rows
-    full = docs.select(digest(normal(F.col(text))).alias("digest"), normal(F.col(text)).alias("normal"), standing(key, text).alias("best")).join(odd, "digest", "left_semi")
-    groups = full.groupBy("digest", "normal").agg(F.min("best").alias("top"), F.count("*").alias("group_size"))
-    again = full.join(groups, ["digest", "normal"]).select("digest", F.col("best.id").alias("id"), F.col("best.file").alias("x_file"), F.col("best.row").alias("x_row"), F.col("top.id").alias("keep_id"), "group_size", (F.col("best") == F.col("top")).alias("kept"))
+    odd_rows = full.select(digest(normal(F.col("text"))).alias("digest"), normal(F.col("text")).alias("normal"), standing().alias("best")).join(odd, "digest", "left_semi")
+    groups = odd_rows.groupBy("digest", "normal").agg(F.min("best").alias("top"), F.count("*").alias("group_size"))
+    again = odd_rows.join(groups, ["digest", "normal"]).select("digest", F.col("best.id").alias("id"), F.col("best.file").alias("x_file"), F.col("best.row").alias("x_row"), F.col("top.id").alias("keep_id"), "group_size", (F.col("best") == F.col("top")).alias("kept"))
     return rows.join(odd, "digest", "left_anti").unionByName(again)
 
 
-def collided(docs: DataFrame, state: DataFrame, text: str, digest) -> DataFrame:
+def collided(full: DataFrame, state: DataFrame, digest) -> DataFrame:
     """Digests under which two different normalised texts were found, by comparing whole texts."""
     groups = state.where("seen > 1").select("digest", "best.file", "best.row", F.ceil(F.col("seen") / ROWS_PER_SALT).cast("int").alias("salts"))
-    members = common.stored(docs.select(digest(normal(F.col(text))).alias("digest"), normal(F.col(text)).alias("normal"), "x_file", "x_row").join(groups, "digest"), "dedup-members")
+    members = common.stored(full.select(digest(normal(F.col("text"))).alias("digest"), normal(F.col("text")).alias("normal"), "x_file", "x_row").join(groups, "digest"), "dedup-members")
     first = members.where((F.col("x_file") == F.col("file")) & (F.col("x_row") == F.col("row"))).select("digest", F.col("normal").alias("held"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
     rest = members.select("digest", "normal", F.pmod(F.xxhash64("x_file", "x_row"), F.col("salts")).cast("int").alias("salt"))
-    return common.stored(rest.join(first, ["digest", "salt"]).where(F.col("normal") != F.col("held")).select("digest").distinct(), "dedup-collided")
+    found = common.stored(rest.join(first, ["digest", "salt"]).where(F.col("normal") != F.col("held")).select("digest").distinct(), "dedup-collided")
+    common.done_with(members)
+    return found
 
 
 def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows that stay, with their columns as they were. ``docs`` must be a plain file scan."""
-    full = located(docs)
-    kept = assigned(full, key, text).where("kept").select("x_file", "x_row")
-    return full.join(kept, ["x_file", "x_row"], "left_semi").select(*docs.columns)
+    """The rows of a plain file scan that stay, with their columns as they were, whatever their names.
+
+    Of equal texts the row with the most code points stays, then the smallest id (null last), then the
+    first in place; null and empty texts are equal.  An empty table gives an empty table.
+    """
+    return common.placed(docs, assigned(docs, key, text).where("kept"))

@@ -24,7 +24,6 @@ from pyspark.sql import functions as F
 
 from . import common
 from .components import components
-from .exact_dedup import located
 from .token_counts import raw
 
 UNIVERSE = 1 << 20
@@ -115,52 +114,32 @@ def bands(sig: np.ndarray, rows: int = ROWS) -> np.ndarray:
     return out.view("int64")
 
 
-def _signed(key: str, text: str, words: int):
+def _signed(words: int):
     def run(batches):
         number = TaskContext.get().partitionId() << 33
-        for b in batches:
+        for b in common.pieces(batches, "text"):
             n, digests, keys, sketches = [], [], [], []
-            for x in raw(b.column(text)):
+            for x in raw(b.column("text")):
                 s = shingles(x, words)
                 n.append(len(s))
                 digests.append(blake2b(s.tobytes(), digest_size=16).digest())
                 sig = signature(s) if len(s) else np.empty(0, "int32")
                 keys.append(bands(sig))
                 sketches.append(sketch(sig))
-            yield pa.RecordBatch.from_arrays([pa.array(range(number, number + len(n)), pa.int64()), b.column(key), b.column("x_file"), b.column("x_row"), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))], ["rid", "id", "x_file", "x_row", "n", "digest", "bands", "sketch"])
+            yield pa.RecordBatch.from_arrays([pa.array(range(number, number + len(n)), pa.int64()), b.column("id"), b.column("x_file"), b.column("x_row"), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))], ["rid", "id", "x_file", "x_row", "n", "digest", "bands", "sketch"])
             number += len(n)
         _words.clear()  # idle workers hold nothing
+        common.trim()
 
     return run
 
 
-def _sets(text: str, words: int):
+def _hashed(words: int):
     def run(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("cid"), pa.array([shingles(x, words).tobytes() for x in raw(b.column(text))], pa.binary())], ["cid", "hashes"])
-
-    return run
-
-
-def _hashed(text: str, words: int):
-    def run(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("cid"), pa.array([shingles(x, words).view("int64") for x in raw(b.column(text))], pa.list_(pa.int64()))], ["cid", "hashes"])
-
-    return run
-
-
-def _verified(percent: int):
-    def run(batches):
-        for b in batches:
-            good = []
-            for x, y in zip(b.column("left").to_pylist(), b.column("right").to_pylist(), strict=True):
-                x, y = np.frombuffer(x, "uint64"), np.frombuffer(y, "uint64")
-                both = np.concatenate([x, y])
-                both.sort(kind="stable")
-                shared = int((both[1:] == both[:-1]).sum())
-                good.append(100 * shared >= percent * (len(both) - shared))
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(good, pa.bool_()))
+        for b in common.pieces(batches, "text"):
+            yield pa.RecordBatch.from_arrays([b.column("cid"), pa.array([shingles(x, words).view("int64") for x in raw(b.column("text"))], pa.list_(pa.int64()))], ["cid", "hashes"])
+        _words.clear()
+        common.trim()
 
     return run
 
@@ -170,33 +149,37 @@ def _near_sizes(percent: int):
 
 
 def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """One row per row of ``docs`` (columns of ``located``): id, x_file, x_row, n_shingles, component_id, kept.
+    """One row per row of a plain file scan: id, x_file, x_row, n_shingles, component_id, kept.
 
     The component is the smallest id reachable by links of Jaccard similarity ``percent``.  Texts that
     are null, empty or without words have an empty set, link with nothing and stand alone.  Texts of
     fewer than ``words`` words have one shingle, the whole sequence.  Of rows with the same id only
     the one first in file order is kept; null ids are never a component's id unless alone in it.
+    An empty table gives an empty table; columns other than ``key`` and ``text`` aren't read.
     """
-    signed = docs.select(key, text, "x_file", "x_row").mapInArrow(_signed(key, text, words), f"rid bigint, id {docs.schema[key].dataType.simpleString()}, x_file string, x_row bigint, n bigint, digest binary, bands array<bigint>, sketch array<bigint>")
+    common.small_batches(docs.sparkSession)
+    places = common.located(docs, id=key, text=text)
+    signed = places.mapInArrow(_signed(words), f"rid bigint, id {places.schema['id'].dataType.simpleString()}, x_file string, x_row bigint, n bigint, digest binary, bands array<bigint>, sketch array<bigint>")
     signed = common.stored(signed, "near-signatures")
     classes = signed.where("n > 0").groupBy("digest").agg(F.min("rid").alias("cid"))
     members = common.stored(signed.where("n > 0").select("rid", "id", "x_file", "x_row", "n", "digest").join(classes, "digest").drop("digest"), "near-members")
     heads = members.where("rid = cid").select("cid", "x_file", "x_row", "n")
+    marks = signed.select(F.col("rid").alias("cid"), "sketch")
 
     banded = signed.where("n > 0").join(heads.select("cid"), F.col("rid") == F.col("cid"), "left_semi").select(F.col("rid").alias("cid"), "n", F.explode("bands").alias("bucket"))
     shared = common.stored(banded.groupBy("bucket").agg(F.count("*").alias("held"), F.min("cid").alias("least")).where("held > 1"), "near-buckets")
     rows = common.stored(banded.join(shared, "bucket"), "near-rows")
     small, large = rows.where(F.col("held") <= SMALL), rows.where(F.col("held") > SMALL)
     score = large.groupBy("cid").agg(F.sum("held").alias("score"))
-    big = common.stored(large.join(score, "cid").join(signed.select(F.col("rid").alias("cid"), "sketch"), "cid"), "near-big")
+    big = common.stored(large.join(score, "cid").join(marks, "cid"), "near-big")
     other = lambda df: df.select("bucket", F.col("cid").alias("cid2"), F.col("n").alias("n2"))
     pairs = small.join(other(small), "bucket").where((F.col("cid") < F.col("cid2")) & _near_sizes(percent)).select(F.col("cid").alias("a"), F.col("cid2").alias("b"))
     rank = F.struct("score", F.col("cid").alias("cid2"), F.col("n").alias("n2"), F.col("sketch").alias("sketch2"))
     best = [F.max(F.when(F.pmod(F.xxhash64("cid"), F.lit(PIVOTS)) == k, rank)).alias(f"p{k}") for k in range(PIVOTS)]
     pivots = big.groupBy("bucket").agg(*best).select("bucket", F.explode(F.array(*[f"p{k}" for k in range(PIVOTS)])).alias("p")).where("p is not null").select("bucket", "p.cid2", "p.n2", "p.sketch2")
     starred = big.join(pivots, "bucket").where((F.col("cid") != F.col("cid2")) & _near_sizes(percent) & _may_link(percent)).select(F.least("cid", "cid2").alias("a"), F.greatest("cid", "cid2").alias("b"))
-    pairs = common.stored(pairs.unionByName(starred).distinct(), "near-pairs")
-    links = _confirmed(docs, heads, pairs, text, words, percent)
+    pairs = common.stored(_likely(pairs.distinct(), marks, percent).unionByName(starred).distinct(), "near-pairs")
+    links = _confirmed(places, heads, pairs, words, percent)
     found = common.stored(components(links), "near-components")
 
     if big.head(1):
@@ -205,51 +188,71 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words:
         late = common.stored(placed.join(main, "bucket").where("component <> main").select("bucket", "cid"), "near-late")
         if late.head(1):
             asked = placed.join(late.select("bucket").distinct(), "bucket", "left_semi").groupBy("cid").agg(F.first("n").alias("n"), F.first("component").alias("component"))
-            asked = asked.join(late.select("cid").distinct().withColumn("late", F.lit(True)), "cid", "left").select("cid", "n", "component", F.coalesce("late", F.lit(False)).alias("late"))
-            more = common.stored(_prefix_pairs(docs, heads, common.stored(asked, "near-asked"), text, words, percent), "near-pairs")
-            extra = _confirmed(docs, heads, more, text, words, percent)
+            asked = asked.join(late.select("cid").distinct().withColumn("late", F.lit(True)), "cid", "left").join(marks, "cid").select("cid", "n", "component", F.coalesce("late", F.lit(False)).alias("late"), "sketch")
+            more = common.stored(_prefix_pairs(places, heads, common.stored(asked, "near-asked"), words, percent), "near-pairs")
+            extra = _confirmed(places, heads, more, words, percent)
             found = common.stored(components(links.unionByName(extra)), "near-components")
+        common.done_with(placed, late)
 
     grouped = common.stored(members.join(found, F.col("cid") == F.col("node"), "left").select("id", "x_file", "x_row", F.col("n").alias("n_shingles"), F.coalesce("component", "cid").alias("c")), "near-grouped")
     best = F.struct(F.col("id").isNull().alias("no_id"), "id", "x_file", "x_row")
     tops = grouped.groupBy("c").agg(F.min(best).alias("top"))
     is_top = (F.col("x_file") == F.col("top.x_file")) & (F.col("x_row") == F.col("top.x_row"))
     linked = grouped.join(tops, "c").select("id", "x_file", "x_row", "n_shingles", F.col("top.id").alias("component_id"), is_top.alias("kept"))
+    common.done_with(members, shared, rows, big, pairs, links, found)
     return linked.unionByName(signed.where("n = 0").select("id", "x_file", "x_row", F.col("n").alias("n_shingles"), F.col("id").alias("component_id"), F.lit(True).alias("kept")))
 
 
-def _prefix_pairs(docs: DataFrame, heads: DataFrame, asked: DataFrame, text: str, words: int, percent: int) -> DataFrame:
-    """(a, b): all pairs of ``asked`` (cid, n, component, late) that may be linked, one of them late, in different components.
+def _likely(pairs: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sketches leave a link possible: narrow rows, before full sets are moved."""
+    side = lambda c, name: marks.select(F.col("cid").alias(c), F.col("sketch").alias(name))
+    return pairs.join(side("a", "sketch"), "a").join(side("b", "sketch2"), "b").where(_may_link(percent)).select("a", "b")
+
+
+def _prefix_pairs(places: DataFrame, heads: DataFrame, asked: DataFrame, words: int, percent: int) -> DataFrame:
+    """(a, b): all pairs of ``asked`` (cid, n, component, late, sketch) that may be linked, one of them late, in different components.
 
     Sets of sizes n and m that are similar enough share at least k = percent (n + m) / (100 + percent)
     shingles.  In any order common to both, the first n - k + 1 of one and the first m - k + 1 of the other
-    then have one in common; the rarest first makes that rare.
+    then have one in common; the rarest first makes that rare.  Where many sets share even their rarest
+    shingles, the sketches, compared in the join itself, keep unlike sets from becoming rows.
     """
-    places = heads.select("cid", "x_file", "x_row").join(asked.select("cid"), "cid")
-    sets = common.stored(docs.select(text, "x_file", "x_row").join(places, ["x_file", "x_row"]).select("cid", text).mapInArrow(_hashed(text, words), "cid bigint, hashes array<bigint>"), "near-asked-sets")
+    sets = common.stored(_sets(places, heads, asked.select("cid"), words), "near-asked-sets")
     cells = sets.select("cid", F.explode("hashes").alias("z"))
     counted = cells.join(cells.groupBy("z").agg(F.count("*").alias("f")), "z")
     first = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
     ordered = counted.groupBy("cid").agg(F.array_sort(F.collect_list(F.struct("f", "z"))).alias("order")).join(asked, "cid")
-    posted = ordered.select("cid", "n", "component", "late", F.posexplode(F.slice("order", F.lit(1), first.cast("int"))).alias("at", "o")).where("o.f > 1")
-    posted = common.stored(posted.select(F.col("o.z").alias("z"), "cid", "n", "component", "late", "at"), "near-posted")
-    other = posted.select("z", *[F.col(c).alias(f"{c}2") for c in ("cid", "n", "component", "late", "at")])
+    kinds = ("n", "component", "late", "sketch")
+    posted = ordered.select("cid", *kinds, F.posexplode(F.slice("order", F.lit(1), first.cast("int"))).alias("at", "o")).where("o.f > 1")
+    posted = common.stored(posted.select(F.col("o.z").alias("z"), "cid", *kinds, "at"), "near-posted")
+    other = posted.select("z", *[F.col(c).alias(f"{c}2") for c in ("cid", *kinds, "at")])
     least = F.ceil((F.col("n") + F.col("n2")) * percent / (100 + percent))
-    fits = (F.col("component") != F.col("component2")) & (~F.col("late2") | (F.col("cid") < F.col("cid2"))) & _near_sizes(percent) & (F.col("at") <= F.col("n") - least) & (F.col("at2") <= F.col("n2") - least)
+    fits = (F.col("component") != F.col("component2")) & (~F.col("late2") | (F.col("cid") < F.col("cid2"))) & _near_sizes(percent) & (F.col("at") <= F.col("n") - least) & (F.col("at2") <= F.col("n2") - least) & _may_link(percent)
     return posted.where("late").join(other, "z").where(fits).select(F.least("cid", "cid2").alias("a"), F.greatest("cid", "cid2").alias("b")).distinct()
 
 
-def _confirmed(docs: DataFrame, heads: DataFrame, pairs: DataFrame, text: str, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
+def _sets(places: DataFrame, heads: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """(cid, hashes) of the wanted classes, from the text of their first member."""
+    at = heads.join(wanted, "cid").select("cid", "x_file", "x_row")
+    return places.select("text", "x_file", "x_row").join(at, ["x_file", "x_row"]).select("cid", "text").mapInArrow(_hashed(words), "cid bigint, hashes array<bigint>")
+
+
+def _confirmed(places: DataFrame, heads: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough; Spark intersects them, one pair at a time."""
     wanted = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct()
-    places = heads.join(wanted, "cid").select("cid", "x_file", "x_row")
-    sets = common.stored(docs.select(text, "x_file", "x_row").join(places, ["x_file", "x_row"]).select("cid", text).mapInArrow(_sets(text, words), "cid bigint, hashes binary"), "near-sets")
+    sets = common.stored(_sets(places, heads, wanted, words), "near-sets")
     side = lambda c, name: sets.select(F.col("cid").alias(c), F.col("hashes").alias(name))
-    return common.stored(pairs.join(side("a", "left"), "a").join(side("b", "right"), "b").select("a", "b", "left", "right").mapInArrow(_verified(percent), "a bigint, b bigint"), "near-links")
+    both = pairs.join(side("a", "left"), "a").join(side("b", "right"), "b")
+    both = both.select("a", "b", F.size(F.array_intersect("left", "right")).alias("shared"), (F.size("left") + F.size("right")).alias("sizes"))
+    links = common.stored(both.where(F.col("shared") * 100 >= percent * (F.col("sizes") - F.col("shared"))).select("a", "b"), "near-links")
+    common.done_with(sets)
+    return links
 
 
 def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """One row of each group of a plain file scan, with its columns as they were."""
-    full = located(docs)
-    kept = near_groups(full, key, text, words, percent).where("kept").select("x_file", "x_row")
-    return full.join(kept, ["x_file", "x_row"], "left_semi").select(*docs.columns)
+    """One row of each group of a plain file scan, with its columns as they were, whatever their names.
+
+    Rows of a group are ordered by id (null last), then by place, so exactly one stays of rows that agree
+    in everything.  Null and empty texts all stay.  An empty table gives an empty table.
+    """
+    return common.placed(docs, near_groups(docs, key, text, words, percent).where("kept"))

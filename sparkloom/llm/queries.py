@@ -18,8 +18,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = exact_dedup.located(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return exact_dedup.assigned(docs).select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
+    return exact_dedup.assigned(common.table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
 
 
 OP6_SQL = """
@@ -45,11 +44,23 @@ SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = comp
 
 
 def op8_sql() -> str:
-    """Counts by windows of words, the sketch by ranks of log bins, limits with the fallbacks of small groups."""
+    """Counts by windows of words; quantiles by ranks of log bins; valleys by sums over doublings; small groups fall back."""
     gamma = (1 + quality.ACCURACY) / (1 - quality.ACCURACY)
-    ranked = lambda keys, tag: f"{tag} AS (SELECT {keys}rate, max(total) AS total, min(bin) FILTER (100 * k >= 50 * total) AS b50, min(bin) FILTER (100 * k >= 90 * total) AS b90 FROM (SELECT *, row_number() OVER (PARTITION BY {keys}rate ORDER BY bin) AS k, count(*) OVER (PARTITION BY {keys}rate) AS total FROM b) GROUP BY {keys}rate)"
-    pick = lambda x: f"CASE WHEN o.total >= {quality.MIN_GROUP} THEN o.{x} WHEN l.total >= {quality.MIN_GROUP} THEN l.{x} ELSE a.{x} END"
-    rates = ", ".join(f"('{r}', {c}, {slack})" for r, (c, slack) in quality.RATES.items())
+    value = lambda b: f"CASE WHEN {b} < 0 THEN 0.0::DOUBLE ELSE pow({gamma!r}::DOUBLE, {b}) END"
+
+    def limits(keys: str, tag: str) -> str:
+        near, far = f"({value('b90')} - {value('b50')})", f"({value('b95')} - {value('b50')})"
+        points = ", ".join(f"min(bin) FILTER (100 * k >= {q} * total) AS b{q}" for q in (50, 90, 95))
+        return f"""
+{tag}q AS (SELECT {keys}rate, max(total) AS total, {points} FROM (SELECT *, row_number() OVER (PARTITION BY {keys}rate ORDER BY bin) AS k, count(*) OVER (PARTITION BY {keys}rate) AS total FROM b) GROUP BY ALL),
+{tag}f AS (SELECT {keys}rate, total, CASE WHEN b90 > b50 THEN {value('b50')} + {near} * pow({far} / {near}, {quality.REACH}) END AS fence FROM {tag}q),
+{tag}d AS (SELECT {keys}rate, floor(bin / {quality.DOUBLING})::INTEGER AS d, count(*) AS n FROM b GROUP BY ALL),
+{tag}v AS (SELECT {keys}rate, pow({gamma!r}::DOUBLE, min(d) * {quality.DOUBLING} - 1) AS valley FROM (
+ SELECT *, sum(n) OVER (PARTITION BY {keys}rate) AS total, coalesce(sum(n) OVER (PARTITION BY {keys}rate ORDER BY d RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below,
+ coalesce(sum(n) OVER (PARTITION BY {keys}rate ORDER BY d RANGE BETWEEN UNBOUNDED PRECEDING AND {quality.VALLEY + 1} PRECEDING), 0) AS bulk FROM {tag}d) WHERE {quality.EMPTY} * (below - bulk) < total - below AND 100 * bulk >= {quality.BULK} * total GROUP BY ALL),
+{tag} AS (SELECT f.*, least(fence, valley) AS top FROM {tag}f f LEFT JOIN {tag}v v ON {" AND ".join(f"f.{k} IS NOT DISTINCT FROM v.{k}" for k in [*keys.replace(",", " ").split(), "rate"])}),"""
+
+    rates = ", ".join(f"('{r}', {c})" for r, c in quality.RATES.items())
     return f"""
 WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS t, {WORDS_SQL.format("coalesce(text, '')")} AS w FROM documents),
 g AS (SELECT doc_id, unnest(range(1, len(w) - 3)) AS p, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS g FROM d WHERE len(w) >= 5),
@@ -58,13 +69,11 @@ r AS (SELECT doc_id, sum(fresh)::BIGINT AS n_repeat_words FROM (SELECT doc_id, l
 c AS (SELECT doc_id, lang, source, len(w)::BIGINT AS n_words, length(regexp_replace(t, '[\\x20\\x09-\\x0D]+', '', 'g'))::BIGINT AS word_chars, (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
  len(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')))::BIGINT - len(list_distinct(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]'))))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words FROM d LEFT JOIN r USING (doc_id)),
 f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM c),
-v AS (SELECT f.doc_id, lang, source, base_failed, x.rate, 1000 * x.n // greatest(n_words, 1) AS v, x.slack FROM f, LATERAL (VALUES {rates}) x(rate, n, slack)),
-b AS (SELECT lang, source, rate, CASE WHEN v <= 0 THEN -1 ELSE ceil(ln(v::DOUBLE) / {math.log(gamma)!r})::INTEGER END AS bin FROM v WHERE NOT base_failed),
-{ranked("lang, source, ", "o")},
-{ranked("lang, ", "l")},
-{ranked("", "a")},
-q AS (SELECT o.lang, o.source, o.rate, CASE WHEN {pick("b50")} < 0 THEN 0.0 ELSE pow({gamma!r}, {pick("b50")}) END AS mid, CASE WHEN {pick("b90")} < 0 THEN 0.0 ELSE pow({gamma!r}, {pick("b90")}) END AS high FROM o LEFT JOIN l ON o.lang IS NOT DISTINCT FROM l.lang AND o.rate = l.rate LEFT JOIN a ON o.rate = a.rate),
-over AS (SELECT v.doc_id, bool_or(v.v > coalesce(mid + {quality.SPREAD} * (high - mid) + v.slack, 'inf'::DOUBLE)) AS over FROM v LEFT JOIN q ON v.lang IS NOT DISTINCT FROM q.lang AND v.source IS NOT DISTINCT FROM q.source AND v.rate = q.rate GROUP BY v.doc_id)
+x AS (SELECT f.doc_id, lang, source, base_failed, x.rate, 1000 * x.n // greatest(n_words, 1) AS v FROM f, LATERAL (VALUES {rates}) x(rate, n)),
+b AS (SELECT lang, source, rate, CASE WHEN v <= 0 THEN -1 ELSE ceil(ln(v::DOUBLE) / {math.log(gamma)!r})::INTEGER END AS bin FROM x WHERE NOT base_failed),
+{limits("lang, source, ", "o")}{limits("lang, ", "l")}{limits("", "a")}
+q AS (SELECT o.lang, o.source, o.rate, CASE WHEN o.total >= {quality.MIN_GROUP} THEN o.top WHEN l.total >= {quality.MIN_GROUP} THEN l.top ELSE a.top END AS top FROM o LEFT JOIN l ON o.lang IS NOT DISTINCT FROM l.lang AND o.rate = l.rate LEFT JOIN a ON o.rate = a.rate),
+over AS (SELECT x.doc_id, bool_or(v > coalesce(top, 'inf'::DOUBLE)) AS over FROM x LEFT JOIN q ON x.lang IS NOT DISTINCT FROM q.lang AND x.source IS NOT DISTINCT FROM q.source AND x.rate = q.rate GROUP BY x.doc_id)
 SELECT f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT over AS kept FROM f JOIN over USING (doc_id)
 """
 
@@ -87,8 +96,7 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = exact_dedup.located(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return minhash.near_groups(docs, words=4).select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
+    return minhash.near_groups(common.table(spark, sf_dir, "documents"), words=4).select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
 
 
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ def scan(spark, rows, tmp_path):
 
 
 def test_matches_brute_force(spark, tmp_path):
-    got = exact_dedup.assigned(exact_dedup.located(scan(spark, ROWS, tmp_path).select("doc_id", "text"))).collect()
+    got = exact_dedup.assigned(scan(spark, ROWS, tmp_path)).collect()
     assert len(got) == len(ROWS) and {(r.id, r.digest, r.keep_id, r.group_size) for r in got} == brute(ROWS)
     assert sum(r.kept for r in got) == len({r.digest for r in got})
 
@@ -35,7 +35,7 @@ def test_filter_keeps_columns_and_one_row_a_group(spark, tmp_path):
 
 def test_equal_digests_of_different_texts_are_told_apart(spark, tmp_path):
     weak = lambda c: F.substring(F.sha2(c, 256), 1, 0)
-    got = exact_dedup.assigned(exact_dedup.located(scan(spark, ROWS, tmp_path).select("doc_id", "text")), digest=weak).collect()
+    got = exact_dedup.assigned(scan(spark, ROWS, tmp_path), digest=weak).collect()
     assert sorted((r.id or 0, r.keep_id, r.group_size) for r in got) == sorted((a or 0, k, n) for a, _, k, n in brute(ROWS) for _ in range(1 + (a == 13)))
 
 
@@ -46,7 +46,7 @@ def test_empty_table(spark, tmp_path):
 def test_state_goes_on_with_new_files(spark, tmp_path):
     state = common.shared_dir(spark, "t")
     for k, rows in enumerate(([(1, "a"), (2, "b")], [(3, "a"), (0, "a "), (4, "c")])):
-        docs = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("x_file", F.lit("f")).withColumn("x_row", F.lit(k).cast("bigint"))
-        exact_dedup.fingerprints(docs, "doc_id", "text").write.mode("append").parquet(f"{tmp_path}/in")
+        docs = spark.createDataFrame(rows, "id bigint, text string").withColumn("x_file", F.lit("f")).withColumn("x_row", F.lit(k).cast("bigint"))
+        exact_dedup.fingerprints(docs).write.mode("append").parquet(f"{tmp_path}/in")
         got = exact_dedup.absorb(spark, f"{tmp_path}/in", state)
     assert sorted((r.best.id, r.seen) for r in got.collect()) == [(0, 3), (2, 1), (4, 1)]

@@ -4,7 +4,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from sparkloom.llm import exact_dedup, minhash
+from sparkloom.llm import common, minhash
 from sparkloom.llm.components import components
 
 
@@ -53,7 +53,7 @@ def test_groups_match_brute_force(spark, tmp_path, monkeypatch, small):
     r.shuffle(order)
     rows = list(zip(order, texts, strict=True))
     spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3).write.parquet(f"{tmp_path}/d")
-    got = minhash.near_groups(exact_dedup.located(spark.read.parquet(f"{tmp_path}/d")), words=4).collect()
+    got = minhash.near_groups(spark.read.parquet(f"{tmp_path}/d"), words=4).collect()
     assert sorted((x.id, x.n_shingles, x.component_id) for x in got) == sorted(brute(rows, 4))
     assert all(x.kept == (x.id == x.component_id) for x in got)
 
@@ -83,11 +83,13 @@ def test_prefix_filter_loses_no_link(spark, tmp_path):
     r = random.Random(3)
     rows = list(enumerate(near_copies(r, 25, 6)))
     spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/p")
-    docs = exact_dedup.located(spark.read.parquet(f"{tmp_path}/p"))
+    docs = common.located(spark.read.parquet(f"{tmp_path}/p"), id="doc_id", text="text")
     sets = {k: shingle_set(t, 4) for k, t in rows}
     size = spark.createDataFrame([(k, len(s)) for k, s in sets.items()], "doc_id bigint, n bigint")
-    heads = docs.join(size, "doc_id").selectExpr("doc_id AS cid", "x_file", "x_row", "n")
-    asked = heads.selectExpr("cid", "n", "cid AS component", "cid % 3 = 0 AS late")
-    got = {(x.a, x.b) for x in minhash._prefix_pairs(docs, heads, asked, "text", 4, 80).collect()}
+    heads = docs.join(size.withColumnRenamed("doc_id", "id"), "id").selectExpr("id AS cid", "x_file", "x_row", "n")
+    mark = {k: minhash.sketch(minhash.signature(minhash.shingles(t.encode(), 4))).tolist() for k, t in rows}
+    marks = spark.createDataFrame(list(mark.items()), "cid bigint, sketch array<bigint>")
+    asked = heads.join(marks, "cid").selectExpr("cid", "n", "cid AS component", "cid % 3 = 0 AS late", "sketch")
+    got = {(x.a, x.b) for x in minhash._prefix_pairs(docs, heads, asked, 4, 80).collect()}
     links = {(a, b) for b, y in sets.items() for a, x in sets.items() if a < b and (a % 3 == 0 or b % 3 == 0) and 100 * len(x & y) >= 80 * len(x | y)}
     assert links and links <= got
