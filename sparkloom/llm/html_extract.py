@@ -1,10 +1,12 @@
 """Main text of web pages: markup rules plus removal of what a site repeats on many pages.
 
-A first pass hashes element subtrees and counts in Spark on how many pages of its host each hash
-stands.  A second pass deletes the subtrees that recur across many pages of the host, and everything
-that the markup itself marks as menu, header, footer, sidebar, notice, advert, form, script or
-comment, then joins the remaining blocks.  Where a page names its article, prose inside it is never
-deleted for recurring: copies of an article and shared passages are content.
+A first pass hashes element subtrees and counts in Spark on how many different pages of its host each
+hash stands; equal pages count once, or copies of a page would make a template of its story.  A second pass
+deletes the subtrees that recur across many pages of the host, and everything that the markup itself
+marks as menu, header, footer, sidebar, notice, advert, form, script or comment, then joins the remaining
+blocks.  Where a page names its article, what recurs inside goes if it is a box (a list, table or division
+that holds less than half of the article) or mostly links; bare paragraphs and headings stay,
+for passages that articles share are content.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from pyspark.sql import functions as F
 from . import common
 
 #: A subtree recurs if it stands on so many pages of the host, and on this share of them.
-MIN_PAGES, MIN_SHARE = 5, 0.05
+MIN_PAGES, MIN_SHARE = 5, 0.02
 #: Up to so many recurring subtrees are sent to every executor; beyond, they are joined by shuffle.
 BROADCAST_ROWS = 200_000
 SALTS = 64
@@ -39,6 +41,8 @@ NAMES = frozenset(
 )
 PROTECTED = frozenset("html body main".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Inside a named article, only these go for recurring, whatever they hold.
+BOXES = frozenset("div section ul ol table details fieldset figure".split())
 HASHED = frozenset("div section ul ol table p dl blockquote center td article main h2 h3 h4 h5 h6 details fieldset figure".split())
 
 
@@ -121,7 +125,7 @@ def _dropped(node: Node, inside: bool) -> bool:
     words = re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", f"{found.get('class', '')} {found.get('id', '')}").lower())
     hit = NAMES.intersection(words)
     if tag == "article":
-        hit &= {"comment", "comments", "ad", "ads", "advert", "promo", "sponsored", "related"}
+        hit = {"comment", "comments", "ad", "ads", "advert", "promo", "sponsored", "related", "teaser", "reply"}.intersection(words)
     elif inside:
         hit -= {"header", "legal"}
     return bool(hit) and not (tag in HEADINGS and inside)
@@ -179,7 +183,7 @@ def _link_share(node: Node) -> float:
 
 
 def _roots(root: Node) -> list[Node]:
-    """The named articles that aren't inside something dropped; else the main element."""
+    """The named articles that aren't inside something dropped, comments or teasers; else the main element."""
     articles, mains, todo = [], [], [root]
     while todo:
         x = todo.pop()
@@ -193,11 +197,26 @@ def _roots(root: Node) -> list[Node]:
         elif x.tag == "header" or _dropped(x, False):
             continue
         todo.extend(c for c in reversed(x.children) if not isinstance(c, str))
-    if len(articles) > 1:
-        articles = [max(articles, key=lambda a: len(text_of(a)))]
     return articles or mains[:1]
 
 
+def _size(node: Node) -> int:
+    """Letters of text below."""
+    total, todo = 0, [node]
+    while todo:
+        x = todo.pop()
+        if isinstance(x, str):
+            total += len(x.strip())
+        elif x.tag not in RAW:
+            todo.extend(x.children)
+    return total
+
+
+def _template(node: Node, top: Node, named: bool) -> bool:
+    """Whether a subtree that recurs is the site's and not the article's."""
+    return not named or _link_share(node) > 0.5 or node.tag in BOXES and 2 * _size(node) < _size(top)
+
+
 def main_text(html: str, recurring: frozenset[int] | set[int] = frozenset()) -> str:
     """The text of the article; ``recurring`` has the hashes of the site's template subtrees."""
     root = parse(html)
@@ -229,7 +248,7 @@ def main_text(html: str, recurring: frozenset[int] | set[int] = frozenset()) ->
                     heads = [h for h in _below(x) if h.tag in HEADINGS] if named else []
                     todo.extend(reversed(heads))
                     continue
-                if _dropped(x, named) or id(x) in found and (not named or _link_share(x) > 0.5):
+                if _dropped(x, named) or id(x) in found and _template(x, top, named):
                     if x.tag in BLOCK:
                         close()
                     continue
@@ -256,43 +275,53 @@ def host_of(url: Column) -> Column:
 
 
 def recurring(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(host, hash, pages): subtrees that stand on many pages of their host. Pages without a host have none."""
+    """(host, hash, pages): subtrees that stand on many different pages of their host. Pages without a host have none."""
 
     def run(batches):
-        for b in batches:
-            got = [sorted({h for h, _ in hashes(parse(x)).values()}) if x else [] for x in b.column("html").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("host"), pa.array(got, pa.list_(pa.int64()))], ["host", "hashes"])
-
-    found = pages.select(host_of(F.col(url)).alias("host"), F.col(html).alias("html")).where("host <> ''").mapInArrow(run, "host string, hashes array<bigint>")
-    # The count of a host's pages rides along under a hash that no subtree has as a list element of its own.
+        for b in common.pieces(batches, "html"):
+            texts = [x or "" for x in b.column("html").to_pylist()]
+            digests = [blake2b(x.encode("utf-8", "surrogatepass"), digest_size=16).digest() for x in texts]
+            got = [sorted({h for h, _ in hashes(parse(x)).values()}) for x in texts]
+            yield pa.RecordBatch.from_arrays([b.column("host"), pa.array(digests, pa.binary()), pa.array(got, pa.list_(pa.int64()))], ["host", "page", "hashes"])
+
+    found = pages.select(host_of(common.column(url)).alias("host"), common.column(html).alias("html")).where("host <> ''").mapInArrow(run, "host string, page binary, hashes array<bigint>").dropDuplicates(["host", "page"])
+    # The count of a host's pages rides along under a null, which no subtree has for a hash.
     counted = common.stored(found.select("host", F.explode(F.concat(F.array(F.lit(None).cast("bigint")), "hashes")).alias("hash")).groupBy("host", "hash").agg(F.count("*").alias("pages")).where(F.col("hash").isNull() | (F.col("pages") >= MIN_PAGES)), "html-subtrees")
     of_host = counted.where("hash is null").select("host", F.col("pages").alias("all_pages"))
     return counted.where("hash is not null").join(of_host, "host").where(F.col("pages") >= MIN_SHARE * F.col("all_pages")).select("host", "hash", "pages")
 
 
-def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
+def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", templates: bool = True) -> DataFrame:
     """One row per page: id, url, text.
 
     Null or empty html gives an empty text; a page without a usable URL is treated by its markup
-    alone; repeated rows give repeated results; an empty table gives an empty table.
+    alone, as all pages are without ``templates``; repeated rows give repeated results; an empty table
+    gives an empty table; columns other than the three named aren't read.  Up to ``BROADCAST_ROWS``
+    hashes go to every executor once; more are joined to the pages, hot hosts dealt over salts.
     """
-    site = common.stored(recurring(pages, url, html).groupBy("host").agg(F.collect_list("hash").alias("hashes")).select(F.col("host").alias("t_host"), "hashes"), "html-templates")
+    spark = pages.sparkSession
+    common.small_batches(spark)
+    rows = pages.select(common.column(key).alias("id"), common.column(url).alias("url"), common.column(html).alias("html"), host_of(common.column(url)).alias("host"))
+    kind = f"id {rows.schema['id'].dataType.simpleString()}, url {rows.schema['url'].dataType.simpleString()}, text string"
+    found = recurring(pages, url, html) if templates else spark.createDataFrame([], "host string, hash bigint, pages bigint")
+    site = common.stored(found.groupBy("host").agg(F.collect_list("hash").alias("hashes")), "html-templates")
     size = site.agg(F.coalesce(F.sum(F.size("hashes")), F.lit(0))).first()[0]
-    rows = pages.select(F.col(key).alias("id"), F.col(url).alias("url"), F.col(html).alias("html"), host_of(F.col(url)).alias("host"))
     if size <= BROADCAST_ROWS:
-        rows = rows.join(F.broadcast(site), F.col("host") == F.col("t_host"), "left")
+        sent = spark.sparkContext.broadcast({r.host: frozenset(r.hashes) for r in site.collect()})
+        rows = rows.withColumn("hashes", F.lit(None).cast("array<bigint>"))
     else:
-        salted = site.withColumn("t_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        sent = None
+        salted = site.withColumn("t_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumnRenamed("host", "t_host")
         rows = rows.withColumn("salt", F.pmod(F.xxhash64("id", "url"), F.lit(SALTS)).cast("int")).join(salted, (F.col("host") == F.col("t_host")) & (F.col("salt") == F.col("t_salt")), "left")
 
     def run(batches):
-        sites: dict[str, frozenset] = {}
-        for b in batches:
+        sites: dict[str, frozenset] = sent.value if sent else {}
+        for b in common.pieces(batches, "html"):
             texts = []
-            for host, page, found in zip(b.column("host").to_pylist(), b.column("html").to_pylist(), b.column("hashes"), strict=True):
-                if host not in sites:
-                    sites[host] = frozenset(found.as_py() or ())
-                texts.append(main_text(page or "", sites[host]))
+            for host, page, hashes_ in zip(b.column("host").to_pylist(), b.column("html").to_pylist(), b.column("hashes"), strict=True):
+                if sent is None and host not in sites:
+                    sites[host] = frozenset(hashes_.as_py() or ())
+                texts.append(main_text(page or "", sites.get(host, frozenset())))
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("url"), pa.array(texts, pa.string())], ["id", "url", "text"])
 
-    return rows.select("id", "url", "html", "host", "hashes").mapInArrow(run, f"id {pages.schema[key].dataType.simpleString()}, url string, text string")
+    return rows.select("id", "url", "html", "host", "hashes").mapInArrow(run, kind)

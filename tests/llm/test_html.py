@@ -1,4 +1,6 @@
 import random
+import re
+from html import unescape
 
 import pytest
 
@@ -50,5 +52,47 @@ def test_site_templates_go_and_articles_stay(spark, monkeypatch, rows):
     assert (text[200], text[201], text[202]) == ("Site slogan Call us x home all rights", "", "y")
 
 
+def plain_text(page):
+    """What stands in the paragraphs of a well-formed page, by a pattern instead of a tree."""
+    return " ".join(" ".join(unescape(x).split()) for x in re.findall(r"<(?:h1|p)>(.*?)</(?:h1|p)>", page, re.S))
+
+
+def site(r, host, n):
+    """Pages that share menus, slogans and boxes, some inside the article; and each page's story."""
+    slogan, share, author = ("".join(f"<p>{r.choice('abcdef') * 9} {r.random()}</p>" for _ in range(k)) for k in (2, 1, 3))
+    out = []
+    for i in range(n):
+        story = "".join(f"<p>{' '.join(f'w{r.randint(0, 10**6)}' for _ in range(r.randint(3, 40)))} &amp;\n &eacute;</p>" for _ in range(r.randint(3, 8)))
+        if i % 3 == 0:
+            story += "<p>a passage that many stories share, and that stays</p>" if i % 2 else ""
+            body = f"<article><h1>t{i}</h1>{story}<div>{author}</div><ul><li><a href=/x>Share {host}</a></li></ul></article>"
+            want = plain_text(f"<h1>t{i}</h1>{story}")
+        else:
+            body, want = f"<div>{story}</div>", plain_text(story)
+        out.append((f"http://{host}/{i}", f"<html><body><div>{slogan}</div>{body}<div>{share}</div></body></html>", want))
+    return out
+
+
+def test_results_match_the_stories_only_with_template_removal(spark):
+    r = random.Random(21)
+    rows = [x for host in ("a.example", "b.example:80", "c.example") for x in site(r, host, 40)]
+    pages = spark.createDataFrame([(i, u, p) for i, (u, p, _) in enumerate(rows)], "page_id bigint, url string, html string").repartition(3)
+    got, bare = ({x.id: x.text for x in h.extract(pages, templates=t).collect()} for t in (True, False))
+    assert all(got[i] == want for i, (_, _, want) in enumerate(rows))
+    assert all(bare[i] != want for i, (_, _, want) in enumerate(rows))
+
+
+def test_copies_of_a_page_make_no_template(spark):
+    page = "<html><body><div><p>The only story</p></div></body></html>"
+    rows = [(i, f"http://a.com/{i % 2}", page) for i in range(5)] + [(9, "http://a.com/9", "<article>one</article><article class=teaser>no</article><article>two</article>")]
+    got = {x.id: x.text for x in h.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert got == {**{i: "The only story" for i in range(5)}, 9: "one two"}
+
+
+def test_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "http://a.com/1", "<p>x</p>", "s", 3)], "page_id bigint, url string, html string, host string, `ha.sh` int")
+    assert h.extract(df).collect() == [(1, "http://a.com/1", "x")]
+
+
 def test_empty_table(spark):
     assert h.extract(spark.createDataFrame([], "page_id bigint, url string, html string")).count() == 0
