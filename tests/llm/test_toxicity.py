@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from sparkloom.llm import common, toxicity
 
@@ -42,6 +43,40 @@ def test_counterfactuals_protect_neutral_mentions(spark):
     assert gap[1] < 0.5 * gap[0]
 
 
+def test_swap_groups_are_found_in_the_training_rows(spark):
+    """Two names fill the same slots and are mostly mentioned neutrally; one of them is abused more often."""
+    r, docs, labels = random.Random(11), [], []
+    for i in range(1600):
+        bad = r.random() < 0.15
+        name = "zorg" if r.random() < (0.3 if bad else 0.07) else "blip" if r.random() < 0.15 else None
+        w = [f"w{r.randint(0, 300)}" for _ in range(30)] + (["vile"] if bad and r.random() < 0.7 else [])
+        r.shuffle(w)
+        docs.append((i, " ".join([*w, "people", "of", name, "kind"] if name else w)))
+        labels.append((i, int(bad)))
+    df, lab = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(labels, "doc_id bigint, toxic int")
+    probe = spark.createDataFrame([(1, "people of zorg kind"), (2, "people of blip kind")], "doc_id bigint, text string")
+    models = [toxicity.train(df, lab, identity=(), discover=d, penalty=20.0) for d in (0, 5)]
+    assert models[0].counterfactuals == 0 and ("blip", "zorg") in models[1].found and models[1].counterfactuals > 100
+    gaps = []
+    for m in models:
+        s = {x.id: x.score for x in toxicity.score(probe, m).collect()}
+        gaps.append(s[1] - s[2])
+    assert gaps[0] > 0.05 and gaps[1] < 0.5 * gaps[0]
+
+
+def test_scores_match_a_plain_sum(spark):
+    docs, labels = corpus(random.Random(12), 400)
+    df = spark.createDataFrame(docs, "doc_id bigint, text string").withColumn("id", F.lit("clash"))
+    m = toxicity.train(df, spark.createDataFrame([*labels, (labels[0][0], 1 - labels[0][1])], "doc_id bigint, toxic int"))
+    for x in toxicity.score(df, m).collect():
+        seen = set()
+        for w in docs[x.id][1].lower().split():
+            w = w.strip("_.,;:!?")
+            seen |= {w, *(w[:k] + "*" for k in (4, 5, 6) if len(w) > k)}
+        z = m.bias + sum(v for f, v in m.weights.items() if f in seen)
+        assert abs(x.score - 1 / (1 + np.exp(-z))) < 1e-9
+
+
 def test_gradient():
     r = np.random.default_rng(1)
     rows = [sorted(set(r.integers(0, 6, 3).tolist())) for _ in range(30)]
