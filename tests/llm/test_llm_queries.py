@@ -39,7 +39,7 @@ def folder(tmp_path_factory):
 
     out = tmp_path_factory.mktemp("tables")
     for p in DATA.glob("*.parquet"):
-        shutil.copy(p, out / p.name)
+        shutil.copyfile(p, out / p.name)
     t = pq.read_table(out / "documents.parquet")
     odd = pa.table({"doc_id": pa.array([9001, 9002, 9003, 9003, None], t.schema.field("doc_id").type), "text": pa.array([None, "", "w " * 3000, "w " * 3000, "only one"], t.schema.field("text").type), "lang": pa.array([None, "en", "en", "en", None], t.schema.field("lang").type), "source": pa.array([None, "src0", "src0", "src0", None], t.schema.field("source").type), "n_chars": pa.array([None, 0, 6000, 6000, 8], t.schema.field("n_chars").type)})
     pq.write_table(pa.concat_tables([t, odd.select(t.column_names)]), out / "documents.parquet")
