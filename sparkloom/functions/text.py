@@ -13,11 +13,17 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .columns import let
+
 #: Unicode white space as Python sees it: Java's class and the four information separators.
 BLANK = r"(?U)[\s\x1c-\x1f]"
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
+# What counts as a word, a number and the marks around thoughts and turns.
 WORDS = r"[0-9a-z]+|[\u4e00-\u9fff]+"
 NUMBER = r"-?[0-9]+(?:\.[0-9]+)?"
+THOUGHTS, THOUGHTS_END, TURN_MARK = "<think>", "</think>", r"<\|[^>]*\|>"
+# How an answer names its letter, in the order in which they are tried.
+LETTERS = (r"^\(?([A-E])(?=(?U:[\s.):])|$)", r"(?U)(?:[Aa]nswer|[Oo]ption)\s*(?:is|:)?\s*\(?\b([A-E])\b", r"(?U)\b([A-E])\b")
 
 # The words that decide a check of agreement.
 NEGATIVES = ("不", "别", "无", "no", "not", "false", "否", "错", "wrong", "non")
@@ -48,12 +54,12 @@ def lines(text: Column) -> Column:
 
 def after_thinking(raw: Column) -> Column:
     """What follows the first mark that ends a section of thoughts; all of it without such a mark."""
-    at = F.instr(raw, "</think>")
-    return F.when(at > 0, F.substring(raw, at + 8, F.length(raw))).otherwise(raw)
+    at = F.instr(raw, THOUGHTS_END)
+    return F.when(at > 0, F.substring(raw, at + len(THOUGHTS_END), F.length(raw))).otherwise(raw)
 
 
 def extract_final(raw: Column) -> Column:
-    return strip(F.regexp_replace(after_thinking(raw), r"<\|[^>]*\|>", ""))
+    return strip(F.regexp_replace(after_thinking(raw), TURN_MARK, ""))
 
 
 @F.pandas_udf(T.StringType())
@@ -97,31 +103,48 @@ def printable_share_of_all(text: Column) -> Column:
 
 
 def _tail_repeats(s: Column, most: int) -> Column:
-    same = lambda k: (F.length(s) >= 2 * k) & (F.right(s, k) == F.substring(s, F.length(s) - 2 * k + 1, k))
-    return F.exists(F.sequence(F.lit(8), F.lit(most)), same)
+    """Whether the text ends with a block of 8 to ``most`` characters twice; only its end is looked at."""
+    same = lambda e, k: (F.length(e) >= 2 * k) & (F.right(e, k) == F.substring(e, F.length(e) - 2 * k + 1, k))
+    return let(F.right(s, F.lit(2 * most)), lambda e: F.exists(F.sequence(F.lit(8), F.lit(most)), lambda k: same(e, k)))
 
 
-def _let(value: Column, body) -> Column:
-    """``body(value)`` with ``value`` computed once, however often a lambda in ``body`` reads it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+#: Runs up to this length are sorted out by their beginnings before any is searched for.
+LONG_RUN = 200
 
 
 def _segment_repeats(s: Column) -> Column:
-    """A run of ten characters or more without a space that the text holds five times."""
+    """A run of ten characters or more without a space that the text holds five times.
+
+    A run can only stand inside another run.  Its first ten characters then occur five times among all
+    stretches of ten, which sorting finds; only runs that begin so are searched for.
+    """
     times = lambda hay, x: (F.length(hay) - F.length(F.replace(hay, x, F.lit("")))) >= 5 * F.length(x)
-    among = lambda runs: _let(F.concat_ws(" ", runs), lambda hay: F.exists(F.array_distinct(runs), lambda x: times(hay, x)))
-    return _let(F.regexp_extract_all(s, F.lit(r"\S{10,}"), F.lit(0)), among)  # a run can only stand inside another run
+    stretches = lambda runs: F.array_sort(F.flatten(F.transform(runs, lambda r: F.transform(F.sequence(F.lit(1), F.length(r) - 9), lambda i: F.substring(r, i, F.lit(10))))))
+    often = lambda runs: let(stretches(runs), lambda g: F.array_distinct(F.filter(g, lambda x, i: x == F.get(g, i + 4))))
+    likely = lambda runs: F.when(F.exists(runs, lambda r: F.length(r) > LONG_RUN), F.array_distinct(runs)).otherwise(let(often(runs), lambda b: F.filter(F.array_distinct(runs), lambda r: F.array_contains(b, F.substring(r, 1, 10)))))
+    among = lambda runs: let(F.concat_ws(" ", runs), lambda hay: F.exists(likely(runs), lambda x: times(hay, x)))
+    return let(F.regexp_extract_all(s, F.lit(r"\S{10,}"), F.lit(0)), lambda runs: (F.size(runs) > 0) & among(runs))
+
+
+def repetition_flags(text: Column) -> Column:
+    """A struct (loops, repeats): ``is_repetition_loop`` and ``is_repetition`` of one text, whose common parts are computed once."""
+    four = lambda last: (F.size(last) >= 4) & (F.size(F.array_distinct(F.slice(last, F.greatest(F.size(last) - 3, F.lit(1)), F.lit(4)))) == 1)
+
+    def flags(s, segment):
+        loops = (F.length(s) >= 64) & (segment | _tail_repeats(s, 64) | let(lines(text), four) | s.rlike(r"(.)\1{29,}"))
+        return F.struct(loops.alias("loops"), ((F.length(s) >= 48) & (segment | _tail_repeats(s, 48))).alias("repeats"))
+
+    return let(squeezed(text), lambda s: let((F.length(s) >= 48) & _segment_repeats(s), lambda segment: flags(s, segment)))
 
 
 def is_repetition_loop(text: Column) -> Column:
     """Whether an output ran into a loop: its tail, a segment, its last lines or one character."""
-    four = lambda last: (F.size(last) >= 4) & (F.size(F.array_distinct(F.slice(last, F.greatest(F.size(last) - 3, F.lit(1)), F.lit(4)))) == 1)
-    return _let(squeezed(text), lambda s: (F.length(s) >= 64) & (_tail_repeats(s, 64) | _let(lines(text), four) | s.rlike(r"(.)\1{29,}") | _segment_repeats(s)))
+    return repetition_flags(text)["loops"]
 
 
 def is_repetition(text: Column) -> Column:
     """The same for answers to multiple-choice questions, by tail and segment alone."""
-    return _let(squeezed(text), lambda s: (F.length(s) >= 48) & (_tail_repeats(s, 48) | _segment_repeats(s)))
+    return let(squeezed(text), lambda s: (F.length(s) >= 48) & (_tail_repeats(s, 48) | _segment_repeats(s)))
 
 
 def _found(text: Column, pattern: str) -> Column:
@@ -131,8 +154,8 @@ def _found(text: Column, pattern: str) -> Column:
 def extract_letter(raw: Column) -> Column:
     """The option letter of a completion, null if there is none or the thoughts never end."""
     s = strip(after_thinking(raw))
-    endless = (F.instr(raw, "</think>") == 0) & (F.instr(raw, "<think>") > 0)
-    letter = F.coalesce(_found(s, r"^\(?([A-E])(?=(?U:[\s.):])|$)"), _found(s, r"(?U)(?:[Aa]nswer|[Oo]ption)\s*(?:is|:)?\s*\(?\b([A-E])\b"), _found(s, r"(?U)\b([A-E])\b"))
+    endless = (F.instr(raw, THOUGHTS_END) == 0) & (F.instr(raw, THOUGHTS) > 0)
+    letter = F.coalesce(*[_found(s, p) for p in LETTERS])
     return F.when(endless, F.lit(None).cast("string")).otherwise(letter)
 
 

@@ -69,33 +69,32 @@ def as_tensor(groups: DataFrame, shape) -> TensorFrame:
 
 
 def pack(q: DataFrame, bits: int, group: int) -> DataFrame:
-    """(row, grp, words): codes in 32-bit words, lowest bits first; a code may cross two words."""
-    words = group * bits // 32
+    """(row, grp, words): codes in 32-bit words, lowest bits first; a code may cross two words.
 
-    def word(w):
-        def share(a, i):
-            at = i * bits - w * 32
-            code = F.get("codes", i).cast("bigint")
-            inside = (at > -bits) & (at < 32)
-            shifted = F.when(at >= 0, code * F.pow(F.lit(2.0), F.greatest(at, F.lit(0))).cast("bigint")).otherwise(F.floor(code / F.pow(F.lit(2.0), F.greatest(-at, F.lit(0)))).cast("bigint"))
-            return F.when(inside, a + shifted % F.lit(2**32)).otherwise(a)
+    Each word is an expression over the codes that overlap it, and no others.
+    """
 
-        return F.aggregate(F.sequence(F.lit(0), F.lit(group - 1)), F.lit(0).cast("bigint"), share)
+    def word(w):
+        out = F.lit(0).cast("bigint")
+        for i in range(32 * w // bits, min(group, -(-(32 * w + 32) // bits))):
+            at, code = i * bits - 32 * w, F.get("codes", F.lit(i)).cast("bigint")
+            out = out.bitwiseOR(F.shiftleft(code, at) if at >= 0 else F.shiftright(code, -at))
+        return out.bitwiseAND(F.lit(2**32 - 1))
 
-    return q.select("row", "grp", F.transform(F.sequence(F.lit(0), F.lit(words - 1)), word).alias("words"))
+    return q.select("row", "grp", F.array(*[word(w) for w in range(group * bits // 32)]).alias("words"))
 
 
 def unpack(packed: DataFrame, bits: int, group: int) -> DataFrame:
     """(row, grp, codes) from ``pack``."""
 
     def code(i):
-        at = i * bits
-        word = F.floor(at / 32).cast("int")
-        low = F.floor(F.get("words", word) / F.pow(F.lit(2.0), at % 32)).cast("bigint")
-        high = (F.coalesce(F.get("words", word + 1), F.lit(0)) % F.lit(2**bits)) * F.pow(F.lit(2.0), F.lit(32) - at % 32)
-        return ((low + high.cast("bigint")) % F.lit(2**bits)).cast("int")
+        w, at = divmod(i * bits, 32)
+        out = F.shiftright(F.get("words", F.lit(w)), at)
+        if at + bits > 32:
+            out = out.bitwiseOR(F.shiftleft(F.get("words", F.lit(w + 1)), 32 - at))
+        return out.bitwiseAND(F.lit(2**bits - 1)).cast("int")
 
-    return packed.select("row", "grp", F.transform(F.sequence(F.lit(0), F.lit(group - 1)), code).alias("codes"))
+    return packed.select("row", "grp", F.array(*[code(i) for i in range(group)]).alias("codes"))
 
 
 def half_only(t: TensorFrame) -> TensorFrame:

@@ -9,19 +9,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import let
+
 
 def token_windows(ids: Column, width: int, most: int | None = None) -> Column:
     """Consecutive windows of ``width`` tokens; one that would end exactly with the text is left out."""
-    last = F.floor((F.size(ids) - 1) / width).cast("int")
-    n = last if most is None else F.least(last, F.lit(most))
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), lambda k: F.slice(ids, k * width + 1, F.lit(width)))).otherwise(F.slice(F.array(ids), 1, 0))
+
+    def cut(x):
+        last = F.floor((F.size(x) - 1) / width).cast("int")
+        n = last if most is None else F.least(last, F.lit(most))
+        return F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), lambda k: F.slice(x, k * width + 1, F.lit(width)))).otherwise(F.slice(F.array(x), 1, 0))
+
+    return let(ids, cut)
 
 
 def log_softmax(logits: Column) -> Column:
     """Shifted by the largest logit, so nothing overflows."""
-    top = F.array_max(logits).cast("double")
-    total = F.aggregate(logits, F.lit(0.0), lambda a, x: a + F.exp(x.cast("double") - top))
-    return F.transform(logits, lambda x: x.cast("double") - top - F.ln(total))
+
+
+    def shifted(x, top):
+        total = F.aggregate(x, F.lit(0.0), lambda a, v: a + F.exp(v - top))
+        return let(top + F.ln(total), lambda off: F.transform(x, lambda v: v - off))
+
+    return let(F.transform(logits, lambda x: x.cast("double")), lambda x: let(F.array_max(x), lambda top: shifted(x, top)))
 
 
 def divergence(reference: Column, candidate: Column) -> Column:

@@ -72,11 +72,16 @@ def summary(items: DataFrame) -> DataFrame:
     return items.agg(
         F.count("*").alias("n_questions"), F.count_if(scored).alias("n_scored"), F.count_if(~scored).alias("n_open"),
         of_scored(F.col("source_correct")).alias("source_accuracy"), of_scored(F.col("candidate_correct")).alias("candidate_accuracy"),
-        rate(F.col("agree")).alias("agreement"), of_scored(same).alias("verdict_agreement"), F.array_sort(F.collect_list(F.when(scored & ~same, F.col("id")))).alias("flips"),
+        rate(F.col("agree")).alias("agreement"), of_scored(same).alias("verdict_agreement"), F.count_if(scored & ~same).alias("n_flips"),
         odd("source").alias("source_anomaly_rate"), odd("candidate").alias("candidate_anomaly_rate"),
     )
 
 
+def flips(items: DataFrame) -> DataFrame:
+    """(id) of the scored questions on which the sides' verdicts differ."""
+    return items.where(F.col("scored") & (F.col("source_correct") != F.col("candidate_correct"))).select("id")
+
+
 def by_category(items: DataFrame) -> DataFrame:
     return items.where("scored").groupBy("category").agg(F.count_if("source_correct").alias("source_correct"), F.count_if("candidate_correct").alias("candidate_correct"), F.count("*").alias("n"))
 

@@ -140,7 +140,7 @@ round(avg(((quality = 1) = (toxic = 0))::INTEGER) FILTER (n_chars > 300), 6) AS
 def agreement(spark, sf_dir):
     s = scoring.summary(verdicts(spark, sf_dir))
     r = lambda c: F.round(c, 6).alias(c)
-    return s.select("n_questions", "n_scored", r("source_accuracy"), r("candidate_accuracy"), r("agreement"), r("verdict_agreement"), r("candidate_anomaly_rate"), F.size("flips").cast("bigint").alias("flips"))
+    return s.select("n_questions", "n_scored", r("source_accuracy"), r("candidate_accuracy"), r("agreement"), r("verdict_agreement"), r("candidate_anomaly_rate"), F.col("n_flips").alias("flips"))
 
 
 @query("q_category_table", "SELECT lang AS category, count(*) FILTER (quality = 1) AS source_correct, count(*) FILTER (toxic = 0) AS candidate_correct, count(*) AS n FROM documents JOIN labels USING (doc_id) WHERE n_chars > 300 GROUP BY ALL")

@@ -10,7 +10,6 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..errors import VerifyError
 from ..sources import files, safetensors
@@ -41,9 +40,14 @@ def index_parity(index: DataFrame, held: DataFrame, present: DataFrame) -> DataF
 
 
 def sampled(jobs: DataFrame, always: bool = False) -> DataFrame:
-    """Append ``numeric``: all jobs, or the first of each rule and the small ones."""
-    first = F.row_number().over(Window.partitionBy("rule").orderBy("job_idx")) == 1
-    return jobs.withColumn("numeric", F.lit(True) if always else first | (F.col("n_bytes") < SMALL))
+    """Append ``numeric``: all jobs, or the first of each rule and the small ones.
+
+    The first of each rule is one small row a rule, of which a configuration has few; job numbers are unique in a rule.
+    """
+    if always:
+        return jobs.withColumn("numeric", F.lit(True))
+    first = jobs.groupBy("rule").agg(F.min("job_idx").alias("x_first"))
+    return jobs.join(F.broadcast(first), "rule").withColumn("numeric", (F.col("job_idx") == F.col("x_first")) | (F.col("n_bytes") < SMALL)).drop("x_first")
 
 
 def tolerance(bits, least, most, fixed: float | None = None):

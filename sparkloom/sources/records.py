@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
+import re
+from urllib.parse import unquote
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..errors import SourceError
 from ..functions import text
+from . import files
 
 RUN = "id string, prompt string, raw_output string, gen_s double, load_s double, eval_s double, eval_tokens int, truncated_suspect boolean, truncated boolean, max_tokens int, temp double"
 CHOICE_RUN = "id string, answer_key string, prompt_sha256 string, raw_output string, letter string, gen_s double, truncated boolean, repetition boolean, extra_text boolean, max_tokens int, temp double"
@@ -24,8 +29,7 @@ def _lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def read_runs(spark: SparkSession, path: str, schema: str = RUN) -> DataFrame:
     """Run records, of which the last one of an id counts."""
-    last = Window.partitionBy("id").orderBy(F.desc("x_file"), F.desc("x_block"), F.desc("x_line"))
-    return _lines(spark, path, schema).withColumn("x_rank", F.row_number().over(last)).where("x_rank = 1").drop("x_rank", "x_file", "x_block", "x_line")
+    return latest(_lines(spark, path, schema), ["id"], ["x_file", "x_block", "x_line"]).drop("x_file", "x_block", "x_line")
 
 
 def read_runs_strict(spark: SparkSession, path: str, schema: str = CHOICE_RUN) -> DataFrame:
@@ -35,14 +39,24 @@ def read_runs_strict(spark: SparkSession, path: str, schema: str = CHOICE_RUN) -
     return rows
 
 
+def duplicates(rows: DataFrame, key: str = "id") -> DataFrame:
+    """(key, n) of the keys that several records have; records without one count as one key."""
+    return rows.groupBy(key).agg(F.count("*").alias("n")).where("n > 1")
+
+
 def check_unique(rows: DataFrame, name: str) -> None:
-    seen = rows.groupBy("id").agg(F.count("*").alias("n")).agg(F.sum("n").alias("n"), F.count_if(F.col("id").isNull()).alias("nameless"), F.max(F.when(F.col("n") > 1, F.col("id"))).alias("twice")).first()
-    if not seen.n:
+    if not rows.head(1):
         raise SourceError(f"{name} has no records")
-    if seen.nameless:
+    if rows.where("id is null").head(1):
         raise SourceError(f"{name} has a record without id")
-    if seen.twice is not None:
-        raise SourceError(f"{name} has the id {seen.twice!r} twice")
+    if twice := duplicates(rows).orderBy("id").first():
+        raise SourceError(f"{name} has the id {twice.id!r} twice")
+
+
+def latest(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
+    """Of the records of each key the last one: an aggregate, so before the shuffle each task sends one row a key."""
+    last = F.max_by(F.struct(*rows.columns), F.struct(*order))
+    return rows.groupBy(*key).agg(last.alias("x_last")).select("x_last.*")
 
 
 def read_questions(spark: SparkSession, path: str) -> DataFrame:
@@ -78,27 +92,54 @@ def choice_set(rows: DataFrame) -> DataFrame:
     return rows.where(fine).select("id", "question", text.choice_labels(labels).alias("labels"), texts.alias("texts"), text.answer_key(F.col("answerKey")).alias("answer_key"))
 
 
+def positions(rows: DataFrame, key: str, out: str = "x_at", parts: int = 16) -> DataFrame:
+    """Append each row's position in order of ``key``: ranges are numbered by themselves and shifted by a few counts."""
+    ranged = rows.repartitionByRange(parts, key).withColumn("x_part", F.spark_partition_id())
+    counts = ranged.groupBy("x_part").agg(F.count("*").alias("x_n"))
+    starts = counts.select("x_part", (F.sum("x_n").over(Window.orderBy("x_part")) - F.col("x_n")).alias("x_start"))  # a row for each range
+    within = F.row_number().over(Window.partitionBy("x_part").orderBy(key))
+    return ranged.join(F.broadcast(starts), "x_part").withColumn(out, (within - 1 + F.col("x_start")).cast("bigint")).drop("x_part", "x_start")
+
+
 def subset(rows: DataFrame, n: int, seed: int, key: str = "id") -> DataFrame:
-    """``n`` rows drawn by a seeded shuffle of the positions in order of ``key``; the rows must be few enough to number."""
-    total = rows.count()
-    drawn = list(range(total))
+    """``n`` rows drawn by a seeded shuffle of the positions in order of ``key``, which the driver makes."""
+    drawn = list(range(rows.count()))
     random.Random(seed).shuffle(drawn)
-    wanted = rows.sparkSession.createDataFrame([(i,) for i in sorted(drawn[:n])], "x_at int")
-    numbered = rows.withColumn("x_at", F.row_number().over(Window.orderBy(key)) - 1)
-    return numbered.join(F.broadcast(wanted), "x_at", "left_semi").drop("x_at")
+    wanted = rows.sparkSession.createDataFrame([(i,) for i in sorted(drawn[:n])], "x_at bigint")
+    return positions(rows, key).join(wanted, "x_at", "left_semi").drop("x_at")
 
 
 def subset_hash(rows: DataFrame, key: str = "id") -> str:
-    """sha256 of the rows' canonical JSON in order of ``key``: equal for equal sets, whatever the partitioning."""
-    line = F.to_json(F.struct(*sorted(rows.columns)))
-    return rows.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(key), line.alias("line")))), lambda x: x["line"]), "\n"), 256)).first()[0]
+    """sha256 of the rows' canonical JSON in order of ``key``: equal for equal sets, whatever the partitioning.
 
+    A hash of a sequence has to see it in order; the driver does so one sorted partition at a time.
+    """
+    h, first = hashlib.sha256(), True
+    for r in rows.select(F.col(key).alias("k"), F.to_json(F.struct(*sorted(rows.columns))).alias("line")).orderBy("k", "line").toLocalIterator():
+        h.update((b"" if first else b"\n") + r.line.encode())
+        first = False
+    return h.hexdigest()
+
+
+def read_assets(spark: SparkSession, root: str, step: int = 8 << 20) -> DataFrame:
+    """(path below ``root``, size, sha256) of all files but those whose names start with a dot.
+
+    Spark lists the files; each is hashed piece by piece, so it may be larger than memory.
+    """
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).where(~F.col("path").rlike(r"/\.[^/]*$")).select("path", F.col("length").alias("size"))
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for path, size in zip(b.column("path").to_pylist(), b.column("size").to_pylist(), strict=True):
+                h, plain = hashlib.sha256(), unquote(re.sub(r"^file:/+", "/", path)) if path.startswith("file:") else path
+                for at in range(0, size, step):
+                    h.update(files.read(plain, at, min(step, size - at)))
+                out.append(h.hexdigest())
+            yield b.append_column("sha256", pa.array(out, pa.string()))
 
-def read_assets(spark: SparkSession, root: str) -> DataFrame:
-    """(path below ``root``, size, sha256) of all files but those whose names start with a dot."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     below = F.regexp_replace("path", r"^.*?" + "\\Q" + root.rstrip("/").split("://")[-1].lstrip("/") + "\\E/", "")
-    return files.where(~F.col("path").rlike(r"/\.[^/]*$")).select(below.alias("path"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
+    return listed.mapInArrow(run, "path string, size bigint, sha256 string").select(below.alias("path"), "size", "sha256")
 
 
 def manifest_failures(manifest: DataFrame, found: DataFrame) -> DataFrame:

@@ -25,7 +25,8 @@ def test_paired_scores(spark, tmp_path):
     b = records.read_runs(spark, runs(tmp_path, "b", [*side("4 or 5", "paris", "x " * 3), {"id": "q9", "raw_output": ""}]))
     items = scoring.paired(questions, a, b).cache()
     s = scoring.summary(items).first()
-    assert (s.n_questions, s.n_scored, s.n_open, s.source_accuracy, s.candidate_accuracy, s.verdict_agreement, s.flips) == (3, 2, 1, 1.0, 0.5, 0.5, ["q1"])
+    assert (s.n_questions, s.n_scored, s.n_open, s.source_accuracy, s.candidate_accuracy, s.verdict_agreement, s.n_flips) == (3, 2, 1, 1.0, 0.5, 0.5, 1)
+    assert [r.id for r in scoring.flips(items).collect()] == ["q1"]
     assert {r.category: (r.source_correct, r.candidate_correct, r.n) for r in scoring.by_category(items).collect()} == {"math": (1, 0, 1), "fact": (1, 1, 1)}
     t = scoring.timings(items, "source_gen_s").first()
     assert (t.total_s, t.mean_s, t.median_s) == (4.5, 1.5, 1.5)
