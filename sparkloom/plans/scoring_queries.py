@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import text
+from ..sources import records
+from ..sources.records import normal_checks
 from . import calibration, scoring
 from .catalogue import query
 
@@ -25,9 +26,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@query("q_text_norm")
+def norm_sql(x: str) -> str:
+    """The same for texts without compatibility characters, of which the driver's tables have none."""
+    return f"lower(regexp_replace(nfc_normalize({x}), '[^\\p{{L}}\\p{{N}}]+', '', 'g'))"
+
+
+@query("q_text_norm", f"SELECT doc_id, {norm_sql('text')} AS normal FROM documents")
 def text_norm(spark, sf_dir):
-    """No SQL function folds compatibility characters; tests compare with a plain Python version."""
+    """SQL folds no compatibility characters; tests compare with a plain Python version on texts that have some."""
     return table(spark, sf_dir, "documents").select("doc_id", text.norm(F.coalesce("text", F.lit(""))).alias("normal"))
 
 
@@ -48,8 +54,45 @@ SELECT doc_id, length(s) >= 64 AND ({_loop_sql("s", 64)} OR (len(ln) >= 4 AND le
 
 @query("q_text_repetition_loop", LOOP_SQL)
 def repetition(spark, sf_dir):
-    t = F.col("text")
-    return table(spark, sf_dir, "documents").select("doc_id", text.is_repetition_loop(t).alias("loops"), text.is_repetition(t).alias("repeats"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.repetition_flags(F.col("text")).alias("f")).select("doc_id", "f.loops", "f.repeats")
+
+
+def printable_sql(x: str) -> str:
+    body = f"length(regexp_replace({x}, '{SPACE_SQL}', '', 'g'))"
+    return f"CASE WHEN {body} = 0 THEN 1.0 ELSE length(regexp_replace({x}, '[\\p{{C}}\\p{{Z}}\\s\\x{{fffd}}]', '', 'g')) / {body}::DOUBLE END"
+
+
+#: Characters that don't count as printable in a whole text, as far as the tables or the query have any.
+UNPRINTABLE_SQL = "[\\x00-\\x08\\x0b-\\x1f\\x7f-\\x{a0}]"
+ODD_SQL = "CASE doc_id % 4 WHEN 0 THEN '' WHEN 1 THEN text || repeat(chr(1) || chr(160), (doc_id % 50)::INTEGER) WHEN 2 THEN '�' || text ELSE replace(replace(text, chr(10), ' '), ' ', '_') END"
+
+
+@query("q_text_printable", f"SELECT doc_id, round({printable_sql('t')}, 9) AS ratio, round(CASE WHEN length(t) = 0 THEN 0 ELSE length(regexp_replace(t, '{UNPRINTABLE_SQL}', '', 'g')) / length(t)::DOUBLE END, 9) AS share FROM (SELECT doc_id, {ODD_SQL} AS t FROM documents)")
+def printable(spark, sf_dir):
+    """Both ratios, with characters that can't be printed put into a part of the texts."""
+    k, t = F.col("doc_id") % 4, F.col("text")
+    odd = F.repeat(F.lit("\x01\xa0"), (F.col("doc_id") % 50).cast("int"))
+    mixed = F.when(k == 0, "").when(k == 1, F.concat(t, odd)).when(k == 2, F.concat(F.lit("\ufffd"), t)).otherwise(F.regexp_replace(F.regexp_replace(t, "\n", " "), " ", "_"))
+    d = table(spark, sf_dir, "documents").select("doc_id", mixed.alias("t"))
+    return d.select("doc_id", F.round(text.printable_ratio(F.col("t")), 9).alias("ratio"), F.round(text.printable_share_of_all(F.col("t")), 9).alias("share"))
+
+
+SAID_SQL = "CASE WHEN turn % 4 = 0 THEN '<think>so' || chr(10) || '</think> <|im_start|>' || text || '<|im_end|> ' WHEN turn % 4 = 1 THEN '<think>' || text ELSE '  ' || text || chr(10) END"
+
+
+def said() -> Column:
+    """Turns as raw outputs: with thoughts and marks, with thoughts that never end, and plain."""
+    k, t = F.col("turn") % 4, F.col("text")
+    return F.when(k == 0, F.concat(F.lit("<think>so\n</think> <|im_start|>"), t, F.lit("<|im_end|> "))).when(k == 1, F.concat(F.lit("<think>"), t)).otherwise(F.concat(F.lit("  "), t, F.lit("\n")))
+
+
+def final_sql(x: str) -> str:
+    return strip_sql(f"regexp_replace(CASE WHEN contains({x}, '</think>') THEN substr({x}, instr({x}, '</think>') + 8) ELSE {x} END, '<\\|[^>]*\\|>', '', 'g')")
+
+
+@query("q_extract_final", f"SELECT conv_id, turn, {final_sql('raw')} AS final FROM (SELECT conv_id, turn, {SAID_SQL} AS raw FROM conversations)")
+def final(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", text.extract_final(said()).alias("final"))
 
 
 @query("q_extract_letter", f"""WITH c AS (SELECT conv_id, turn, CASE WHEN turn % 5 = 0 THEN '(' || upper(substr(text, 1, 1)) || ') ' || text WHEN turn % 5 = 1 THEN '<think>so</think> The answer is C. ' || text WHEN turn % 5 = 2 THEN '<think>' || text ELSE text END AS t FROM conversations),
@@ -80,6 +123,49 @@ def check_kinds(spark, sf_dir):
     return c.select("conv_id", "turn", passes("contains", ["the"]).alias("contains_it"), passes("affirm", []).alias("affirms"), passes("token", ["the"]).alias("token"), passes("max_chars", ["e"], 100).alias("short"))
 
 
+MORE_SQL = f"""a AS (SELECT conv_id, turn, CASE turn % 6 WHEN 0 THEN 'Yes!' WHEN 1 THEN ' no. ' WHEN 2 THEN 'red, Green and blue' WHEN 3 THEN 'red green blue, gold too' WHEN 4 THEN regexp_extract(text, '\\S+') ELSE text END AS f FROM conversations),
+n AS (SELECT *, {norm_sql("f")} AS n FROM a),
+k AS (SELECT *, true AS open, {strip_sql("f")} <> '' AND NOT regexp_matches({strip_sql("f")}, '\\s') AND n IN ('the', 'la', 'yes') AS one_word, n = 'no' AS yes_no, contains(n, 'red') AND contains(n, 'green') AND contains(n, 'blue') AND NOT contains(n, 'gold') AND length(regexp_replace(n, 'yellow|purple|orange|pink|brown|black|white|gray|grey|silver|violet|cyan|beige|teal', '', 'g')) = length(n) AS all_colors FROM n)
+"""
+
+
+def more_answers(spark, sf_dir) -> DataFrame:
+    k = F.col("turn") % 6
+    f = F.when(k == 0, "Yes!").when(k == 1, " no. ").when(k == 2, "red, Green and blue").when(k == 3, "red green blue, gold too").when(k == 4, F.regexp_extract("text", r"\S+", 0)).otherwise(F.col("text"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", f.alias("f")).withColumn("n", text.norm(F.col("f")))
+
+
+def one_check(kind: str, patterns=(), target=None) -> Column:
+    return F.struct(F.lit(kind).alias("type"), F.array(*[F.lit(p) for p in patterns]).cast("array<string>").alias("patterns"), F.lit(None).cast("double").alias("value"), F.lit(target).cast("string").alias("target"), F.lit(None).cast("int").alias("max_chars"), F.lit(True).alias("affirmative"))
+
+
+CHECKS = {"open": ("open", (), None), "one_word": ("one_word", ("the", "la", "yes"), None), "yes_no": ("yes_no", (), "no"), "all_colors": ("all_colors", (), None)}
+
+
+@query("q_check_kinds_more", f"WITH {MORE_SQL} SELECT conv_id, turn, open, one_word, yes_no, all_colors FROM k")
+def check_kinds_more(spark, sf_dir):
+    return more_answers(spark, sf_dir).select("conv_id", "turn", *[text.check_passes(one_check(*c), F.col("f"), F.col("n")).alias(name) for name, c in CHECKS.items()])
+
+
+@query("q_check_any_and_gated", f"WITH {MORE_SQL} SELECT conv_id, turn, one_word OR yes_no OR all_colors AS correct, (one_word OR yes_no OR all_colors) AND turn % 7 <> 0 AND turn % 5 <> 0 AS gated FROM k")
+def any_check(spark, sf_dir):
+    """A question passes if any check does, and counts if no blocking anomaly is there; ``no_letter`` doesn't block."""
+    checks = F.array(*[one_check(*CHECKS[c]) for c in ("one_word", "yes_no", "all_colors")])
+    flags = F.array_compact(F.array(F.when(F.col("turn") % 7 == 0, "garbled"), F.when(F.col("turn") % 5 == 0, "truncated"), F.lit("no_letter")))
+    a = more_answers(spark, sf_dir)
+    return a.select("conv_id", "turn", text.is_correct(checks, F.col("f"), F.col("n")).alias("correct"), text.gated_correct(checks, F.col("f"), F.col("n"), flags).alias("gated"))
+
+
+@query("q_runner_log", "SELECT event_id, round(value, 2) AS load_ms, round(value + 1, 2) AS prompt_ms, round(value * 2, 2) AS eval_ms, user_id::INTEGER AS eval_tokens, event_type AS answer, event_type || chr(10) || '  x' AS trimmed FROM events")
+def runner_log(spark, sf_dir):
+    """Timings, echoed turns and the mark of the end, as a runner prints them."""
+    v = lambda c: F.format_string("%.2f", F.round(c, 2))
+    log = F.concat(F.lit("lm: load time = "), v(F.col("value")), F.lit(" ms\nlm: prompt eval time = "), v(F.col("value") + 1), F.lit(" ms / 9 tokens\nlm:        eval time = "), v(F.col("value") * 2), F.lit(" ms / "), F.col("user_id").cast("string"), F.lit(" runs\n"))
+    out = F.concat(F.lit("user\nhi\nassistant\n"), F.col("event_type"), F.lit("\n> EOF by user\n"))
+    e = table(spark, sf_dir, "events").select("event_id", text.perf(log).alias("p"), text.clean_stdout(out).alias("answer"), text.rtrim_lines(F.concat(F.col("event_type"), F.lit(" \t\n  x  "))).alias("trimmed"))
+    return e.select("event_id", "p.load_ms", "p.prompt_ms", "p.eval_ms", "p.eval_tokens", "answer", "trimmed")
+
+
 ANOMALY_SQL = f"""a AS (SELECT doc_id, lang, list_filter([CASE WHEN {strip_sql("text")} = '' THEN 'empty_output' END, CASE WHEN length(text) - length(replace(text, '�', '')) >= 3 THEN 'replacement_chars' END, CASE WHEN len(regexp_extract_all(text, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]')) >= 3 THEN 'control_chars' END, CASE WHEN length(text) > 4000 THEN 'truncated' END], lambda x: x IS NOT NULL) AS f FROM documents)"""
 
 
@@ -100,11 +186,21 @@ def breakdown(spark, sf_dir):
     return scoring.anomaly_breakdown(flagged(spark, sf_dir), "flags", ["lang"])
 
 
-@query("q_detect_anomalies")
+def loop_sql(source: str, key: str, column: str) -> str:
+    """(key, loops): ``LOOP_SQL`` over another source."""
+    return LOOP_SQL.replace("doc_id", key).replace("FROM documents", f"FROM {source}").replace("text AS t", f"{column} AS t").replace(squeeze_sql("text"), squeeze_sql(column))
+
+
+def anomalies_sql(raw: str, final: str, cut: str, loops: str) -> str:
+    return f"""list_filter([CASE WHEN {strip_sql(raw)} = '' OR {final} = '' THEN 'empty_output' END, CASE WHEN {final} <> '' AND {printable_sql(final)} < 0.85 THEN 'garbled' END, CASE WHEN {final} <> '' AND {loops} THEN 'repetition_loop' END,
+ CASE WHEN length({raw}) - length(replace({raw}, '�', '')) >= 3 THEN 'replacement_chars' END, CASE WHEN len(regexp_extract_all({raw}, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]')) >= 3 THEN 'control_chars' END, CASE WHEN {cut} THEN 'truncated' END], lambda x: x IS NOT NULL)"""
+
+
+@query("q_detect_anomalies", f"WITH f AS (SELECT doc_id, text AS raw, {final_sql('text')} AS final FROM documents), z AS ({loop_sql('f', 'doc_id', 'final')}) SELECT doc_id, array_to_string({anomalies_sql('raw', 'final', 'length(raw) > 4000', 'loops')}, ',') AS anomalies FROM f JOIN z USING (doc_id)")
 def detect(spark, sf_dir):
-    """All anomalies of every document as an output; Unicode's printable classes have no equal in SQL, tests hold a Python version against it."""
+    """All anomalies of every document as an output; tests hold a Python version against it for characters that the tables lack."""
     raw = F.coalesce("text", F.lit(""))
-    return table(spark, sf_dir, "documents").select("doc_id", text.detect_anomalies(raw, text.extract_final(raw), F.length(raw) > 4000).alias("anomalies"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(text.detect_anomalies(raw, text.extract_final(raw), F.length(raw) > 4000), ",").alias("anomalies"))
 
 
 @query("q_prompt_hash_render", f"WITH p AS (SELECT item_id, 'The following is a multiple choice question. Answer with only the letter of the correct option.' || chr(10) || chr(10) || 'Question: ' || {strip_sql('text')} || chr(10) || 'A. ' || substr(text, 1, 5) || chr(10) || 'B. ' || item_id || chr(10) || 'Answer:' AS prompt FROM benchmark) SELECT item_id, length(prompt)::INTEGER AS n, substr(sha256(prompt), 1, 16) AS hash FROM p")
@@ -130,9 +226,52 @@ def verdicts(spark, sf_dir) -> DataFrame:
     return d.join(l.withColumnRenamed("doc_id", "id"), "id").select("id", "category", (F.col("quality") == 1).alias("source_correct"), (F.col("toxic") == 0).alias("candidate_correct"), (F.col("quality") + F.col("toxic") == 1).alias("agree"), (F.col("n_chars") > 300).alias("scored"), none.alias("source_anomalies"), F.when(F.col("toxic") == 1, F.array(F.lit("toxic"))).otherwise(none).alias("candidate_anomalies"))
 
 
-@query("q_eval_pairing", "SELECT doc_id AS id, lang AS category, quality = 1 AS source_correct, toxic = 0 AS candidate_correct, n_chars > 300 AS scored FROM documents JOIN labels USING (doc_id)")
+#: Turns as questions: the first check of every third is open; the source answers with the turn, the candidate with its words backwards, or not at all.
+PAIRED_SQL = f"""WITH q AS (SELECT conv_id || '-' || turn AS id, role AS category, turn % 3 <> 0 AS scored, text AS a, CASE WHEN turn % 5 = 4 THEN ' ' ELSE array_to_string(list_reverse(string_split(text, ' ')), ' ') END AS b FROM conversations),
+s AS (SELECT id, 'a' AS side, a AS raw FROM q UNION ALL SELECT id, 'b', b FROM q), f AS (SELECT id, side, id || side AS x, raw, {final_sql('raw')} AS final FROM s), z AS ({loop_sql('f', 'x', 'final')}),
+v AS (SELECT id, side, {norm_sql('final')} AS n, {anomalies_sql('raw', 'final', 'false', 'loops')} AS an FROM f JOIN z USING (x)),
+w AS (SELECT q.*, v.n AS n1, w.n AS n2, len(v.an) AS c1, len(w.an) AS c2, len(v.an) = 0 AND (NOT scored OR contains(v.n, 'laen') OR contains(v.n, 'the')) AS ok1, len(w.an) = 0 AND (NOT scored OR contains(w.n, 'laen') OR contains(w.n, 'the')) AS ok2 FROM q JOIN v ON v.id = q.id AND v.side = 'a' JOIN v w ON w.id = q.id AND w.side = 'b')
+"""
+
+
+def paired_turns(spark, sf_dir) -> DataFrame:
+    c = table(spark, sf_dir, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("id"), F.col("role").alias("category"), "turn", "text")
+    checks = F.when(F.col("turn") % 3 == 0, F.array(one_check("open"))).otherwise(F.array(one_check("contains", ["la en"]), one_check("contains", ["The"])))
+    questions = normal_checks(c.select("id", "category", checks.alias("checks")))
+    back = F.when(F.col("turn") % 5 == 4, " ").otherwise(F.array_join(F.reverse(F.split("text", " ")), " "))
+    runs = lambda raw: c.select("id", raw.alias("raw_output"), F.lit(False).alias("truncated"))
+    return scoring.paired(questions, runs(F.col("text")), runs(back), partial=True)
+
+
+@query("q_eval_pairing", PAIRED_SQL + "SELECT id, category, scored, ok1 AS source_correct, ok2 AS candidate_correct, n1 = n2 AS agree, c1::INTEGER AS source_anomalies, c2::INTEGER AS candidate_anomalies FROM w")
 def pairing(spark, sf_dir):
-    return verdicts(spark, sf_dir).select("id", "category", "source_correct", "candidate_correct", "scored")
+    """Questions joined with both sides' runs, whose outputs are finished, normalised, searched for anomalies and checked."""
+    p = paired_turns(spark, sf_dir)
+    return p.select("id", "category", "scored", "source_correct", "candidate_correct", "agree", F.size("source_anomalies").alias("source_anomalies"), F.size("candidate_anomalies").alias("candidate_anomalies"))
+
+
+@query("q_changed_verdicts", PAIRED_SQL + "SELECT id FROM w WHERE NOT scored AND (c1 = 0 AND NOT contains(n1, 'tion') OR c2 = 0 AND NOT contains(n2, 'tion'))")
+def changed(spark, sf_dir):
+    """Stored items judged again after open questions got a check."""
+    items = paired_turns(spark, sf_dir)
+    stricter = items.withColumn("checks", F.when(F.col("scored"), F.col("checks")).otherwise(F.array(one_check("contains", ["tion"]))))
+    return scoring.changed_verdicts(items, scoring.judged(stricter)).select("id")
+
+
+@query("q_run_parameters", "SELECT event_type AS side, count(DISTINCT (user_id % 3, event_id % 2))::INTEGER AS settings FROM events GROUP BY ALL")
+def run_parameters(spark, sf_dir):
+    runs = table(spark, sf_dir, "events").select(F.col("event_type").alias("side"), (F.col("user_id") % 3).cast("int").alias("max_tokens"), (F.col("event_id") % 2).cast("double").alias("temp"))
+    return scoring.parameters(runs).select("side", F.size("settings").alias("settings"))
+
+
+@query("q_generation_bar", f"SELECT lang, bool_and({strip_sql('text')} <> '') AND bool_and(CASE WHEN length(text) = 0 THEN 0 ELSE length(regexp_replace(text, '{UNPRINTABLE_SQL}', '', 'g')) / length(text)::DOUBLE END > 0.9) AND max(length(text)) >= 30 AS passed FROM documents GROUP BY ALL")
+def generation_bar(spark, sf_dir):
+    return scoring.generation_bar(table(spark, sf_dir, "documents").select("lang", F.col("text").alias("output")), ["lang"])
+
+
+@query("q_flips", "SELECT doc_id AS id FROM documents JOIN labels USING (doc_id) WHERE n_chars > 300 AND (quality = 1) <> (toxic = 0)")
+def flips(spark, sf_dir):
+    return scoring.flips(verdicts(spark, sf_dir))
 
 
 @query("q_verdict_agreement", """SELECT count(*) AS n_questions, count(*) FILTER (n_chars > 300) AS n_scored, round(avg(quality) FILTER (n_chars > 300), 6) AS source_accuracy, round(avg((toxic = 0)::INTEGER) FILTER (n_chars > 300), 6) AS candidate_accuracy, round(avg((quality + toxic = 1)::INTEGER), 6) AS agreement,
@@ -150,14 +289,36 @@ def categories(spark, sf_dir):
 
 @query("q_last_record_wins", "SELECT user_id, event_type, arg_max(value, event_id) AS value FROM events GROUP BY ALL")
 def last_wins(spark, sf_dir):
-    """Of records of the same id, the last one counts: an aggregate, so nothing but one row per id is shuffled."""
-    return table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.max_by("value", "event_id").alias("value"))
+    """Of records of the same id, the last one counts."""
+    return records.latest(table(spark, sf_dir, "events").select("user_id", "event_type", "value", "event_id"), ["user_id", "event_type"], ["event_id"]).drop("event_id")
 
 
-@query("q_duplicate_ids", "SELECT doc_id AS id, count(*) AS n FROM labels GROUP BY ALL HAVING count(*) > 1 UNION ALL SELECT user_id, count(*) FROM events GROUP BY ALL HAVING count(*) > 150")
+@query("q_duplicate_ids", "SELECT user_id AS id, count(*) AS n FROM events GROUP BY ALL HAVING count(*) > 1")
 def duplicate_ids(spark, sf_dir):
-    twice = table(spark, sf_dir, "labels").groupBy(F.col("doc_id").alias("id")).agg(F.count("*").alias("n")).where("n > 1")
-    return twice.unionByName(table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("id")).agg(F.count("*").alias("n")).where("n > 150"))
+    return records.duplicates(table(spark, sf_dir, "events").select(F.col("user_id").alias("id")))
+
+
+@query("q_choice_set", "SELECT item_id AS id, 'A,B,C' AS labels, array_to_string([substr(text, 1, 4), substr(text, 5, 4), substr(text, 9, 4)], '|') AS texts, CASE item_id % 4 WHEN 0 THEN 'B' WHEN 1 THEN 'C' WHEN 2 THEN 'A' END AS answer_key FROM benchmark WHERE item_id % 4 <> 3 AND item_id % 5 <> 0")
+def choice_set(spark, sf_dir):
+    """Items as choice questions: labels in several styles, keys as digits or letters, some of them unusable, some without texts."""
+    k = F.col("item_id") % 4
+    texts = F.when(F.col("item_id") % 5 == 0, F.array().cast("array<string>")).otherwise(F.array(*[F.substring("text", i, 4) for i in (1, 5, 9)]))
+    choices = F.struct(F.array(F.lit("(a)"), F.lit("2"), F.lit(" C.")).alias("label"), texts.alias("text")).alias("choices")
+    rows = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("question"), choices, F.when(k == 0, "2").when(k == 1, " c ").when(k == 2, "A").otherwise("7").alias("answerKey"))
+    return records.choice_set(rows).select("id", F.array_join("labels", ",").alias("labels"), F.array_join("texts", "|").alias("texts"), "answer_key")
+
+
+@query("q_manifest_totals", "SELECT count(*) AS files, sum(length(text))::BIGINT AS total_bytes FROM documents")
+def totals(spark, sf_dir):
+    return records.manifest_totals(table(spark, sf_dir, "documents").select(F.length("text").cast("bigint").alias("size")))
+
+
+@query("q_asset_revisions", "SELECT p_partkey, coalesce(r.v, 'stated') AS revision FROM part LEFT JOIN (SELECT ps.p_brand AS b, max(ps.p_name) AS v FROM part ps WHERE ps.p_size > 40 AND ps.p_brand < 'Brand#40' GROUP BY ALL) r ON r.b = p_brand")
+def revisions(spark, sf_dir):
+    """Parts as assets whose brand is their repository; large parts of some brands record a revision."""
+    p = table(spark, sf_dir, "part").withColumnRenamed("p_brand", "repo")
+    log = p.where("p_size > 40 AND repo < 'Brand#40'").select("repo", F.col("p_name").alias("revision"))
+    return records.with_revision(p.select("p_partkey", "repo", F.lit("stated").alias("revision")), log).select("p_partkey", "revision")
 
 
 MC_SQL = """r AS (SELECT event_type AS side, event_id AS id, substr('ABCDE', (user_id % 5)::INTEGER + 1, 1) AS answer_key, CASE WHEN value < 1 THEN NULL ELSE substr('ABCDE', (event_id % 5)::INTEGER + 1, 1) END AS letter, value > 100 AS truncated, (props->>'k')::INTEGER > 70 AS repetition, value AS gen_s, (props->>'k')::INTEGER % 4 = 0 AS extra FROM events),
@@ -228,11 +389,23 @@ def margin(spark, sf_dir):
     return m.select("n_questions", F.round("mc_letter_acc", 6).alias("accuracy"), F.round("mean_letter_margin", 5).alias("margin"))
 
 
-@query("q_subset_hash_order", "SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS at FROM documents")
+@query("q_subset_positions", "SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS at FROM documents")
 def subset_positions(spark, sf_dir):
-    """Positions in order of the id, by ranges: a global row_number would gather all rows in one task."""
-    d = table(spark, sf_dir, "documents").select("doc_id")
-    ranged = d.repartitionByRange(16, "doc_id").withColumn("part", F.spark_partition_id())
-    base = ranged.groupBy("part").agg(F.count("*").alias("n"))
-    starts = base.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("start"))  # sixteen rows
-    return ranged.join(F.broadcast(starts), "part").select("doc_id", (F.row_number().over(Window.partitionBy("part").orderBy("doc_id")) - 1 + F.col("start")).cast("bigint").alias("at"))
+    return records.positions(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", "at")
+
+
+@query("q_subset_hash", "SELECT sha256(string_agg('{\"doc_id\":' || doc_id || ',\"quality\":' || quality || ',\"toxic\":' || toxic || '}', chr(10) ORDER BY doc_id)) AS hash, count(*) AS n FROM labels")
+def subset_hash(spark, sf_dir):
+    """The hash of all labels as a set of questions."""
+    l = table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
+    return l.agg(F.lit(records.subset_hash(l, "doc_id")).alias("hash"), F.count("*").alias("n"))
+
+
+@query("q_subset_draw", "SELECT (SELECT count(*) FROM benchmark) // 3 AS n, true AS among, true AS again")
+def subset_draw(spark, sf_dir):
+    """A third of the benchmark drawn by a seed: as many as asked for, all from the table, the same ones every time."""
+    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"))
+    n = b.count() // 3
+    one, two = records.subset(b, n, 7), records.subset(b.repartition(5), n, 7).withColumnRenamed("id", "other")
+    both = one.join(two, F.col("id") == F.col("other"), "full_outer").join(b.withColumnRenamed("id", "whole"), F.col("id") == F.col("whole"), "left")
+    return both.agg(F.count("id").alias("n"), F.bool_and(F.col("whole").isNotNull()).alias("among"), F.bool_and(F.col("other").isNotNull() & F.col("id").isNotNull()).alias("again"))
