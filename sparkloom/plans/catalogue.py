@@ -22,4 +22,4 @@ def query(name: str, sql: str | None = None):
     return put
 
 
-from . import planner_queries, scoring_queries, tensor_queries  # noqa: E402, F401  fill the registries
+from . import model_queries, planner_queries, scoring_queries, tensor_queries  # noqa: E402, F401  fill the registries

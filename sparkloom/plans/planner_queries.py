@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import config
 from ..config import Rule
+from ..errors import ConfigError, PlanError
+from ..sinks.sharded import Entry, assign
 from . import compare, planner, selection, verify
 from .catalogue import query
+from .resolve import Resolver, with_dims
 
 #: The driver tables' part types as storage types.
 TYPES = {"ECONOMY": "Q5_K", "STANDARD": "Q6_K", "LARGE": "Q3_K", "PROMO": "IQ3_S", "SMALL": "F32", "MEDIUM": "Q4_K"}
@@ -85,12 +91,55 @@ def rule_overlay(spark, sf_dir):
     return matched(spark, sf_dir).join(F.broadcast(merged), "rule_idx").select("p_partkey", F.coalesce("bits", F.lit(0)).alias("bits"), F.coalesce("group_size", F.lit(0)).alias("group_size"))
 
 
-@query("q_overlay_unmatched", "SELECT 'never' AS pattern")
+#: Overlays for the profile queries: the first found anywhere in a rule's dest counts.
+OVERLAYS = (("blk_7[.]", 3, None), ("[.]red_", 8, 32), ("blk_", None, 128), ("never", 4, 64))
+BRAND_SQL = """b AS (SELECT p_brand, 'blk_' || replace(p_brand, 'Brand#', '') || CASE WHEN bool_or(p_size > 40) THEN '.red_' ELSE '.w_' END || min(p_size) AS dest FROM part GROUP BY p_brand)"""
+
+
+def brand_rules(spark, sf_dir) -> list[Rule]:
+    """A rule for each brand, of which there are as many at any size of the table."""
+    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    rows = p.groupBy("p_brand").agg(F.bool_or(F.col("p_size") > 40).alias("red"), F.min("p_size").alias("least")).orderBy("p_brand").collect()
+    return [Rule(r.p_brand, r.p_brand, f"blk_{r.p_brand.removeprefix('Brand#')}{'.red_' if r.red else '.w_'}{r.least}", bits=6, group_size=64) for r in rows]
+
+
+def overlaid(spark, sf_dir):
+    profile = config.parse_profile({"name": "p", "rules": [{"match": m} | {k: v for k, v in (("bits", b), ("group_size", g)) if v} for m, b, g in OVERLAYS]})
+    held = config.Config("c", None, False, {}, tuple(brand_rules(spark, sf_dir)))
+    return config.overlay(held, profile)
+
+
+@query("q_profile_overlay", f"WITH {BRAND_SQL} SELECT p_brand AS rule, CASE WHEN contains(dest, 'blk_7.') THEN 3 WHEN contains(dest, '.red_') THEN 8 ELSE 6 END::INTEGER AS bits, CASE WHEN contains(dest, 'blk_7.') THEN 64 WHEN contains(dest, '.red_') THEN 32 ELSE 128 END::INTEGER AS group_size FROM b")
+def profile_overlay(spark, sf_dir):
+    rules = overlaid(spark, sf_dir)[0].rules
+    return spark.createDataFrame([(r.title, r.bits, r.group_size) for r in rules], "rule string, bits int, group_size int")
+
+
+@query("q_overlay_unmatched", f"WITH {BRAND_SQL}, o(pattern, n) AS (VALUES ('blk_7[.]', 1), ('[.]red_', 2), ('blk_', 3), ('never', 4)), f AS (SELECT dest, min(n) AS n FROM b JOIN o ON regexp_matches(dest, pattern) GROUP BY ALL) SELECT pattern FROM o WHERE n NOT IN (SELECT n FROM f)")
 def overlay_unmatched(spark, sf_dir):
-    """Overlays that no quantized rule's dest has anywhere."""
-    overlays = spark.createDataFrame([("red",), ("layers",), ("never",)], "pattern string")
-    hit = rules_frame(spark).where("quantize and not is_drop").join(F.broadcast(overlays), F.rlike("dest", "pattern"))
-    return overlays.join(hit.select("pattern").distinct(), "pattern", "left_anti")
+    """Overlays that are the first one for no quantized rule."""
+    return spark.createDataFrame([(p,) for p in overlaid(spark, sf_dir)[2]], "pattern string")
+
+
+@query("q_conversion_settings", "SELECT DISTINCT p_size, CASE WHEN p_size % 3 = 0 THEN 'conflict' WHEN p_size % 3 = 1 THEN (p_size + 2)::VARCHAR ELSE 'auto' END AS bits FROM part")
+def conversion_settings(spark, sf_dir):
+    """A profile's default beside a number is a conflict, stands in for ``auto``, or isn't there."""
+    rows = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_size").distinct().collect()  # fifty sizes
+
+    def setting(n):
+        try:
+            return str(config.conversion_setting(n if n % 3 == 0 else "auto", None if n % 3 == 2 else n + 2, "bits"))
+        except ConfigError:
+            return "conflict"
+
+    return spark.createDataFrame([(r.p_size, setting(r.p_size)) for r in rows], "p_size bigint, bits string")
+
+
+@query("q_arch_acceptance", "SELECT DISTINCT p_brand, true AS anyone, p_brand = 'Brand#11' AS one, p_brand IN ('Brand#12', 'Brand#13') AS listed FROM part")
+def arch_acceptance(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_brand").distinct().collect()  # as many as there are brands
+    kinds = [config.Config("c", a, True, {}, ()) for a in (None, ("Brand#11",), ("Brand#12", "Brand#13"))]
+    return spark.createDataFrame([(r.p_brand, *(k.accepts(r.p_brand) for k in kinds)) for r in rows], "p_brand string, anyone boolean, one boolean, listed boolean")
 
 
 @query("q_block_range_drop", "SELECT p_brand, count(*) AS n FROM part WHERE NOT regexp_full_match(p_brand, 'Brand#(20|21|22|23|24)') GROUP BY ALL")
@@ -157,13 +206,33 @@ def family(spark, sf_dir):
     return spark.createDataFrame(rows, "qtype string").select("qtype", selection.family_bits(F.col("qtype")).alias("bits"))
 
 
-@query("q_output_estimate", f"WITH {MATCH_SQL} SELECT CASE rule_idx WHEN 0 THEN 'drop' WHEN 1 THEN '8 bit' WHEN 3 THEN 'float' ELSE 'default' END AS kind, count(*) AS n, sum(CASE rule_idx WHEN 0 THEN 0 WHEN 1 THEN (e * 8) // 8 + 4 * (e // 32) WHEN 3 THEN e * 4 ELSE e END)::BIGINT AS bytes FROM (SELECT r.*, p.p_size::BIGINT * 1024 AS e FROM r JOIN part p USING (p_partkey)) GROUP BY ALL")
+@query("q_output_estimate", f"WITH {MATCH_SQL} SELECT rule_idx::INTEGER AS rule_idx, e AS n, CASE rule_idx WHEN 0 THEN 0 WHEN 1 THEN (e * 8) // 8 + 4 * (e // 32) WHEN 3 THEN e * 4 ELSE e END::BIGINT AS bytes FROM (SELECT DISTINCT rule_idx, p.p_size::BIGINT * 1024 AS e FROM r JOIN part p USING (p_partkey) WHERE rule_idx IS NOT NULL)")
 def output_estimate(spark, sf_dir):
-    m = matched(spark, sf_dir).withColumn("e", F.col("n_bytes") * 1024)
-    r, e = F.col("rule_idx"), F.col("e")
-    size = F.when(r == 0, 0).when(r == 1, F.floor(e * 8 / 8) + 4 * F.floor(e / 32)).when(r == 3, e * 4).otherwise(e)
-    kind = F.when(r == 0, "drop").when(r == 1, "8 bit").when(r == 3, "float").otherwise("default")
-    return m.groupBy(kind.alias("kind")).agg(F.count("*").alias("n"), F.sum(size.cast("bigint")).alias("bytes"))
+    """Bytes for each rule and size of the tensors it takes: a few hundred at any size of the table."""
+    sizes = matched(spark, sf_dir).where("rule_idx is not null").select("rule_idx", (F.col("n_bytes") * 1024).alias("n")).distinct().collect()
+    return spark.createDataFrame([(r.rule_idx, r.n, planner.estimate(RULES[r.rule_idx], r.n)) for r in sizes], "rule_idx int, n bigint, bytes bigint")
+
+
+@query("q_consumed_share", "SELECT l_orderkey, l_linenumber, round(least(greatest(l_linenumber / 7.0 * (l_quantity / 50), 0), 1), 9)::DOUBLE AS share FROM lineitem")
+def consumed_share(spark, sf_dir):
+    """Rows and axis that a slot reads, as shares of a tensor of 7 rows and an axis of 50."""
+    share = selection.consumed(F.col("l_linenumber"), F.lit(7), F.col("l_quantity"), F.lit(50))
+    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", F.round(share.cast("double"), 9).alias("share"))
+
+
+@query("q_bits_decision", f"WITH {READS_SQL.replace('GROUP BY ALL)', 'GROUP BY ALL), t AS (SELECT qtype, bytes, sum(bytes) OVER () AS total FROM h ORDER BY bytes DESC, qtype DESC LIMIT 1)', 1)} SELECT * FROM (SELECT 'auto' AS asked, CASE WHEN qtype = 'Q5_K' THEN NULL ELSE regexp_extract(qtype, '([0-9])', 1)::INTEGER END AS bits, CASE WHEN qtype <> 'Q5_K' THEN qtype END AS leader, CASE WHEN qtype LIKE '%3%' THEN true WHEN qtype = 'Q5_K' THEN NULL ELSE false END AS advice FROM t UNION ALL SELECT '3', 3, NULL, false UNION ALL SELECT 'none', 0, NULL, false UNION ALL SELECT '5', NULL, NULL, NULL)")
+def bits_decision(spark, sf_dir):
+    """What is decided when the leader's width, a number, nothing, or a width that doesn't exist is asked for."""
+    hist = selection.histogram(reads(spark, sf_dir))
+
+    def row(asked, value):
+        try:
+            d = selection.decide(hist, value)
+            return asked, d.bits, d.dominant, d.advice is not None
+        except PlanError:
+            return asked, None, None, None
+
+    return spark.createDataFrame([row("auto", "auto"), row("3", 3), row("none", None), row("5", 5)], "asked string, bits int, leader string, advice boolean")
 
 
 @query("q_key_parity_full_outer", "WITH a AS (SELECT o_orderkey AS k FROM orders WHERE o_orderkey % 7 <> 0), b AS (SELECT DISTINCT l_orderkey AS k FROM lineitem WHERE l_orderkey % 5 <> 0) SELECT coalesce(a.k, b.k) AS key, CASE WHEN b.k IS NULL THEN 'missing' ELSE 'extra' END AS side FROM a FULL JOIN b ON a.k = b.k WHERE a.k IS NULL OR b.k IS NULL")
@@ -225,19 +294,58 @@ def sampled(spark, sf_dir):
 SHARD_LIMIT = 2000
 
 
-@query("q_shard_assignment", f"""WITH RECURSIVE j AS (SELECT p_partkey AS k, p_size AS b FROM part WHERE p_partkey < 1000), s(k, shard, held) AS (SELECT k, 0, b FROM j WHERE k = 0 UNION ALL
-SELECT j.k, CASE WHEN s.held >= {SHARD_LIMIT} THEN s.shard + 1 ELSE s.shard END, CASE WHEN s.held >= {SHARD_LIMIT} THEN j.b ELSE s.held + j.b END FROM s JOIN j ON j.k = s.k + 1) SELECT shard::INTEGER AS shard, count(*) AS n, min(k) AS first_key, max(held)::BIGINT AS bytes FROM s GROUP BY ALL""")
+@query("q_shard_assignment", f"""WITH RECURSIVE j AS (SELECT row_number() OVER (ORDER BY p_brand, p_size) AS k, p_brand || '.' || p_size AS key, (p_size * 8 + count(*) % 5)::BIGINT AS b FROM part GROUP BY p_brand, p_size), s(k, shard, held) AS (SELECT k, 0, b FROM j WHERE k = 1 UNION ALL
+SELECT j.k, CASE WHEN s.held >= {SHARD_LIMIT} THEN s.shard + 1 ELSE s.shard END, CASE WHEN s.held >= {SHARD_LIMIT} THEN j.b ELSE s.held + j.b END FROM s JOIN j ON j.k = s.k + 1) SELECT shard::INTEGER AS shard, count(*) AS n, arg_min(key, s.k) AS first_key, max(held)::BIGINT AS bytes FROM s JOIN j USING (k) GROUP BY ALL""")
 def shard_assignment(spark, sf_dir):
-    """Soft limit with reset; a model's catalogue (here the first thousand parts) is laid out on the driver, as its header lies there."""
-    from ..sinks.sharded import Entry, assign
-
-    rows = spark.read.parquet(f"{sf_dir}/part.parquet").where("p_partkey < 1000").select("p_partkey", "p_size").orderBy("p_partkey").collect()
-    shards = assign([Entry(str(r.p_partkey), "U8", (r.p_size,)) for r in rows], SHARD_LIMIT)
-    return spark.createDataFrame([(i, len(s), int(s[0].key), sum(e.n_bytes for e in s)) for i, s in enumerate(shards)], "shard int, n bigint, first_key bigint, bytes bigint")
-
-
-@query("q_scalar_arithmetic", "SELECT p_partkey, CASE WHEN p_size % 4 = 0 THEN (p_size // 4)::DOUBLE ELSE p_size / 4.0 END AS quarter, (p_size * 3 - 1)::BIGINT AS folded, coalesce(nullif(p_size, 10), -1)::BIGINT AS chained, NOT (p_size > 25) AS negated FROM part")
-def scalar_arithmetic(spark, sf_dir):
-    """Division that stays whole where it can, folds, a chain of fallbacks and negation, as column expressions."""
-    s = F.col("p_size")
-    return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.when(s % 4 == 0, F.floor(s / 4).cast("double")).otherwise(s / 4).alias("quarter"), (s * 3 - 1).cast("bigint").alias("folded"), F.coalesce(F.nullif(s, F.lit(10)), F.lit(-1)).cast("bigint").alias("chained"), (~(s > 25)).alias("negated"))
+    """Soft limit with reset.  A model's catalogue is laid out on the driver; here it has an entry for each brand and size, which don't grow with the table."""
+    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    rows = p.groupBy("p_brand", "p_size").agg(F.count("*").alias("n")).orderBy("p_brand", "p_size").collect()
+    shards = assign([Entry(f"{r.p_brand}.{r.p_size}", "U8", (r.p_size * 8 + r.n % 5,)) for r in rows], SHARD_LIMIT)
+    return spark.createDataFrame([(i, len(s), s[0].key, sum(e.n_bytes for e in s)) for i, s in enumerate(shards)], "shard int, n bigint, first_key string, bytes bigint")
+
+
+def resolver(n: int) -> Resolver:
+    """What the specs of the next queries refer to, for a part's size."""
+    return Resolver({"toy.size": n, "flat": n * 2, "eps": 0.5}, {"emb.weight": (n, 64), "vec": (n * 3,)}, {"a": {"b": {"c": n + 1}, "null": None}}, "toy")
+
+
+SPECS = {
+    "quarter": ({"div": ["gguf:size", 4]}, "CASE WHEN p_size % 4 = 0 THEN (p_size // 4)::VARCHAR ELSE (p_size / 4.0)::DOUBLE::VARCHAR END"),
+    "folded": ({"sub": [{"mul": ["gguf:size", 3, 2]}, {"add": [1, "gguf:flat", 5]}, 2]}, "(p_size * 6 - (6 + p_size * 2) - 2)::VARCHAR"),
+    "chained": (["gguf:none", "ref:a.x", "ref:a.b.c"], "(p_size + 1)::VARCHAR"),
+    "axis": ("tshape:emb.weight.0", "p_size::VARCHAR"),
+    "last_axis": ("tshape:vec.-1", "(p_size * 3)::VARCHAR"),
+    "has": ("has:emb.weight", "'true'"),
+    "negated": ({"not": ["has:missing"]}, "'true'"),
+    "named": ("width", "'128'"),
+    "constant": ("text", "'\"text\"'"),
+    "list": ({"list": ["gguf:size", "width", {"mul": [2, "gguf:flat"]}]}, "'[' || p_size || ', 128, ' || p_size * 4 || ']'"),
+    "nested": ({"x": "gguf:size", "y": {"z": "ref:a.b.c"}}, "'{\"x\": ' || p_size || ', \"y\": {\"z\": ' || p_size + 1 || '}}'"),
+    "error": ("gguf:none", "'error'"),
+    "bad_axis": ("tshape:vec.3", "'error'"),
+}
+
+
+def resolved_json(n: int, spec) -> str:
+    try:
+        return json.dumps(resolver(n).value(spec, "spec", {"width": 128}))
+    except PlanError:
+        return "error"
+
+
+@query("q_scalar_specs", " UNION ALL ".join(f"SELECT DISTINCT p_size, '{k}' AS spec, {sql} AS value FROM part" for k, (_, sql) in SPECS.items()))
+def scalar_specs(spark, sf_dir):
+    """Every kind of scalar spec, resolved for each size a part has (fifty at most)."""
+    rows = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_size").distinct().collect()
+    return spark.createDataFrame([(r.p_size, k, resolved_json(r.p_size, spec)) for r in rows for k, (spec, _) in SPECS.items()], "p_size bigint, spec string, value string")
+
+
+@query("q_ordered_dims", "SELECT DISTINCT p_size, p_size * 2 AS two, CASE WHEN p_size % 4 = 0 THEN p_size * 2 // 8 ELSE p_size * 2 / 8.0 END::DOUBLE AS eighth, 'blk.' || p_size * 2 || '.{i}' AS pattern FROM part")
+def ordered_dims(spark, sf_dir):
+    """Later dimensions use earlier ones; a pattern gets their values."""
+    rows = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_size").distinct().collect()
+    out = []
+    for r in rows:
+        d = resolver(r.p_size).dims({"two": {"mul": ["gguf:size", 2]}, "eighth": {"div": ["two", 8]}})
+        out.append((r.p_size, d["two"], float(d["eighth"]), with_dims("blk.{two}.{i}", d, "p")))
+    return spark.createDataFrame(out, "p_size bigint, two bigint, eighth double, pattern string")
