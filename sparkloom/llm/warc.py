@@ -14,16 +14,24 @@ import hashlib
 import re
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import islice
+from urllib.parse import unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources import files
+from . import common
 from .html_extract import parse, text_of
 
 VERSION = "WARC/1.1"
+GZIP = b"\x1f\x8b\x08"
+HEAD_END = re.compile(rb"\r?\n\r?\n")
+#: Most bytes that one step of unpacking gives.
+OUT = 4 << 20
 SPACE = uuid.UUID("5b0f6f0e-6f0f-5d3a-9f57-3b8f3b1c9a10")
 #: Named fields of the response that its derivatives repeat.
 CARRIED = ("WARC-IP-Address", "WARC-Warcinfo-ID")
@@ -46,38 +54,89 @@ def _get(fields: list[tuple[str, str]], name: str) -> str | None:
     return next((v for k, v in fields if k.lower() == name.lower()), None)
 
 
-def members(data: bytes) -> bytes:
-    """The plain archive: gzip members, one after another, are unpacked; a damaged tail is left out."""
-    if data[:2] != b"\x1f\x8b":
-        return data
-    out = []
-    while data[:2] == b"\x1f\x8b":
-        unpack = zlib.decompressobj(31)
+def plain(chunks: Iterable[bytes]) -> Iterator[bytes]:
+    """The chunks of an archive, unpacked if it is gzipped: member by member, with only a few chunks held.
+
+    After damage the next member is looked for; a cut tail gives what of it can be unpacked.
+    """
+    chunks = iter(chunks)
+    held = b"".join(islice(chunks, 1))
+    while held and len(held) < 2:
+        more = next(chunks, b"")
+        if not more:
+            break
+        held += more
+    if held[:2] != GZIP[:2]:
+        yield held
+        yield from chunks
+        return
+    unpack = None
+    while True:
+        if unpack is None:
+            at = held.find(GZIP)
+            if at < 0:
+                more = next(chunks, None)
+                if more is None:
+                    return
+                held = held[-2:] + more
+                continue
+            held, unpack = held[at:], zlib.decompressobj(31)
         try:
-            out.append(unpack.decompress(data))
+            if out := unpack.decompress(held, OUT):
+                yield out
+            held = unpack.unconsumed_tail
         except zlib.error:
-            break
-        data = unpack.unused_data.lstrip(b"\0")
-    return b"".join(out)
-
+            held, unpack = held[1:], None
+            continue
+        if unpack.eof:
+            held, unpack = unpack.unused_data, None
+        elif not held:
+            held = next(chunks, None)
+            if held is None:
+                return
+
+
+def records(data: bytes | Iterable[bytes]) -> Iterator[tuple[list[tuple[str, str]], bytes]]:
+    """(named fields, block) of each record, holding one record at a time; after damage, goes on at the next version line."""
+    source = plain([data] if isinstance(data, bytes) else data)
+    held, at, ended = bytearray(), 0, False
+
+    def more() -> bool:
+        nonlocal ended, at
+        if at:
+            del held[:at]
+            at = 0
+        piece = next(source, None)
+        ended = piece is None
+        held.extend(piece or b"")
+        return not ended
 
-def records(data: bytes) -> Iterator[tuple[list[tuple[str, str]], bytes]]:
-    """(named fields, block) of each record; after damage, goes on at the next version line."""
-    data, at = members(data), 0
     while True:
-        at = data.find(b"WARC/", at)
-        if at < 0:
-            return
-        m = re.compile(rb"\r?\n\r?\n").search(data, at)
+        start = held.find(b"WARC/", at)
+        if start < 0:
+            at = max(at, len(held) - 4)
+            if not more():
+                return
+            continue
+        at = start
+        m = HEAD_END.search(held, at)
         if not m:
-            return
-        fields = _fields(data[at : m.start()])
+            if not more():
+                return
+            continue
+        fields = _fields(bytes(held[at : m.start()]))
         length = _get(fields, "Content-Length") or ""
-        if not length.isdigit() or m.end() + int(length) > len(data):
+        if not length.isdigit():
+            at += 5
+            continue
+        skip, need = m.end() - at, int(length)
+        while len(held) < at + skip + need and more():
+            pass
+        if len(held) < at + skip + need:  # cut, or a wrong length: what follows may still hold whole records
             at += 5
             continue
-        yield fields, data[m.end() : m.end() + int(length)]
-        at = m.end() + int(length)
+        yield fields, bytes(held[at + skip : at + skip + need])
+        at += skip + need
 
 
 def serialise(fields: list[tuple[str, str]], block: bytes) -> bytes:
@@ -89,19 +148,44 @@ def split_http(block: bytes) -> tuple[int | None, list[tuple[str, str]], bytes]:
     """Status, header fields and payload of an HTTP response; a block without a header is all payload."""
     if not block.startswith(b"HTTP/"):
         return None, [], block
-    m = re.compile(rb"\r?\n\r?\n").search(block)
+    m = HEAD_END.search(block)
     head, body = (block[: m.start()], block[m.end() :]) if m else (block, b"")
     status = re.match(rb"HTTP/\S+ (\d{3})", head)
     return int(status[1]) if status else None, _fields(head), body
 
 
-def _decoded(payload: bytes, headers: list[tuple[str, str]]) -> str:
-    if (_get(headers, "Content-Encoding") or "").lower() == "gzip":
-        unpack = zlib.decompressobj(31)
+def _unchunked(body: bytes) -> bytes:
+    """A body without its transfer chunks; one that isn't made of chunks stays as it is, a cut one keeps what is there."""
+    out, at = [], 0
+    while m := re.compile(rb"\s*([0-9a-fA-F]+)[^\r\n]*\r?\n").match(body, at):
+        n = int(m[1], 16)
+        if n == 0:
+            return b"".join(out)
+        out.append(body[m.end() : m.end() + n])
+        at = m.end() + n
+    return b"".join(out) if out else body
+
+
+def _inflated(body: bytes, kind: str) -> bytes | None:
+    """A body without one content encoding; None if the encoding isn't known or the data isn't in it."""
+    for bits in {"gzip": (31,), "x-gzip": (31,), "deflate": (15, -15)}.get(kind, ()):
         try:
-            payload = unpack.decompress(payload)
+            return zlib.decompressobj(bits).decompress(body)
         except zlib.error:
-            return ""
+            continue
+    return body if kind in ("identity", "") else None
+
+
+def _payload(body: bytes, headers: list[tuple[str, str]]) -> tuple[bytes, bytes | None]:
+    """The body without transfer chunks, and without content encodings as well (None if they can't be undone)."""
+    whole = _unchunked(body) if "chunked" in (_get(headers, "Transfer-Encoding") or "").lower() else body
+    clear: bytes | None = whole
+    for kind in reversed([x.strip().lower() for x in (_get(headers, "Content-Encoding") or "").split(",")]):
+        clear = None if clear is None else _inflated(clear, kind)
+    return whole, clear
+
+
+def _text(payload: bytes, headers: list[tuple[str, str]]) -> str:
     kind = _get(headers, "Content-Type") or ""
     found = re.search(r"charset=[\"']?([\w.:-]+)", kind, re.I) or re.search(rb"<meta[^>]*charset=[\"']?([\w.:-]+)", payload[:4096], re.I)
     name = (found[1] if isinstance(found[1], str) else found[1].decode()) if found else "utf-8"
@@ -116,26 +200,32 @@ def _derived_id(record_id: str, kind: str) -> str:
 
 
 def derive(fields: list[tuple[str, str]], block: bytes) -> list[dict]:
-    """The metadata record and, for text, the conversion record of one response; none for other records."""
+    """The metadata record and, for text, the conversion record of one response; none for other records.
+
+    A stated payload digest that doesn't hold is replaced by the real one, and the metadata says so.  A body in an
+    encoding that can't be undone has no conversion.
+    """
     if (_get(fields, "WARC-Type") or "").lower() != "response":
         return []
-    status, http, payload = split_http(block)
-    stated, own = _get(fields, "WARC-Payload-Digest"), digest(payload)
+    status, http, body = split_http(block)
+    whole, clear = _payload(body, http)
+    stated, own = _get(fields, "WARC-Payload-Digest"), digest(whole)
     source = _get(fields, "WARC-Record-ID") or _derived_id(own, "response")
     kind = (_get(http, "Content-Type") or "text/html").split(";")[0].strip().lower()
     target, date = _get(fields, "WARC-Target-URI"), _get(fields, "WARC-Date")
     shared = [(k, v) for k, v in (("WARC-Target-URI", target), ("WARC-Date", date)) if v] + [(k, v) for k in CARRIED if (v := _get(fields, k))]
-    ok = None if stated is None or not stated.startswith("sha1:") else stated.upper() == own.upper()
-    facts = [("http-status", str(status or "")), ("content-type", kind), ("payload-length", str(len(payload))), ("payload-digest", own), ("digest-holds", {None: "unknown", True: "yes", False: "no"}[ok])]
+    # Crawlers digest the payload with or without its transfer chunks.
+    ok = None if stated is None or not stated.lower().startswith("sha1:") else stated.upper() in (own.upper(), digest(body).upper())
+    facts = [("http-status", str(status or "")), ("content-type", kind), ("payload-length", str(len(whole))), ("payload-digest", own), ("digest-holds", {None: "unknown", True: "yes", False: "no"}[ok])]
     blocks = [("metadata", "application/warc-fields", "".join(f"{k}: {v}\r\n" for k, v in facts).encode())]
-    if kind in ("text/html", "application/xhtml+xml"):
-        blocks.append(("conversion", "text/plain; charset=UTF-8", text_of(_visible(_decoded(payload, http))).encode("utf-8", "replace")))
-    elif kind.startswith("text/"):
-        blocks.append(("conversion", "text/plain; charset=UTF-8", _decoded(payload, http).encode("utf-8", "replace")))
+    if clear is not None and kind in ("text/html", "application/xhtml+xml"):
+        blocks.append(("conversion", "text/plain; charset=UTF-8", text_of(_visible(_text(clear, http))).encode("utf-8", "replace")))
+    elif clear is not None and kind.startswith("text/"):
+        blocks.append(("conversion", "text/plain; charset=UTF-8", _text(clear, http).encode("utf-8", "replace")))
     out = []
     for name, media, body in blocks:
         own_digest = digest(body)
-        named = [("WARC-Type", name), ("WARC-Record-ID", _derived_id(source, name)), ("WARC-Refers-To", source), *shared, ("WARC-Payload-Digest", stated or own), ("WARC-Block-Digest", own_digest), ("Content-Type", media), ("Content-Length", str(len(body)))]
+        named = [("WARC-Type", name), ("WARC-Record-ID", _derived_id(source, name)), ("WARC-Refers-To", source), *shared, ("WARC-Payload-Digest", own if ok is False or stated is None else stated), ("WARC-Block-Digest", own_digest), ("Content-Type", media), ("Content-Length", str(len(body)))]
         out.append({"record_id": _derived_id(source, name), "kind": name, "target_uri": target, "date": date, "refers_to": source, "headers": named, "source_headers": http, "status": status, "digest_ok": ok, "block_digest": own_digest, "n_bytes": len(body), "block": body})
     return out
 
@@ -165,34 +255,52 @@ def _batch(rows: list[dict], extra: dict[str, pa.Array]) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict(extra | cols)
 
 
+def _derived(found: Iterable[tuple[list, bytes]], key: pa.Scalar | None, name: str | None, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches of a few MB of the derivatives of an archive's records."""
+    rows: list[dict] = []
+
+    def out():
+        return _batch(rows, {name: pa.array([key.as_py()] * len(rows), key.type)} if name else {})
+
+    for named, block in found:
+        rows += derive(named, block)
+        if sum(r["n_bytes"] for r in rows) > most or len(rows) >= 10_000:
+            yield out()
+            rows = []
+    if rows:
+        yield out()
+
+
 def derivatives(archives: DataFrame, content: str = "content", key: str | None = None) -> DataFrame:
     """Rows of ``RECORD`` (after ``key``, if given) for the responses in each row's archive bytes.
 
     Null or empty bytes and archives without responses give no rows; a damaged record is passed over;
-    a response whose digest doesn't hold is converted and marked.  Blocks of one archive row are
-    handled one record at a time.
+    a response whose digest doesn't hold is converted and marked.  Records are handled one at a time;
+    repeated rows give repeated derivatives; other columns aren't read.
     """
+    common.small_batches(archives.sparkSession)
     fields = f"`{key}` {archives.schema[key].dataType.simpleString()}, " if key else ""
 
     def run(batches):
-        for b in batches:
-            keys = b.column(key) if key else None
+        for b in common.pieces(batches, content):
             for i, data in enumerate(b.column(content)):
-                rows = []
-                for named, block in records(data.as_py() or b""):
-                    rows += derive(named, block)
-                    if sum(r["n_bytes"] for r in rows) > 16 << 20:
-                        yield _batch(rows, {key: pa.array([keys[i].as_py()] * len(rows), keys.type)} if key else {})
-                        rows = []
-                if rows:
-                    yield _batch(rows, {key: pa.array([keys[i].as_py()] * len(rows), keys.type)} if key else {})
+                yield from _derived(records(data.as_py() or b""), b.column(key)[i] if key else None, key)
 
-    return archives.select(*([key] if key else []), content).mapInArrow(run, fields + RECORD)
+    return archives.select(*([common.column(key)] if key else []), common.column(content)).mapInArrow(run, fields + RECORD)
 
 
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """(path, content): one row per archive file, plain or gzipped, from any store Spark reads."""
-    return spark.read.format("binaryFile").load(path).select("path", "content")
+def archive_derivatives(spark: SparkSession, path: str, step: int = 4 << 20) -> DataFrame:
+    """(path, *RECORD) for archive files of any size, plain or gzipped: each is streamed by one task."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length")
+
+    def run(batches):
+        for b in batches:
+            for name, size in zip(b.column("path"), b.column("length").to_pylist(), strict=True):
+                at = unquote(re.sub(r"^file:/+", "/", name.as_py()))
+                chunks = (files.read(at, k, min(step, size - k)) for k in range(0, size, step))
+                yield from _derived(records(chunks), name, "path")
+
+    return listed.mapInArrow(run, f"path string, {RECORD}")
 
 
 def with_members(derived: DataFrame) -> DataFrame:
@@ -210,7 +318,7 @@ def responses(pages: DataFrame, key: str = "page_id", url: str = "url", html: st
     """(key, content): each page as a one-record archive, as a crawler would have stored it."""
 
     def run(batches):
-        for b in batches:
+        for b in common.pieces(batches, "x"):
             out = []
             for k, u, x in zip(b.column("k").to_pylist(), b.column("u").to_pylist(), b.column("x").to_pylist(), strict=True):
                 body = (x or "").encode()
@@ -219,4 +327,5 @@ def responses(pages: DataFrame, key: str = "page_id", url: str = "url", html: st
                 out.append(serialise(fields, block))
             yield pa.RecordBatch.from_arrays([b.column("k"), pa.array(out, pa.binary())], [key, "content"])
 
-    return pages.select(F.col(key).alias("k"), F.col(url).alias("u"), F.col(html).alias("x")).mapInArrow(run, f"`{key}` {pages.schema[key].dataType.simpleString()}, content binary")
+    common.small_batches(pages.sparkSession)
+    return pages.select(common.column(key).alias("k"), common.column(url).alias("u"), common.column(html).alias("x")).mapInArrow(run, f"`{key}` {pages.schema[key].dataType.simpleString()}, content binary")

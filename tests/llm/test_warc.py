@@ -1,4 +1,6 @@
 import gzip
+import random
+import zlib
 
 from sparkloom.llm import warc
 
@@ -37,3 +39,55 @@ def test_pages_become_archives(spark):
     got = warc.derivatives(warc.responses(pages), key="page_id").where("kind = 'conversion'").collect()
     assert sorted((r.page_id, bytes(r.block)) for r in got) == [(1, b"x"), (2, b""), (2, b"")] and all(r.digest_ok for r in got)
     assert warc.derivatives(warc.responses(pages.limit(0)), key="page_id").count() == 0
+
+
+def chunked(r, body):
+    out = b""
+    while body:
+        n = r.randint(1, 40)
+        out += b"%x;ext=1\r\n" % len(body[:n]) + body[:n] + b"\r\n"
+        body = body[n:]
+    return out + b"0\r\n\r\n"
+
+
+def test_random_archives_against_what_they_were_made_of(spark, tmp_path):
+    """Texts, links and digests against the pages that went in, for all encodings, in one archive per file and streamed in small steps."""
+    r, want = random.Random(17), {}
+    for f in range(4):
+        parts = []
+        for i in range(25):
+            rid, words = f"<urn:uuid:{f}-{i}>", [f"wörd{r.randint(0, 999)}" for _ in range(r.randint(0, 60))]
+            charset = r.choice(["utf-8", "latin-1", "utf-16"])
+            page = "<html><body>" + "".join(f"<p>{w}</p>" for w in words) + "</body></html>"
+            body, head = page.encode(charset), f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset={charset}\r\n"
+            coding = r.choice(["", "gzip", "deflate", "raw deflate", "br"])
+            if coding:
+                body = {"gzip": lambda b: gzip.compress(b), "deflate": lambda b: zlib.compress(b), "raw deflate": lambda b: zlib.compress(b)[2:-4], "br": lambda b: b"?" + b}[coding](body)
+                head += f"Content-Encoding: {coding.split()[-1]}\r\n"
+            whole, sent = body, body
+            if r.random() < 0.5:
+                sent, head = chunked(r, body), head + "Transfer-Encoding: chunked\r\n"
+            stated = r.choice([warc.digest(whole), warc.digest(sent), "sha1:" + "A" * 32])
+            block = head.encode() + b"\r\n" + sent
+            parts.append(warc.serialise([("WARC-Type", "response"), ("WARC-Record-ID", rid), ("WARC-Payload-Digest", stated), ("Content-Length", str(len(block)))], block))
+            want[rid] = (None if coding == "br" else " ".join(words), not stated.endswith("A" * 32), warc.digest(whole))
+            if r.random() < 0.2:
+                parts.append(b"damage WARC/1.0\r\nContent-Length: 99999999\r\n\r\n")
+        data = b"".join(map(gzip.compress, parts)) if f % 2 else b"".join(parts)
+        (tmp_path / f"{f} a.warc").write_bytes(data)
+    for got in (warc.archive_derivatives(spark, str(tmp_path), 1000).collect(), warc.derivatives(spark.read.format("binaryFile").load(str(tmp_path))).collect()):
+        assert len(got) == sum(2 - (t is None) for t, _, _ in want.values())
+        for x in got:
+            text, fine, own = want[x.refers_to]
+            assert x.digest_ok == fine and (fine or x.headers["WARC-Payload-Digest"] == own)
+            if x.kind == "conversion":
+                assert bytes(x.block).decode() == text
+    head = next(iter(warc.records(gzip.compress(parts[0])[:-9] + gzip.compress(parts[1]))), None)
+    assert head is not None
+
+
+def test_a_damaged_member_is_passed_over():
+    a, b = response(HTML), response(HTML, rid="<urn:uuid:2>")
+    bad = bytearray(gzip.compress(a))
+    bad[20:40] = bytes(20)
+    assert [warc._get(f, "WARC-Record-ID") for f, _ in warc.records(bytes(bad) + gzip.compress(b))][-1] == "<urn:uuid:2>"
