@@ -93,7 +93,9 @@ def test_oracles(spark, folder):
 
 
 def test_stages_keep_columns_and_decisions_take_effect(spark, folder):
-    docs = common.table(spark, folder, "documents").withColumn("digest", F.lit("x")).withColumn("size", F.lit(1)).withColumn("bucket", F.lit(0))
+    docs = common.table(spark, folder, "documents")
+    for name in ("digest", "size", "bucket", "t_lang", "t_symbols_pm", "q_kept", "q_limit_t_lang", "x_file", "x_row", "copies", "id", "rid", "cid", "k0", "part", "normal", "best", "a.b", "_metadata_"):
+        docs = docs.withColumn(name, F.lit(None).cast("string") if name == "x_file" else F.lit(1))
     docs.write.parquet(f"{folder}/clash")
     docs, counts = spark.read.parquet(f"{folder}/clash"), []
     for name, stage in corpus_pipeline.STAGES:
