@@ -25,7 +25,7 @@ from ..operators import quant, registry
 from ..operators.tensorframe import TensorFrame
 from ..sinks import sharded
 from .planner import Job, Plan, companions, module_of
-from .resolve import Resolver
+from .resolve import MISSING, Resolver, at_path
 from .selection import Decision
 
 MODE = "affine"
@@ -192,12 +192,7 @@ def output_config(plan: Plan, resolver: Resolver, decision: Decision, group: int
 
 def present(config: Mapping[str, Any], path: str) -> bool:
     """Whether a dotted path leads to a value; null is one."""
-    node: Any = config
-    for part in path.split("."):
-        if not isinstance(node, Mapping) or part not in node:
-            return False
-        node = node[part]
-    return True
+    return at_path(config, path) is not MISSING
 
 
 @dataclass(frozen=True)
