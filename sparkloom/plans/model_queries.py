@@ -459,6 +459,11 @@ BLOCKS = {
     "Q4_0": (18, {0: ONE[0], 1: ONE[1]}, 32, "((b[i % 16 + 3] >> (4 * (i // 16))) & 15) - 8"),
     "Q4_K": (144, {0: ONE[0], 1: ONE[1], 2: HALF[0], 3: HALF[1]}, 256, "CASE WHEN i < 128 THEN b[i // 32 + 5] & 63 ELSE (b[i // 32 + 9] & 15) | ((b[i // 32 + 1] >> 6) << 4) END * ((b[32 * (i // 64) + i % 32 + 17] >> (4 * (i // 32 % 2))) & 15) - 0.5 * CASE WHEN i < 128 THEN b[i // 32 + 9] & 63 ELSE (b[i // 32 + 9] >> 4) | ((b[i // 32 + 5] >> 6) << 4) END"),
     "Q6_K": (210, {208: ONE[0], 209: ONE[1]}, 256, "CASE WHEN b[i // 16 + 193] > 127 THEN b[i // 16 + 193] - 256 ELSE b[i // 16 + 193] END * ((((b[64 * (i // 128) + i % 64 + 1] >> (4 * (i % 128 // 64))) & 15) | (((b[32 * (i // 128) + i % 32 + 129] >> (2 * (i % 128 // 32))) & 3) << 4)) - 32)"),
+    "Q2_K": (84, {80: ONE[0], 81: ONE[1], 82: HALF[0], 83: HALF[1]}, 256, "(b[i // 16 + 1] & 15) * ((b[32 * (i // 128) + i % 32 + 17] >> (2 * (i % 128 // 32))) & 3) - 0.5 * (b[i // 16 + 1] >> 4)"),
+    "Q5_0": (22, {0: ONE[0], 1: ONE[1]}, 32, "(((b[i % 16 + 7] >> (4 * (i // 16))) & 15) | (((b[i // 8 + 3] >> (i % 8)) & 1) << 4)) - 16"),
+    "Q8_K": (292, {0: "00", 1: "00", 2: "80", 3: "3f"}, 256, "CASE WHEN b[i + 5] > 127 THEN b[i + 5] - 256 ELSE b[i + 5] END"),
+    "IQ4_NL": (18, {0: ONE[0], 1: ONE[1]}, 32, "([-127, -104, -83, -65, -49, -35, -22, -10, 1, 13, 25, 38, 53, 69, 89, 113])[((b[i % 16 + 3] >> (4 * (i // 16))) & 15) + 1]"),
+    "IQ4_XS": (136, {0: ONE[0], 1: ONE[1]}, 256, "((((b[i // 64 + 5] >> (4 * (i // 32 % 2))) & 15) | ((((b[3] + 256 * b[4]) >> (2 * (i // 32))) & 3) << 4)) - 32) * ([-127, -104, -83, -65, -49, -35, -22, -10, 1, 13, 25, 38, 53, 69, 89, 113])[((b[16 * (i // 32) + i % 16 + 9] >> (4 * (i % 32 // 16))) & 15) + 1]"),
 }
 
 

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
 from ..sources import records
 from ..sources.records import normal_checks
-from . import calibration, scoring
+from . import calibration, reports, scoring
 from .catalogue import query
 
 SPACE_SQL = "[\\s\\x0b\\x1c-\\x1f\\x85\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
@@ -345,6 +347,25 @@ def gate(spark, sf_dir):
     return scoring.gate(scoring.choice_scores(choice_runs(spark, sf_dir)), "view").select("side", "accuracy_gap_pp", "anomaly_gap_pp", "passed")
 
 
+@query("q_report_choice", f"WITH {MC_SQL}, b AS (SELECT clean_accuracy AS ba, anomaly_rate AS br FROM s WHERE side = 'view') SELECT 'sides.' || side || '.n' AS path, n::VARCHAR AS value FROM s UNION ALL SELECT 'sides.' || side || '.passed', CASE WHEN side <> 'view' THEN ((ba - clean_accuracy) * 100 <= 5.0 AND (anomaly_rate - br) * 100 <= 2.0)::VARCHAR END FROM s, b UNION ALL SELECT 'source', 'view' UNION ALL SELECT 'heading', '## sides'")
+def report_choice(spark, sf_dir):
+    """The report of a choice evaluation, written as JSON and Markdown and read back."""
+    report = reports.choice(choice_runs(spark, sf_dir), "view")
+    held = json.loads(reports.to_json(report))
+    lines = [x for x in reports.to_markdown(report, "t").split("\n") if x == "## sides"]
+    out = [("source", held["source"]), *[("heading", x) for x in lines]]
+    for side in held["sides"]:
+        out += [(f"sides.{side['side']}.n", str(side["n"])), (f"sides.{side['side']}.passed", None if side["passed"] is None else str(side["passed"]).lower())]
+    return spark.createDataFrame(out, "path string, value string")
+
+
+@query("q_report_evaluation", "SELECT 'summary.n_scored' AS path, count(*) FILTER (n_chars > 300)::VARCHAR AS value FROM documents JOIN labels USING (doc_id) UNION ALL SELECT 'categories.' || lang, count(*)::VARCHAR FROM documents JOIN labels USING (doc_id) WHERE n_chars > 300 GROUP BY lang UNION ALL SELECT 'candidate_anomalies.toxic', count(*)::VARCHAR FROM documents JOIN labels USING (doc_id) WHERE toxic = 1 UNION ALL SELECT 'flips.first', min(doc_id)::VARCHAR FROM documents JOIN labels USING (doc_id) WHERE n_chars > 300 AND (quality = 1) <> (toxic = 0)")
+def report_evaluation(spark, sf_dir):
+    held = json.loads(reports.to_json(reports.evaluation(verdicts(spark, sf_dir))))
+    out = [("summary.n_scored", str(held["summary"]["n_scored"])), *[(f"categories.{c['category']}", str(c["n"])) for c in held["categories"]], *[(f"candidate_anomalies.{c['anomaly']}", str(c["n"])) for c in held["candidate_anomalies"]], ("flips.first", str(held["flips"][0]))]
+    return spark.createDataFrame(out, "path string, value string")
+
+
 @query("q_side_consistency", "SELECT user_id AS id, CASE WHEN count(DISTINCT event_type) < 5 THEN 'coverage' WHEN count(DISTINCT value > 100) > 1 THEN 'answer key' END AS problem FROM events GROUP BY ALL HAVING problem IS NOT NULL")
 def consistency(spark, sf_dir):
     runs = table(spark, sf_dir, "events").select(F.col("user_id").alias("id"), F.col("event_type").alias("side"), (F.col("value") > 100).cast("string").alias("answer_key"), F.lit("h").alias("prompt_sha256"))
