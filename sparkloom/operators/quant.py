@@ -62,6 +62,13 @@ def dequantize(q: DataFrame) -> DataFrame:
     return q.select("row", "grp", F.transform("codes", lambda c: (c * F.col("scale") + F.col("bias")).cast("float")).alias("values"))
 
 
+def dequantize_rows(q: DataFrame, group: int) -> DataFrame:
+    """(row, values) of whole rows from ``quantize_rows``, as one projection: codes times scale plus bias, as doubles."""
+    parts = F.zip_with("scales", "biases", lambda s, b: F.struct(s.cast("double").alias("s"), b.cast("double").alias("b")))
+    of_group = lambda g, k: F.transform(F.slice("codes", k * group + 1, F.lit(group)), lambda c: c * g["s"] + g["b"])
+    return q.select("row", F.flatten(F.transform(parts, of_group)).alias("values"))
+
+
 def as_tensor(groups: DataFrame, shape) -> TensorFrame:
     """Groups of a row joined again, in order."""
     joined = groups.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("grp", "values"))).alias("g"))

@@ -45,20 +45,26 @@ def cells(rows: DataFrame, key: str, out: str) -> DataFrame:
     return rows.select(key, "row", F.posexplode("values").alias("col", out))
 
 
-def stats(a: Column, b: Column) -> list[Column]:
-    """Aggregates over pairs of elements: ours ``a``, reference ``b``."""
-    a, b = a.cast("double"), b.cast("double")
+def prepared(pairs: DataFrame, ours: Column, reference: Column) -> DataFrame:
+    """Pairs of elements as doubles ``a`` and ``b``, with both on the half-float grid and on that of bfloat16, each computed once."""
+    kept = [c for c in pairs.columns if c != "p"]
+    return pairs.select(*kept, ours.cast("double").alias("a"), reference.cast("double").alias("b")).select(*kept, "a", "b", f16(F.col("a")).alias("ha"), f16(F.col("b")).alias("hb"), bf16(F.col("a")).alias("ba"), bf16(F.col("b")).alias("bb"))
+
+
+def stats() -> list[Column]:
+    """Aggregates over ``prepared`` pairs of elements: ours ``a``, reference ``b``."""
+    a, b, ha, hb, ba, bb = map(F.col, ("a", "b", "ha", "hb", "ba", "bb"))
     d, inf = F.abs(a - b), float("inf")
     finite = lambda c: F.when(F.isnan(c), F.lit(None)).otherwise(c)
-    total = lambda c: F.sum(c)
+    aa, bb_, ab, dd = F.sum(a * a), F.sum(b * b), F.sum(a * b), F.sum(d * d)
+    nothing = F.lit(float("nan"))
     return [
-        F.count("*").alias("n"), F.max(finite(d)).alias("max_abs"), F.avg(d).alias("mean_abs"),
-        F.when(total(b * b) > 0, F.sqrt(total(d * d) / F.nullif(total(b * b), F.lit(0.0)))).otherwise(F.lit(float("nan"))).alias("rel_l2"),
-        F.when((total(a * a) > 0) & (total(b * b) > 0), total(a * b) / F.nullif(F.sqrt(total(a * a)) * F.sqrt(total(b * b)), F.lit(0.0))).otherwise(F.lit(float("nan"))).alias("cosine"),
+        F.count("a").alias("n"), F.max(finite(d)).alias("max_abs"), F.avg(d).alias("mean_abs"),
+        F.when(bb_ > 0, F.sqrt(dd / F.nullif(bb_, F.lit(0.0)))).otherwise(nothing).alias("rel_l2"),
+        F.when((aa > 0) & (bb_ > 0), ab / F.nullif(F.sqrt(aa) * F.sqrt(bb_), F.lit(0.0))).otherwise(nothing).alias("cosine"),
         F.count_if(F.isnan(a)).alias("nan_ours"), F.count_if(F.isnan(b)).alias("nan_ref"), F.count_if(F.abs(a) == inf).alias("inf_ours"), F.count_if(F.abs(b) == inf).alias("inf_ref"),
-        F.bool_and(a.eqNullSafe(b)).alias("bit_exact"),
-        F.bool_and(bf16(a).eqNullSafe(bf16(b))).alias("equal_after_bf16"), F.bool_and(f16(a).eqNullSafe(f16(b))).alias("equal_after_f16"),
-        F.max(F.abs(f16(a) - f16(b))).alias("max_abs_after_f16"), F.max(F.abs(bf16(a) - bf16(b))).alias("max_abs_after_bf16"), F.count_if((b != 0) & (f16(a) == 0)).alias("flushed_to_zero"),
+        F.bool_and(a.eqNullSafe(b)).alias("bit_exact"), F.bool_and(ba.eqNullSafe(bb)).alias("equal_after_bf16"), F.bool_and(ha.eqNullSafe(hb)).alias("equal_after_f16"),
+        F.max(F.abs(ha - hb)).alias("max_abs_after_f16"), F.max(F.abs(ba - bb)).alias("max_abs_after_bf16"), F.count_if((b != 0) & (ha == 0)).alias("flushed_to_zero"),
     ]
 
 
@@ -67,14 +73,13 @@ def tensor_stats(ours: DataFrame, reference: DataFrame) -> DataFrame:
 
     Rows are joined whole and only then taken apart, so one record a row is shuffled.
     """
-    a, b = ours.select("key", "row", F.col("values").alias("a")), reference.select("key", "row", F.col("values").alias("b"))
-    rows = a.join(b, ["key", "row"], "full_outer")
-    odd = F.col("a").isNull() | F.col("b").isNull() | (F.size("a") != F.size("b"))
-    status = rows.groupBy("key").agg(F.when(F.bool_and(F.col("a").isNull()), "reference only").when(F.bool_and(F.col("b").isNull()), "ours only").when(F.bool_or(odd), "shape_mismatch").otherwise("ok").alias("status"))
-    pairs = rows.where(~odd).select("key", F.explode(F.arrays_zip("a", "b")).alias("p"))
-    got = pairs.groupBy("key").agg(*stats(F.col("p.a"), F.col("p.b")))
-    values = [F.when(F.col("status") == "ok", F.col(c)).alias(c) for c in got.columns if c != "key"]
-    return status.join(got, "key", "left").select("key", "status", *values)
+    a, b = ours.select("key", "row", F.col("values").alias("x")), reference.select("key", "row", F.col("values").alias("y"))
+    odd = F.col("x").isNull() | F.col("y").isNull() | (F.size("x") != F.size("y"))
+    rows = a.join(b, ["key", "row"], "full_outer").select("key", F.col("x").isNull().alias("no_x"), F.col("y").isNull().alias("no_y"), odd.alias("odd"), F.explode_outer(F.when(~odd, F.arrays_zip("x", "y"))).alias("p"))
+    status = F.when(F.bool_and("no_x"), "reference only").when(F.bool_and("no_y"), "ours only").when(F.bool_or("odd"), "shape_mismatch").otherwise("ok").alias("status")
+    got = prepared(rows, F.col("p.x"), F.col("p.y")).groupBy("key").agg(status, *stats())
+    values = [F.when(F.col("status") == "ok", F.col(c)).alias(c) for c in got.columns if c not in ("key", "status")]
+    return got.select("key", "status", *values)
 
 
 def summarised(compared: DataFrame) -> DataFrame:

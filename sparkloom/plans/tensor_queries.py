@@ -187,12 +187,11 @@ for _b, _g in ((2, 32), (3, 64), (4, 32), (6, 64), (8, 32)):
 def labelled(spark, sf_dir, bits=4, group=32) -> tuple[DataFrame, DataFrame]:
     """(key, row, values) of the embeddings after quantization and back, and of the embeddings: a module a label."""
     t = embeddings(spark, sf_dir)
-    key = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("row"), F.concat(F.lit("model.layers."), "label", F.lit(".class."), "label", F.lit(".weight")).alias("key"))
-    q = quant.quantize(t, bits, group, half=False)
+    key = F.concat(F.lit("model.layers."), "label", F.lit(".class."), "label", F.lit(".weight")).alias("key")
+    reference = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(key, F.col("vec_id").alias("row"), F.col("embedding").alias("values"))
     # Values stay doubles, so that errors and equality are those of the formula.
-    back = q.select("row", "grp", F.transform("codes", lambda c: c * F.col("scale") + F.col("bias")).alias("values"))
-    keyed = lambda df: df.join(key, "row").select("key", "row", "values")
-    return keyed(quant.as_tensor(back, t.shape).df), keyed(t.df)
+    ours = quant.dequantize_rows(quant.quantize_rows(t, bits, group, half=False), group)
+    return ours.join(reference.select("key", "row"), "row").select("key", "row", "values"), reference
 
 
 @query("q_quant_dequantize", quant_sql(4, 32) + "SELECT r AS row, c::BIGINT AS col, round((code * s + lo)::FLOAT::DOUBLE, 5) AS value FROM q")
