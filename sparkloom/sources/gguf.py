@@ -174,6 +174,7 @@ class _Reader(DataSourceReader):
         self.path, names = options["path"], options.get("names")
         self.names = None if names is None else set(json.loads(names))
         self.lo, self.hi = int(options.get("lo", 0)), int(options.get("hi", -1))
+        self.books = options.get("books")
 
     def partitions(self):
         out = []
@@ -185,9 +186,10 @@ class _Reader(DataSourceReader):
 
     def read(self, p: _Range):
         t, step = p.tensor, max(1, (4 << 20) // max(1, p.tensor.ne[0]))
+        books = blocks.load_books(self.books) if self.books else None
         for a in range(p.lo, p.hi, step):
             b = min(p.hi, a + step)
-            values = blocks.decode(t.qtype, files.read(p.path, t.offset + a * t.row_bytes, (b - a) * t.row_bytes), t.ne[0])
+            values = blocks.decode(t.qtype, files.read(p.path, t.offset + a * t.row_bytes, (b - a) * t.row_bytes), t.ne[0], books)
             flat = pa.array(values.ravel(), pa.float32())
             offsets = pa.array(range(0, (b - a) * t.ne[0] + 1, t.ne[0]), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array([t.name] * (b - a)), pa.array(range(a, b), pa.int64()), pa.ListArray.from_arrays(offsets, flat)], ["name", "row", "values"])
@@ -211,18 +213,21 @@ class Model:
 
     spark: SparkSession
     header: Header
+    books: str | None = None
 
     def __call__(self, names: Sequence[str] | None = None, lo: int = 0, hi: int | None = None) -> DataFrame:
         reader = self.spark.read.format("gguf").option("lo", lo).option("hi", -1 if hi is None else hi)
+        if self.books is not None:
+            reader = reader.option("books", self.books)
         if names is not None:
             reader = reader.option("names", json.dumps(list(names)))
         return reader.load(self.header.path)
 
 
-def open_model(spark: SparkSession, path: str) -> Model:
-    """The header is read at once, tensors when they are asked for."""
+def open_model(spark: SparkSession, path: str, books: str | None = None) -> Model:
+    """The header is read at once, tensors when they are asked for. ``books``: a file of code books, for types that need one."""
     spark.dataSource.register(GGUFSource)
-    return Model(spark, read_header(path))
+    return Model(spark, read_header(path), books)
 
 
 def read_rows(model: Model, name: str, lo: int, hi: int) -> DataFrame:
