@@ -40,6 +40,7 @@ def parser() -> argparse.ArgumentParser:
         p.add_argument("--config", help="name or path; found by the model's architecture if left out")
         p.add_argument("--source-config", help="reference configuration in JSON")
         p.add_argument("--group-size", type=int, choices=GROUPS)
+        p.add_argument("--code-books", help="code books in JSON, for types whose values are points of one")
     c.add_argument("--bits", type=bits, default="auto")
     c.add_argument("--no-quantize", action="store_true")
     c.add_argument("--quant-profile")
@@ -54,7 +55,7 @@ def parser() -> argparse.ArgumentParser:
 
 
 def _planned(spark: SparkSession, args: argparse.Namespace, profile: config.Profile | None = None):
-    model = gguf.open_model(spark, args.model)
+    model = gguf.open_model(spark, args.model, args.code_books)
     c = config.resolve_config(args.configs, args.config, model.header.arch)
     if profile:
         c, changed, idle = config.overlay(c, profile)
