@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -73,9 +74,9 @@ class Model:
 class Rows:
     """Sparse rows of feature indexes."""
 
-    def __init__(self, rows: list[list[int]], width: int):
-        self.index = np.fromiter((j for r in rows for j in r), "int64")
-        self.row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    def __init__(self, rows: Sequence[Sequence[int]], width: int):
+        self.index = np.concatenate([np.empty(0, "int32"), *[np.asarray(r, "int32") for r in rows]])
+        self.row = np.repeat(np.arange(len(rows), dtype="int32"), [len(r) for r in rows])
         self.shape = len(rows), width
 
     def times(self, w: np.ndarray) -> np.ndarray:
@@ -85,11 +86,20 @@ class Rows:
         return np.bincount(self.index, g[self.row], self.shape[1])
 
 
+def _arrays(column: pa.ChunkedArray) -> list[np.ndarray | None]:
+    """The lists of a column as views of one array, null as None."""
+    out: list[np.ndarray | None] = []
+    for c in column.chunks:
+        values, at = c.values.to_numpy(), c.offsets.to_numpy()
+        out += [values[a:b] if fine else None for a, b, fine in zip(at[:-1], at[1:], c.is_valid().to_pylist(), strict=True)]
+    return out
+
+
 def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * z))
 
 
-def fit(rows: list[list[int]], twins: list[tuple[int, list[int]]], labels: np.ndarray, width: int, penalty: float = 1.0, ridge: float = 5e-4, steps: int = 250) -> tuple[np.ndarray, float]:
+def fit(rows: Sequence[Sequence[int]], twins: Sequence[tuple[int, Sequence[int]]], labels: np.ndarray, width: int, penalty: float = 1.0, ridge: float = 5e-4, steps: int = 250) -> tuple[np.ndarray, float]:
     """Logistic weights. twins: (row, features of its counterfactual); each costs penalty * (score change)^2."""
     x, n = Rows(rows, width), max(1, len(rows))
     other = Rows([t for _, t in twins], width)
@@ -198,11 +208,12 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
             kind = pa.list_(pa.int32())
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("label"), pa.array(rows, kind), pa.array(twins, kind)], ["id", "label", "row", "twin"])
 
-    got = texts.mapInArrow(encode, f"id {texts.schema['id'].dataType.simpleString()}, label int, row array<int>, twin array<int>").toPandas()
-    got = got.iloc[sorted(range(len(got)), key=lambda i: (str(got["id"].iat[i]), list(got["row"].iat[i])))]
-    rows = [list(r) for r in got["row"]]
-    twins = [(i, list(t)) for i, t in enumerate(got["twin"]) if t is not None and list(t) != rows[i]]
-    w, bias = fit(rows, twins, got["label"].to_numpy("float64"), len(best), penalty)
+    got = texts.mapInArrow(encode, f"id {texts.schema['id'].dataType.simpleString()}, label int, row array<int>, twin array<int>").toArrow().combine_chunks()
+    ids, labels_, row, twin = got["id"].to_pylist(), got["label"].to_numpy(), _arrays(got["row"]), _arrays(got["twin"])
+    order = sorted(range(len(ids)), key=lambda i: (str(ids[i]), row[i].tobytes()))  # whatever the partitioning
+    rows = [row[i] for i in order]
+    twins = [(k, twin[i]) for k, i in enumerate(order) if twin[i] is not None and not np.array_equal(twin[i], row[i])]
+    w, bias = fit(rows, twins, labels_[order].astype("float64"), len(best), penalty)
     return Model({f: float(x) for f, x in zip(best, w, strict=True) if abs(x) > 1e-6}, bias, found, len(twins))
 
 
