@@ -12,7 +12,7 @@ from __future__ import annotations
 from bisect import bisect_right
 from collections.abc import Callable, Iterator
 from functools import cache, cached_property
-from itertools import accumulate
+from itertools import accumulate, islice
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from . import common
 
 LIMIT = 2048
-#: Words remembered by one worker before it starts afresh, and by one that idles between tasks.
-MEMORY, IDLE_MEMORY = 600_000, 250_000
+#: Words remembered by one worker at most, and by one that idles between tasks.
+MEMORY, IDLE_MEMORY = 600_000, 200_000
 #: Marks that end a word and never share a token with letters or digits.
 MARKS = b".,;:!?"
 
@@ -74,8 +74,8 @@ class WordTokens:
         """Make sure that ``ids`` has every word of the lists."""
         new = {w for w in set().union(*lists) if w not in self.ids}  # a difference with the keys would visit all of them
         if len(self.ids) + len(new) > MEMORY:
-            self.ids.clear()
-            new = set().union(*lists)
+            self.forget(IDLE_MEMORY)
+            new = {w for w in set().union(*lists) if w not in self.ids}
         known, tails, letters, other = self.ids, [], set(), set()
         for w in new:
             x = w.rstrip(MARKS)
@@ -124,10 +124,14 @@ class WordTokens:
     def count(self, text: bytes) -> int:
         return len(self.text_ids(text)) // 4
 
+    def forget(self, most: int) -> None:
+        """Keep the words learned first: frequent ones come early, rare ones all along."""
+        if len(self.ids) > most:
+            self.ids = dict(islice(self.ids.items(), most))
+
     def rest(self) -> None:
         """At the end of a task: an idle worker holds few words."""
-        if len(self.ids) > IDLE_MEMORY:
-            self.ids.clear()
+        self.forget(IDLE_MEMORY)
         common.trim()
 
 

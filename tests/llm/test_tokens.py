@@ -3,6 +3,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pytest
 from tokenizers import Tokenizer
 
 from sparkloom.llm import common, packing, token_counts
@@ -29,11 +30,14 @@ def test_counts_match_the_library(spark, docs):
         assert len(ids(cut.decode())) <= 2048
 
 
-def test_random_strings_match_the_library():
-    r, tokens = random.Random(12), token_counts.word_tokens(common.TOKENIZER_FILE)
+@pytest.mark.parametrize("memory", [600_000, 300])
+def test_random_strings_match_the_library(monkeypatch, memory):
+    monkeypatch.setattr(token_counts, "MEMORY", memory)
+    monkeypatch.setattr(token_counts, "IDLE_MEMORY", memory // 3)
+    r, tokens = random.Random(12), token_counts.WordTokens(common.tokenizer_path())
     letters = "abcİıIßſKÅΣσς.,;:!?'\" \t\n-_#<|>0123½²Ⅷ①é\u0301日本ñÑÄ\xa0\u200bﬁ😀ǅŉẞ\u0345\u037e。"
     lines = ["".join(r.choice(letters) for _ in range(r.randint(1, 14))) + r.choice(["", " İ.", "<|endoftext|>", " é!"]) for _ in range(20_000)]
-    for t, (_, parts) in zip(lines, tokens.of_texts([t.encode() for t in lines]), strict=True):
+    for t, (_, parts) in zip(lines, tokens.of_texts([t.encode() for t in lines], most=4 << 20 if memory > 300 else 2000), strict=True):
         assert np.frombuffer(b"".join(parts), "<u4").tolist() == ids(t), t
 
 
