@@ -16,6 +16,7 @@ import uuid
 import zlib
 from collections.abc import Iterable, Iterator
 from itertools import islice
+from typing import Any
 from urllib.parse import unquote
 
 import pyarrow as pa
@@ -255,20 +256,21 @@ def _batch(rows: list[dict], extra: dict[str, pa.Array]) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict(extra | cols)
 
 
-def _derived(found: Iterable[tuple[list, bytes]], key: pa.Scalar | None, name: str | None, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Batches of a few MB of the derivatives of an archive's records."""
+def _derived(found: Iterable[tuple[Any, list, bytes]], name: str | None, kind: pa.DataType | None, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches of a few MB of the derivatives of records (key, named fields, block) of any number of archives."""
     rows: list[dict] = []
-
-    def out():
-        return _batch(rows, {name: pa.array([key.as_py()] * len(rows), key.type)} if name else {})
-
-    for named, block in found:
-        rows += derive(named, block)
-        if sum(r["n_bytes"] for r in rows) > most or len(rows) >= 10_000:
-            yield out()
-            rows = []
+    keys: list = []
+    size = 0
+    for key, named, block in found:
+        got = derive(named, block)
+        rows += got
+        keys += [key] * len(got)
+        size += sum(r["n_bytes"] for r in got)
+        if size > most or len(rows) >= 10_000:
+            yield _batch(rows, {name: pa.array(keys, kind)} if name else {})
+            rows, keys, size = [], [], 0
     if rows:
-        yield out()
+        yield _batch(rows, {name: pa.array(keys, kind)} if name else {})
 
 
 def derivatives(archives: DataFrame, content: str = "content", key: str | None = None) -> DataFrame:
@@ -283,8 +285,9 @@ def derivatives(archives: DataFrame, content: str = "content", key: str | None =
 
     def run(batches):
         for b in common.pieces(batches, content):
-            for i, data in enumerate(b.column(content)):
-                yield from _derived(records(data.as_py() or b""), b.column(key)[i] if key else None, key)
+            keys = b.column(key).to_pylist() if key else [None] * b.num_rows
+            found = ((k, named, block) for k, data in zip(keys, b.column(content), strict=True) for named, block in records(data.as_py() or b""))
+            yield from _derived(found, key, b.column(key).type if key else None)
 
     return archives.select(*([common.column(key)] if key else []), common.column(content)).mapInArrow(run, fields + RECORD)
 
@@ -295,10 +298,10 @@ def archive_derivatives(spark: SparkSession, path: str, step: int = 4 << 20) ->
 
     def run(batches):
         for b in batches:
-            for name, size in zip(b.column("path"), b.column("length").to_pylist(), strict=True):
-                at = unquote(re.sub(r"^file:/+", "/", name.as_py()))
+            for name, size in zip(b.column("path").to_pylist(), b.column("length").to_pylist(), strict=True):
+                at = unquote(re.sub(r"^file:/+", "/", name))
                 chunks = (files.read(at, k, min(step, size - k)) for k in range(0, size, step))
-                yield from _derived(records(chunks), name, "path")
+                yield from _derived(((name, named, block) for named, block in records(chunks)), "path", pa.string())
 
     return listed.mapInArrow(run, f"path string, {RECORD}")
 
