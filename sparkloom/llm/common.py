@@ -123,6 +123,14 @@ def trim() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def hold(most: int = 64 << 20) -> None:
+    """Keep up to so many freed bytes until ``trim``: arrays made again at every step then cost no new pages."""
+    with contextlib.suppress(OSError, AttributeError):
+        set_to = ctypes.CDLL(None).mallopt
+        set_to(-1, most)  # M_TRIM_THRESHOLD
+        set_to(-3, most // 4)  # M_MMAP_THRESHOLD
+
+
 def column(name: str) -> Column:
     """The column of that name, which may hold dots."""
     return F.col("`" + name.replace("`", "``") + "`")

@@ -45,122 +45,149 @@ def unflat(v: np.ndarray, hidden: int = HIDDEN) -> dict[str, np.ndarray]:
     return out
 
 
-def cell(p, x, h, H):
-    """One step: gates z and r, candidate n. Returns the new state and what the gradient needs."""
-    a = h @ p["U"]
-    zr = 0.5 * (1 + np.tanh(0.5 * (x[:, : 2 * H] + a[:, : 2 * H])))
-    z, r = zr[:, :H], zr[:, H:]
-    n = np.tanh(x[:, 2 * H :] + r * a[:, 2 * H :])
-    return n + z * (h - n), z, r, n, a[:, 2 * H :]
-
-
-def run_states(p, inputs: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """States before each of the (T, B) predictions; inputs hold the word before each. A start resets the state."""
-    H = h.shape[1]
-    U, x = p["U"], p["X"][inputs]
-    out = np.empty((*inputs.shape, H), "float32")
-    resets = inputs == START
-    any_reset = resets.any(1)
-    for t in range(len(inputs)):
-        if any_reset[t]:
-            h = h * ~resets[t][:, None]
-        a = h @ U
-        zr = np.tanh(x[t, :, : 2 * H] + a[:, : 2 * H])
-        a = a[:, 2 * H :]
-        n = np.tanh(x[t, :, 2 * H :] + a + zr[:, H:] * a)
-        out[t] = h = n + (0.5 * zr[:, :H] + 0.5) * (h - n)
-    return out, h
-
-
-def _halved(p, hidden: int) -> dict[str, np.ndarray]:
-    """Weights for ``run_states``: sigmoid(x) = (1 + tanh(x / 2)) / 2, with the factors moved into the tables."""
-    scale = np.full(3 * hidden, 0.5, p["E"].dtype)
-    gate = np.where(np.arange(3 * hidden) < 2 * hidden, scale, 1)
-    return {**p, "X": (p["E"] + p["b"]) * gate, "U": p["U"] * scale}
-
-
-def _by_class(cls: np.ndarray):
-    """Slices of rows of equal head class: (class, row numbers)."""
-    order = np.argsort(cls, kind="stable")
-    ends = np.searchsorted(cls[order], np.arange(HEAD + 1))
-    return [(k, order[a:b]) for k, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True)) if b > a]
+def _tables(p) -> tuple[np.ndarray, np.ndarray]:
+    """What ``run_states`` reads, units first: inputs and U, gates halved as sigmoid(x) = (1 + tanh(x / 2)) / 2."""
+    hidden = p["U"].shape[0]
+    gate = np.where(np.arange(3 * hidden) < 2 * hidden, 0.5, 1).astype(p["E"].dtype)
+    return np.ascontiguousarray(((p["E"] + p["b"]) * gate).T), np.ascontiguousarray((p["U"] * gate).T)
+
+
+def run_states(tables, inputs: np.ndarray, h: np.ndarray, saved: dict | None = None) -> np.ndarray:
+    """States (T, H, B) before each of the (T, B) predictions; inputs hold the word before each, h (H, B) the state so far.
+
+    A start resets the state.  Units come first, so that every operation runs over whole lanes.  ``saved`` gets what
+    the gradient needs: gates and candidates, states before, what r gates, and which steps keep what.
+    """
+    X, U = tables
+    H, (T, B) = len(h), inputs.shape
+    after, own, part = np.empty((T, H, B), X.dtype), np.empty((3 * H, B), X.dtype), np.empty((H, B), X.dtype)
+    a = np.empty((T if saved is not None else 1, 3 * H, B), X.dtype)
+    keep = inputs != START
+    resets = ~keep.all(1)
+    if saved is not None:
+        saved.update(a=a, before=np.empty_like(after), an=np.empty_like(after), keep=keep, resets=resets)
+    for t in range(T):
+        if resets[t]:
+            h = h * keep[t]
+        np.matmul(U, h, out=own)
+        if saved is not None:
+            saved["before"][t], saved["an"][t] = h, own[2 * H :]
+        x = X.take(inputs[t], axis=1, out=a[t if saved is not None else 0], mode="clip")
+        zr, n = x[: 2 * H], x[2 * H :]
+        zr += own[: 2 * H]
+        np.tanh(zr, out=zr)
+        zr *= 0.5
+        zr += 0.5
+        np.multiply(zr[H:], own[2 * H :], out=part)
+        n += part
+        np.tanh(n, out=n)
+        np.subtract(h, n, out=part)
+        part *= zr[:H]
+        h = np.add(n, part, out=after[t])
+    return after
+
+
+class _Sorted:
+    """Words in the order of their classes, so that each class is one product and all else runs over all words."""
+
+    def __init__(self, p, states: np.ndarray, word: np.ndarray, tail: np.ndarray, rows: np.ndarray):
+        """states (H, n), of which the words at ``rows`` are read."""
+        H, kind = len(states), states.dtype
+        cls = np.where(word >= 0, word // PER_CLASS, HEAD + tail).ravel()[rows].astype("uint8")
+        by = np.argsort(cls, kind="stable")
+        self.cls, self.order = cls[by], rows[by]
+        self.S = np.empty((H + 1, len(rows)), kind)  # the last row is for the biases
+        np.take(states, self.order, axis=1, out=self.S[:H], mode="clip")
+        self.S[H] = 1
+        self.C = np.vstack([p["C"], p["c"] - p["c"].max()]).astype(kind)
+        self.W = np.concatenate([p["W"], (p["w"] - p["w"].max(1, keepdims=True))[:, None]], 1).astype(kind)
+        ends = np.searchsorted(self.cls, np.arange(HEAD + 1))
+        self.inside = [(k, slice(i, j)) for k, (i, j) in enumerate(zip(ends[:-1], ends[1:], strict=True)) if j > i]
+        self.e, self.q = self.S.T @ self.C, np.empty((ends[-1], PER_CLASS), kind)
+        for k, s in self.inside:
+            np.matmul(self.S[:, s].T, self.W[k], out=self.q[s])
+        self.at = word.ravel()[self.order[: ends[-1]]] % PER_CLASS
+
+    def log_probs(self) -> np.ndarray:
+        """Of each word in this order; logits become their exponentials, divided by nothing yet."""
+        out = self._log_softmax(self.e, self.cls)
+        out[: len(self.q)] += self._log_softmax(self.q, self.at)
+        return out
+
+    @staticmethod
+    def _log_softmax(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
+        got = logits[np.arange(len(at)), at]
+        np.clip(logits, -80, 80, out=logits)
+        np.exp(logits, out=logits)
+        got -= np.log(logits @ np.ones(logits.shape[1], logits.dtype))
+        return got
 
 
 def log_probs(p, states: np.ndarray, word: np.ndarray, tail: np.ndarray) -> np.ndarray:
     """Natural log probabilities. word: frequent word, or -1, whose class is given by tail."""
-    cls = np.where(word >= 0, word // PER_CLASS, HEAD + tail)
-    logits = states @ p["C"]
-    logits += p["c"] - p["c"].max()
-    out = logits[np.arange(len(word)), cls]
-    np.clip(logits, -80, 80, out=logits)
-    np.exp(logits, out=logits)
-    out -= np.log(logits @ np.ones(CLASSES, logits.dtype))
-    for k, rows in _by_class(np.where(word >= 0, cls, HEAD)):
-        inner = states[rows] @ p["W"][k]
-        inner += p["w"][k] - p["w"][k].max()
-        got = inner[np.arange(len(rows)), word[rows] % PER_CLASS]
-        np.clip(inner, -80, 80, out=inner)
-        np.exp(inner, out=inner)
-        out[rows] += got - np.log(inner @ np.ones(PER_CLASS, inner.dtype))
+    held = _Sorted(p, states.T, word, tail, np.arange(len(word)))
+    out = np.empty(len(word), states.dtype)
+    out[held.order] = held.log_probs()
     return out
 
 
+def _to_gradient(exps: np.ndarray, at: np.ndarray, share: float) -> None:
+    """Turn exponentials of logits into ``share`` times the gradient of the loss at the given columns."""
+    exps *= (share / (exps @ np.ones(exps.shape[1], exps.dtype)))[:, None]
+    exps[np.arange(len(at)), at] -= share
+
+
 def gradient(p, inputs, word, tail, mask, h):
     """(gradients, loss sum, next state) of one window of shape (T, B), for the mean of the masked words."""
     H, (T, B) = h.shape[1], inputs.shape
+    x: dict = {}
+    after = run_states(_tables(p), inputs, np.ascontiguousarray(h.T), x)
+    kind, rows = after.dtype, np.flatnonzero(mask)
     g = {k: np.zeros_like(v) for k, v in p.items()}
-    x = p["E"][inputs] + p["b"]
-    keep = (inputs != START).astype("float32")[..., None]
-    hs, saved = [], []
-    for t in range(T):
-        h = h * keep[t]
-        new, *rest = cell(p, x[t], h, H)
-        saved.append((h, *rest))
-        hs.append(new)
-        h = new
-    S = np.stack(hs).reshape(T * B, H)
-    word, tail, m = word.ravel(), tail.ravel(), mask.ravel().astype("float32") / max(1, mask.sum())
-    cls = np.where(word >= 0, word // PER_CLASS, HEAD + tail)
-    logits = S @ p["C"] + p["c"]
-    logits -= logits.max(1, keepdims=True)
-    e = np.exp(logits)
-    e /= e.sum(1, keepdims=True)
-    rows = np.arange(T * B)
-    loss = -(np.log(e[rows, cls] + 1e-30) * mask.ravel()).sum()
-    e[rows, cls] -= 1
-    e *= m[:, None]
-    g["C"], g["c"] = S.T @ e, e.sum(0)
-    dS = e @ p["C"].T
-    for k, r in _by_class(np.where(word >= 0, cls, HEAD)):
-        inner = S[r] @ p["W"][k] + p["w"][k]
-        inner -= inner.max(1, keepdims=True)
-        q = np.exp(inner)
-        q /= q.sum(1, keepdims=True)
-        at = np.arange(len(r))
-        loss -= (np.log(q[at, word[r] % PER_CLASS] + 1e-30) * mask.ravel()[r]).sum()
-        q[at, word[r] % PER_CLASS] -= 1
-        q *= m[r][:, None]
-        g["W"][k], g["w"][k] = S[r].T @ q, q.sum(0)
-        dS[r] += q @ p["W"][k].T
-    dS = dS.reshape(T, B, H)
-    dh, dx = np.zeros((B, H), "float32"), np.empty((T, B, 3 * H), "float32")
+    held, share = _Sorted(p, after.transpose(1, 0, 2).reshape(H, T * B), word, tail, rows), 1 / max(1, len(rows))
+    S, C, W, e, q = held.S, held.C, held.W, held.e, held.q
+    loss = -held.log_probs().sum(dtype="float64")
+    _to_gradient(e, held.cls, share)
+    _to_gradient(q, held.at, share)
+    got = S @ e
+    g["C"], g["c"] = got[:H], got[H]
+    d = np.zeros((H, len(rows) + 1), kind)  # the last column is for words that aren't masked
+    np.matmul(C[:H], e.T, out=d[:, :-1])
+    for k, s in held.inside:
+        got = S[:, s] @ q[s]
+        g["W"][k], g["w"][k] = got[:H], got[H]
+        d[:, s] += W[k, :H] @ q[s].T
+    place = np.full(T * B, len(rows))
+    place[held.order] = np.arange(len(rows))
+    dS = np.ascontiguousarray(d.take(place, axis=1).reshape(H, T, B).transpose(1, 0, 2))
+    a, before = x["a"], x["before"]
+    z, r, n = a[:, :H], a[:, H : 2 * H], a[:, 2 * H :]
+    dn = (1 - z) * (1 - n * n)
+    slope = np.empty((T, 3, H, B), kind)  # of what U gives, for each part of it
+    slope[:, 0] = (before - n) * z * (1 - z)
+    slope[:, 2] = dn * r
+    slope[:, 1] = slope[:, 2] * x["an"] * (1 - r)
+    U, dh, part = np.ascontiguousarray(p["U"]), np.zeros((H, B), kind), np.empty((H, B), kind)
+    da = slope.reshape(T, 3 * H, B)
     for t in range(T - 1, -1, -1):
-        before, z, r, n, an = saved[t]
-        d = dS[t] + dh
-        dn = d * (1 - z) * (1 - n * n)
-        dz = d * (before - n) * z * (1 - z)
-        dr = dn * an * r * (1 - r)
-        dx[t, :, :H], dx[t, :, H : 2 * H], dx[t, :, 2 * H :] = dz, dr, dn
-        da = np.concatenate([dz, dr, dn * r], 1)
-        g["U"] += before.T @ da
-        dh = (d * z + da @ p["U"].T) * keep[t]
-    flat_dx = dx.reshape(T * B, 3 * H)
-    g["b"] = flat_dx.sum(0)
-    ids = inputs.ravel()
-    order = np.argsort(ids, kind="stable")
-    starts = np.flatnonzero(np.r_[True, np.diff(ids[order]) > 0])
-    g["E"][ids[order][starts]] = np.add.reduceat(flat_dx[order], starts, axis=0)
-    return g, float(loss), h
+        d = dS[t]
+        d += dh
+        slope[t] *= d
+        g["U"] += before[t] @ da[t].T
+        np.matmul(U, da[t], out=dh)
+        np.multiply(d, z[t], out=part)
+        dh += part
+        if x["resets"][t]:
+            dh *= x["keep"][t]
+    slope[:, 2] = dS * dn
+    da = da.transpose(1, 0, 2).reshape(3 * H, T * B)
+    ids = inputs.ravel().astype("uint16")
+    by = np.argsort(ids, kind="stable")
+    ids = ids[by]
+    starts = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+    g["E"][ids[starts]] = np.add.reduceat(da.take(by, axis=1), starts, axis=1).T
+    g["b"] = g["E"].sum(0)
+    return g, float(loss), after[-1].T
 
 
 class Trainer:
@@ -174,27 +201,40 @@ class Trainer:
     def train(self, docs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[float, int]:
         """docs: (words, tails) as for ``log_probs``. Returns the loss and the number of words."""
         total, seen = 0.0, 0
-        sizes = [len(w) for w, _ in docs]  # lanes as long as the longest document, so that all end together
-        inputs, word, tail, mask, _ = lanes(docs, max(4, min(self.lanes, sum(sizes) // max(1, *sizes, 1))))
+        inputs, word, tail, mask, place = lanes(docs, self.lanes)
+        ends = np.zeros(inputs.shape[1], "int64")
+        for (w, _), (k, a) in zip(docs, place, strict=True):
+            ends[k] = max(ends[k], a + len(w))
         h = np.zeros((inputs.shape[1], self.p["U"].shape[0]), "float32")
-        for a in range(0, len(inputs), WINDOW):
-            s = slice(a, a + WINDOW)
-            if not mask[s].any():
-                break
-            g, loss, h = gradient(self.p, inputs[s], word[s], tail[s], mask[s], h)
-            total, seen = total + loss, seen + int(mask[s].sum())
+        a, last = 0, int(ends.max())
+        while a < last:
+            live = np.flatnonzero(ends > a)
+            b = a + max(WINDOW, WINDOW * self.lanes // len(live))  # few lanes have long windows: steps are of about equally many words
+            s = np.s_[a:b, live]
+            g, loss, h[live] = gradient(self.p, inputs[s], word[s], tail[s], mask[s], h[live])
+            total, seen, a = total + loss, seen + int(mask[s].sum()), b
             self.step(g)
         return total, seen
 
     def step(self, g) -> None:
         self.k += 1
-        norm = np.sqrt(sum(float((x * x).sum()) for x in g.values()))
+        norm = np.sqrt(sum(float(np.dot(x.ravel(), x.ravel())) for x in g.values()))
         scale = min(1.0, 1.0 / (norm + 1e-9))
+        first, second = 1 - 0.9**self.k, np.sqrt(1 - 0.99**self.k)
         for k, x in g.items():
-            x = x * scale
-            self.m[k] += 0.1 * (x - self.m[k])
-            self.v[k] += 0.01 * (x * x - self.v[k])
-            self.p[k] -= self.rate * (self.m[k] / (1 - 0.9**self.k)) / (np.sqrt(self.v[k] / (1 - 0.99**self.k)) + 1e-6)
+            m, v = self.m[k], self.v[k]
+            x *= scale
+            m *= 0.9
+            m += 0.1 * x
+            x *= x
+            x *= 0.01
+            v *= 0.99
+            v += x
+            np.sqrt(v, out=x)
+            x += 1e-6 * second
+            np.divide(m, x, out=x)
+            x *= self.rate * second / first
+            self.p[k] -= x
 
 
 def lanes(docs, width: int):
@@ -224,7 +264,6 @@ def score(p, docs: list[tuple[np.ndarray, np.ndarray]], width: int = 512, window
     out = np.zeros(len(docs))
     sizes = np.asarray([len(w) for w, _ in docs])
     fair = max(256, sizes.sum() // width)
-    p = _halved(p, p["U"].shape[0])
     for group in (np.flatnonzero(sizes > fair), np.flatnonzero(sizes <= fair)):
         if len(group):
             out[group] = _score(p, [docs[i] for i in group], width, window)
@@ -233,19 +272,20 @@ def score(p, docs: list[tuple[np.ndarray, np.ndarray]], width: int = 512, window
 
 def _score(p, docs, width: int, window: int) -> np.ndarray:
     inputs, word, tail, mask, place = lanes(docs, width)
-    h = np.zeros((inputs.shape[1], p["U"].shape[0]), "float32")
+    h = np.zeros((p["U"].shape[0], inputs.shape[1]), "float32")
     lp = np.zeros(inputs.shape, "float32")
+    tables = _tables(p)
     for a in range(0, len(inputs), window):
         s = slice(a, a + window)
-        live = mask[s].any(0)
-        if live.all():
-            states, h = run_states(p, inputs[s], h)
-        else:
-            states, h[live] = run_states(p, inputs[s][:, live], h[live])
-        m = mask[s][:, live]
-        got = np.zeros(m.shape, "float32")
-        got[m] = log_probs(p, states[m], word[s][:, live][m], tail[s][:, live][m])
-        lp[s, live] = got
+        live = np.flatnonzero(mask[s].any(0))
+        at = np.s_[s, live] if len(live) < len(h[0]) else np.s_[s]
+        m = mask[at]
+        states = run_states(tables, inputs[at], h[:, live])
+        h[:, live] = states[-1]
+        held = _Sorted(p, states.transpose(1, 0, 2).reshape(len(h), m.size), word[at], tail[at], np.flatnonzero(m))
+        got = np.zeros(m.size, "float32")
+        got[held.order] = held.log_probs()
+        lp[at] = got.reshape(m.shape)
     out = np.zeros(len(docs))
     for i, ((w, _), (k, a)) in enumerate(zip(docs, place, strict=True)):
         out[i] = lp[a : a + len(w), k].sum(dtype="float64")

@@ -3,10 +3,12 @@
 1. Every task counts the words of its training documents; Spark adds the counts up.
 2. Words above a cut-off chosen from a histogram of the counts, at most ``KNOWN``, go to every
    executor; the others are looked up by a join, so no word's count is lost.
-3. A first model is fitted on a bounded sample, read ``PASSES`` times.  ``1 / TRAIN_EVERY`` of the training
-   documents is dealt by a hash of their ids to groups of about ``GROUP_WORDS`` words; each group trains
-   the first model further, and the mean of all is the model.
-4. Every task scores its documents, with the state carried across windows.
+3. Every text is encoded once, two bytes a word, for training and scoring.
+4. A first model is fitted on a bounded number of training documents, read ``PASSES`` times: where the fits of
+   step 5 begin, so that their mean makes sense.
+5. All training documents are dealt by a hash to groups of about ``GROUP_WORDS`` words; each group trains
+   the first model further, and the mean of all, by words, is the model.
+6. Every task scores its documents, with the state carried across windows.
 
 Which group a document belongs to and its place there follow from the document, and means are sums of
 whole numbers, so the model depends neither on partitions nor on the number of executors.  Scores are sums
@@ -32,8 +34,10 @@ FOLDS, HELD_OUT = 7, 2
 KNOWN = 200_000
 #: Documents of the first fit, least hash first, and how often it reads them.
 SEED_DOCS, PASSES = 1_000, 3
-#: The part of the training documents that the averaged fit reads, and the words of one of its groups.
-TRAIN_EVERY, GROUP_WORDS = 24, 400_000
+#: The averaged fit reads one training document in so many, which is each, in groups of so many words.
+TRAIN_EVERY, GROUP_WORDS = 1, 2_000_000
+#: Rates of the first fit and of a group's, and the lanes that run side by side.
+SEED_RATE, SEED_LANES, RATE, LANES = 0.01, 64, 0.004, 512
 #: Words of documents that a task scores side by side, at least, if it has as many.
 SIDE_BY_SIDE = 2_500_000
 END = b""
@@ -80,13 +84,18 @@ class Vocabulary:
 
     def __init__(self, words: list[bytes], counts: np.ndarray, total: int, distinct: int, classes: np.ndarray):
         self.words, self.counts, self.total, self.distinct = words, counts, total, distinct
-        self.frequent = np.where(np.arange(len(words)) < lm.FREQUENT, np.arange(len(words)), -1).astype("int32")
-        self.tail = np.fromiter(map(tail_class, words), "int32", len(words))
+        tail = np.fromiter(map(tail_class, words), "int32", len(words))
         top = min(lm.FREQUENT, len(words))
-        inside = classes - np.bincount(self.tail[:top], counts[:top] + 1.0, lm.TAIL)
+        inside = classes - np.bincount(tail[:top], counts[:top] + 1.0, lm.TAIL)
         #: log10 of the smoothed total of each class of other words; one more for a word never seen.
         self.class_log = np.log10(np.maximum(inside, 0) + 1)
-        self.log_count = np.log10(counts + 1.0)
+        # By position; the last entry, which position -1 reads, is that of a word that isn't held.
+        self.log_count = np.r_[np.log10(counts + 1.0), 0]
+        #: The share of a held word in its class, where counts decide on it.
+        self.inner = np.r_[np.where(np.arange(len(words)) < top, 0, self.log_count[:-1] - self.class_log[tail]), 0]
+        self.once = np.r_[counts == 1, False]
+        #: What ``lm`` reads: the frequent word, or its class after all of these.
+        self.code = np.r_[np.arange(top), lm.FREQUENT + tail[top:], 0].astype("<u2")
         self.log_total = math.log10(total + distinct + 1)
 
     def start(self, seed: int = 1) -> dict[str, np.ndarray]:
@@ -138,54 +147,60 @@ def _class_sums(batches):
 _held: dict = {}
 
 
-def _here(sent) -> tuple[Vocabulary, dict, np.ndarray]:
+def _here(sent) -> tuple[Vocabulary, dict]:
     """The broadcast vocabulary with its index, built once a worker."""
     if _held.get("id") != sent.value[0]:
         _held.clear()
         _held.update(id=sent.value[0], index=sent.value[1].index())
-    return sent.value[1], _held["index"], sent.value[2]
+    return sent.value[1], _held["index"]
 
 
-def _encoded(v: Vocabulary, index: dict, words: list[bytes]):
-    """(positions in the vocabulary, frequent word or -1, class of other words)."""
+def _encoded(v: Vocabulary, index: dict, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(positions in the vocabulary, codes of two bytes, places of words that aren't held)."""
     at = np.fromiter(map(index.__getitem__, words), "int32", len(words))
-    word, tail = v.frequent[at], v.tail[at]
-    rare = np.flatnonzero(at < 0)
-    word[rare] = -1
-    tail[rare] = [tail_class(words[i]) for i in rare]
-    return at, word, tail
+    rare, codes = np.flatnonzero(at < 0), v.code[at]
+    codes[rare] = [lm.FREQUENT + tail_class(words[i]) for i in rare]
+    return at, codes, rare
 
 
-def _trained(weights: np.ndarray, docs: list, passes: int, rate: float) -> tuple[np.ndarray, int]:
+def _decoded(codes: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(frequent word or -1, class of other words), as ``lm`` reads them."""
+    c = np.frombuffer(codes, "<u2").astype("int32")
+    frequent = c < lm.FREQUENT
+    return np.where(frequent, c, -1), np.where(frequent, 0, c - lm.FREQUENT)
+
+
+def _trained(weights: np.ndarray, docs: list, passes: int, rate: float, width: int = SEED_LANES) -> tuple[np.ndarray, int]:
     """Weights after some passes over the documents, all alike, and the words of one pass."""
-    trainer = lm.Trainer(lm.unflat(weights), rate)
+    trainer = lm.Trainer(lm.unflat(weights), rate, width)
     for k in range(passes):
         trainer.rate = rate * (1 - 0.9 * k / passes)
         _, words = trainer.train(docs)
     return lm.flat(trainer.p), words
 
 
-def _training(sent, passes: int, rate: float):
+def _training(sent, passes: int, rate: float, width: int):
     """Train on each group of a task, rows sorted by group; yields (at, n, w): a stretch of the task's sum of
     the groups' weights, each counted as often as it has thousands of words, in whole numbers."""
 
     def run(batches):
-        v, index, weights = _here(sent)
+        common.hold()
+        weights = sent.value
         total, count = np.zeros(len(weights), "int64"), 0
 
         def add(docs):
-            w, words = _trained(weights, docs, passes, rate)
+            w, words = _trained(weights, docs, passes, rate, width)
             n = -(-words // 1000)
             return n * np.round(w.astype("float64") / GRAIN).astype("int64"), n
 
         docs, now = [], None
-        for b in common.pieces(batches, "text"):
-            for g, x in zip(b.column("part").to_pylist(), raw(b.column("text")), strict=True):
+        for b in common.pieces(batches, "codes"):
+            for g, x in zip(b.column("part").to_pylist(), raw(b.column("codes")), strict=True):
                 if g != now and docs:
                     w, n = add(docs)
                     total, count, docs = total + w, count + n, []
                 now = g
-                docs.append(_encoded(v, index, tokens_of(x))[1:])
+                docs.append(_decoded(x))
         if docs:
             w, n = add(docs)
             total, count = total + w, count + n
@@ -198,27 +213,27 @@ def _training(sent, passes: int, rate: float):
 
 
 def fitted(train_docs: DataFrame, v: Vocabulary) -> np.ndarray:
-    """The weights: a first fit on a bounded sample, then the mean of fits all over the corpus.
+    """The weights: the mean of fits that together read all of the encoded training documents, begun from a first fit.
 
     The driver gets one number for each weight of the model, whose size is fixed.
     """
     spark = train_docs.sparkSession
     # Rows that agree in hash and id are told apart by their text; the least hash goes first.
-    ranked = train_docs.select(F.xxhash64("id", F.lit(11)).alias("mark"), "id", F.xxhash64("text").alias("tie"), "text")
+    ranked = train_docs.select("mark", "id", "tie", "codes")
     order = ("part", "mark", "id", "tie")
 
-    def averaged(docs, start, passes, rate):
-        sent = spark.sparkContext.broadcast((object_id(), v, start))
-        sums = docs.mapInArrow(_training(sent, passes, rate), "at bigint, n bigint, w array<bigint>")
+    def averaged(docs, start, *how):
+        sent = spark.sparkContext.broadcast(start)
+        sums = docs.sortWithinPartitions(*order).select("part", "codes").mapInArrow(_training(sent, *how), "at bigint, n bigint, w array<bigint>")
         cells = sums.select("n", "at", F.posexplode("w").alias("k", "w")).groupBy((F.col("at") + F.col("k")).alias("k")).agg(F.sum("w").alias("w"), F.sum("n").alias("n"))
         got = cells.toPandas().sort_values("k")
         return (got["w"].to_numpy("float64") * GRAIN / got["n"].to_numpy("float64")) if len(got) else start
 
     sample = common.stored(ranked.orderBy("mark", "id", "tie").limit(SEED_DOCS).withColumn("part", F.lit(0)), "lm-seed")
-    first = averaged(sample.repartition(1).sortWithinPartitions(*order), lm.flat(v.start()), PASSES, 0.01)
+    first = averaged(sample.repartition(1), lm.flat(v.start()), PASSES, SEED_RATE, SEED_LANES)
     parts = max(1, round(v.total / TRAIN_EVERY / GROUP_WORDS))
-    dealt = ranked.where(F.pmod("mark", F.lit(TRAIN_EVERY)) == 0).withColumn("part", F.pmod(F.xxhash64("mark", "id"), F.lit(parts)))
-    return averaged(dealt.repartition(F.col("part")).sortWithinPartitions(*order), first, 1, 0.002)
+    dealt = ranked.where(F.pmod("mark", F.lit(TRAIN_EVERY)) == 0).withColumn("part", F.pmod(F.xxhash64("mark", "id", "tie"), F.lit(parts)))
+    return averaged(dealt.repartition(F.col("part")), first, 1, RATE, LANES)
 
 
 def object_id() -> str:
@@ -227,6 +242,36 @@ def object_id() -> str:
     return uuid.uuid4().hex
 
 
+def _with_codes(docs: DataFrame, v: Vocabulary) -> DataFrame:
+    """One row per row: a number, id, two hashes that order the rows, the sums over known words and the coded text.
+
+    ``inner`` is the part of the model's score that is the known words' share in their classes; ``rare`` has the
+    words whose counts must be looked up.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast((object_id(), v))
+
+    def run(batches):
+        number = TaskContext.get().partitionId() << 33
+        v, index = _here(sent)
+        for b in common.pieces(batches, "text"):
+            rows = []
+            for x in raw(b.column("text")):
+                words = tokens_of(x)
+                at, codes, rare = _encoded(v, index, words)
+                inner = v.inner[at].sum() - v.class_log[codes[rare] - lm.FREQUENT].sum()
+                rows.append((len(words), len(words) - len(rare), int(v.once[at].sum()), float(v.log_count[at].sum()), float(inner), codes.tobytes(), [words[i] for i in rare]))
+            cols = list(zip(*rows, strict=True))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.list_(pa.binary()))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(range(number, number + len(rows)), pa.int64()), b.column("id"), b.column("mark"), b.column("tie"), *map(pa.array, cols, kinds)],
+                ["rid", "id", "mark", "tie", "n_tokens", "known", "single", "base", "inner", "codes", "rare"],
+            )
+            number += len(rows)
+
+    kept = docs.select("id", F.xxhash64("id", F.lit(11)).alias("mark"), F.xxhash64("text").alias("tie"), "text")
+    return kept.mapInArrow(run, f"rid bigint, id {docs.schema['id'].dataType.simpleString()}, mark bigint, tie bigint, n_tokens bigint, known bigint, single bigint, base double, inner double, codes binary, rare array<binary>")
+
+
 def lm_scores(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row: id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10), n_single.
 
@@ -242,45 +287,31 @@ def lm_scores(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     spark = docs.sparkSession
     common.small_batches(spark)
     docs = docs.select(common.column(key).alias("id"), common.column(text).alias("text"))
-    train_docs = docs.where(common.id_bucket_column(F.col("id"), FOLDS) != HELD_OUT)
-    vocab = common.stored(word_counts(train_docs), "lm-words")
+    of_training = common.id_bucket_column(F.col("id"), FOLDS) != HELD_OUT
+    vocab = common.stored(word_counts(docs.where(of_training)), "lm-words")
     v = _vocabulary(vocab, KNOWN)
-    sent = spark.sparkContext.broadcast((object_id(), v, fitted(train_docs, v)))
+    encoded = common.stored(_with_codes(docs, v), "lm-codes")
+    sent = spark.sparkContext.broadcast(fitted(encoded.where(of_training), v))
 
     def run(batches):
-        number = TaskContext.get().partitionId() << 33
-        v, index, weights = _here(sent)
-        p = lm.unflat(weights)
-        held: list[tuple[pa.Array, list, list]] = []
+        common.hold()
+        p = lm.unflat(sent.value)
+        held: list[tuple[pa.RecordBatch, list]] = []
 
         def out():
             """Score what is held side by side: the longest document decides on the number of steps."""
-            nonlocal number
-            pairs = [x for _, _, part in held for x in part]
-            ln = lm.score(p, pairs) / math.log(10)
+            ln = lm.score(p, [x for _, part in held for x in part]) / math.log(10)
             at = 0
-            for ids, rows, part in held:
-                cols = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(range(number, number + len(ids)), pa.int64()), ids, pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3]), pa.array(np.asarray(cols[4]) + ln[at : at + len(part)]), pa.array(cols[5], pa.list_(pa.binary()))],
-                    ["rid", "id", "n_tokens", "known", "single", "base", "model", "rare"],
-                )
-                number, at = number + len(ids), at + len(part)
+            for rids, part in held:
+                yield pa.RecordBatch.from_arrays([rids, pa.array(ln[at : at + len(part)])], ["rid", "model"])
+                at += len(part)
             held.clear()
 
         size = 0
-        for b in common.pieces(batches, "text"):
-            rows, pairs = [], []
-            for x in raw(b.column("text")):
-                words = tokens_of(x)
-                pos, word, tail = _encoded(v, index, words)
-                known = pos >= 0
-                other = word < 0
-                rare = [words[i] for i in np.flatnonzero(~known)]
-                rows.append((len(words), int((v.counts[pos[known]] > 0).sum()), int((v.counts[pos[known]] == 1).sum()), float(v.log_count[pos[known]].sum()), float(v.log_count[pos[known & other]].sum() - v.class_log[tail[other]].sum()), rare))
-                pairs.append((word, tail))
-                size += len(words)
-            held.append((pa.array(b.column("id").to_pylist(), b.column("id").type), rows, pairs))  # a copy: the column would keep its batch
+        for b in common.pieces(batches, "codes"):
+            part = [_decoded(x) for x in raw(b.column("codes"))]
+            held.append((pa.array(b.column("rid").to_pylist(), pa.int64()), part))  # a copy: the column would keep its batch
+            size += sum(len(w) for w, _ in part)
             if size >= SIDE_BY_SIDE:
                 yield from out()
                 size = 0
@@ -288,16 +319,16 @@ def lm_scores(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
             yield from out()
         common.trim()
 
-    scored = common.stored(docs.mapInArrow(run, f"rid bigint, id {docs.schema['id'].dataType.simpleString()}, n_tokens bigint, known bigint, single bigint, base double, model double, rare array<binary>"), "lm-scored")
-    rest = scored.select("rid", F.explode("rare").alias("word")).join(vocab, "word").groupBy("rid").agg(F.count("*").alias("more"), F.count_if(F.col("n") == 1).alias("once"), F.sum(F.log10(F.col("n") + 1)).alias("logs"))
+    scored = common.stored(encoded.select("rid", "codes").mapInArrow(run, "rid bigint, model double"), "lm-scored")
+    rest = encoded.select("rid", F.explode("rare").alias("word")).join(vocab, "word").groupBy("rid").agg(F.count("*").alias("more"), F.count_if(F.col("n") == 1).alias("once"), F.sum(F.log10(F.col("n") + 1)).alias("logs"))
     more, once, logs = F.coalesce("more", F.lit(0)), F.coalesce("once", F.lit(0)), F.coalesce("logs", F.lit(0.0))
-    return scored.drop("rare").join(rest, "rid", "left").select(
+    return encoded.drop("rare", "codes").join(scored, "rid").join(rest, "rid", "left").select(
         "id",
         (common.id_bucket_column(F.col("id"), FOLDS) == HELD_OUT).alias("held_out"),
         "n_tokens",
         (F.col("known") + more).alias("n_known"),
         F.lit(v.total).cast("bigint").alias("train_tokens"),
         (F.col("base") + logs - F.col("n_tokens") * F.lit(v.log_total)).alias("base_score"),
-        (F.col("model") + logs).alias("score"),
+        (F.col("inner") + F.col("model") + logs).alias("score"),
         (F.col("single") + once).alias("n_single"),
     )

@@ -54,3 +54,13 @@ def test_training_learns_order():
     t = lm.Trainer(lm.fresh(1))
     losses = [x / n for x, n in (t.train(docs) for _ in range(6))]
     assert losses[-1] < 0.3 * losses[0]
+
+
+def test_long_documents_are_read_whole_beside_short_ones(monkeypatch):
+    seen, held = [], lm.gradient
+    monkeypatch.setattr(lm, "gradient", lambda p, *a: (seen.append((int(a[3].sum()), a[3].size)), held(p, *a))[1])
+    r = np.random.default_rng(4)
+    docs = [(np.full(n, 3, "int32"), np.zeros(n, "int32")) for n in (4000, 900, *r.integers(1, 60, 300))]
+    _, words = lm.Trainer(lm.fresh(1), lanes=64).train(docs)
+    assert words == sum(len(w) for w, _ in docs) == sum(n for n, _ in seen)
+    assert len(seen) < 20 and max(n for _, n in seen) <= 64 * lm.WINDOW

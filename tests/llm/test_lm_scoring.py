@@ -55,3 +55,13 @@ def test_every_word_of_the_sample_is_read_equally_often(spark, docs, monkeypatch
     part = [(np.zeros(5, "int32"), np.zeros(5, "int32"))] * 7
     lm_scoring._trained(lm_scoring.lm.flat(lm_scoring.lm.fresh(1)), part, 3, 0.01)
     assert seen == [35, 35, 35]
+
+
+def test_every_training_document_trains_the_model(spark, docs, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "SEED_DOCS", 1)
+    fits, held = [], lm_scoring.fitted
+    monkeypatch.setattr(lm_scoring, "fitted", lambda *a: (fits.append(held(*a)), fits[-1])[1])
+    ids = [i for i in range(40) if zlib.crc32(str(i).encode()) % 7 != 2]
+    for turned in (None, *ids[5:9]):  # the same words in another order: counts and vocabulary stay
+        lm_scoring.lm_scores(docs([(i, " ".join(["a b b c", "c b b a"][i == turned] for _ in range(20))) for i in ids]))
+    assert all((f != fits[0]).any() for f in fits[1:]) and len(fits) == 5
