@@ -9,6 +9,8 @@ window, the state goes on.  Scoring reads whole documents, carrying the state ac
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 
 FREQUENT = 2048
@@ -21,6 +23,8 @@ INPUTS = FREQUENT + TAIL + 1
 START = FREQUENT + TAIL
 HIDDEN = 16
 WINDOW = 16
+#: Words whose class logits are made at once: they stay in a core's cache.
+BLOCK = 2048
 
 
 def shapes(hidden: int = HIDDEN) -> dict[str, tuple[int, ...]]:
@@ -87,56 +91,83 @@ def run_states(tables, inputs: np.ndarray, h: np.ndarray, saved: dict | None = N
     return after
 
 
+def _rows(states: np.ndarray) -> np.ndarray:
+    """States (T, H, B) as rows (T * B, H + 1); the last column is for the biases."""
+    T, H, B = states.shape
+    out = np.ones((T, B, H + 1), states.dtype)
+    out[:, :, :H] = states.transpose(0, 2, 1)
+    return out.reshape(T * B, H + 1)
+
+
 class _Sorted:
     """Words in the order of their classes, so that each class is one product and all else runs over all words."""
 
     def __init__(self, p, states: np.ndarray, word: np.ndarray, tail: np.ndarray, rows: np.ndarray):
-        """states (H, n), of which the words at ``rows`` are read."""
-        H, kind = len(states), states.dtype
+        """states as of ``_rows``, of which those of the words at ``rows`` are read."""
+        kind = states.dtype
         cls = np.where(word >= 0, word // PER_CLASS, HEAD + tail).ravel()[rows].astype("uint8")
         by = np.argsort(cls, kind="stable")
         self.cls, self.order = cls[by], rows[by]
-        self.S = np.empty((H + 1, len(rows)), kind)  # the last row is for the biases
-        np.take(states, self.order, axis=1, out=self.S[:H], mode="clip")
-        self.S[H] = 1
+        self.S = states.take(self.order, axis=0, mode="clip")
         self.C = np.vstack([p["C"], p["c"] - p["c"].max()]).astype(kind)
         self.W = np.concatenate([p["W"], (p["w"] - p["w"].max(1, keepdims=True))[:, None]], 1).astype(kind)
         ends = np.searchsorted(self.cls, np.arange(HEAD + 1))
         self.inside = [(k, slice(i, j)) for k, (i, j) in enumerate(zip(ends[:-1], ends[1:], strict=True)) if j > i]
-        self.e, self.q = self.S.T @ self.C, np.empty((ends[-1], PER_CLASS), kind)
-        for k, s in self.inside:
-            np.matmul(self.S[:, s].T, self.W[k], out=self.q[s])
         self.at = word.ravel()[self.order[: ends[-1]]] % PER_CLASS
-
-    def log_probs(self) -> np.ndarray:
-        """Of each word in this order; logits become their exponentials, divided by nothing yet."""
-        out = self._log_softmax(self.e, self.cls)
-        out[: len(self.q)] += self._log_softmax(self.q, self.at)
-        return out
+        #: The states' largest entry bounds the logits, which are clipped only where they could be too large for exp.
+        reach = max(self.S.max(initial=0), -self.S.min(initial=0))
+        self.large = [bool(reach * np.abs(x).sum(-2).max() > 80) for x in (self.C, self.W)]
+
+    def log_probs(self, share: float | None = None):
+        """Of each word in this order. With a share also that share of the loss's gradient: of the states' rows, C and W."""
+        S, C, W = self.S, self.C, self.W
+        out = np.empty(len(S), S.dtype)
+        if share is not None:
+            d, dC, dW, back = np.empty_like(S), np.zeros_like(C), np.zeros_like(W), np.ascontiguousarray(C.T)
+        for a in range(0, len(S), BLOCK):
+            s = slice(a, a + BLOCK)
+            e = S[s] @ C
+            out[s] = self._log_softmax(e, self.cls[s], self.large[0], share)
+            if share is not None:
+                dC += S[s].T @ e
+                np.matmul(e, back, out=d[s])
+        q = np.empty((len(self.at), PER_CLASS), S.dtype)
+        for k, s in self.inside:
+            np.matmul(S[s], W[k], out=q[s])
+        out[: len(q)] += self._log_softmax(q, self.at, self.large[1], share)
+        if share is None:
+            return out
+        more, back = np.empty((len(q), S.shape[1]), S.dtype), np.ascontiguousarray(W.transpose(0, 2, 1))
+        for k, s in self.inside:
+            np.matmul(S[s].T, q[s], out=dW[k])
+            np.matmul(q[s], back[k], out=more[s])
+        d[: len(q)] += more
+        return out, d, dC, dW
 
     @staticmethod
-    def _log_softmax(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
-        got = logits[np.arange(len(at)), at]
-        np.clip(logits, -80, 80, out=logits)
+    def _log_softmax(logits: np.ndarray, at: np.ndarray, large: bool, share: float | None) -> np.ndarray:
+        """Log probabilities at the given columns; logits become their exponentials or, with a share, that share of the gradient."""
+        cells, place = logits.reshape(-1), np.arange(0, logits.size, logits.shape[1]) + at
+        got = cells.take(place, mode="clip")
+        if large:
+            np.clip(logits, -80, 80, out=logits)
         np.exp(logits, out=logits)
-        got -= np.log(logits @ np.ones(logits.shape[1], logits.dtype))
+        total = logits @ np.ones(logits.shape[1], logits.dtype)
+        got -= np.log(total)
+        if share is not None:
+            logits *= (share / total)[:, None]
+            cells[place] -= share
         return got
 
 
 def log_probs(p, states: np.ndarray, word: np.ndarray, tail: np.ndarray) -> np.ndarray:
     """Natural log probabilities. word: frequent word, or -1, whose class is given by tail."""
-    held = _Sorted(p, states.T, word, tail, np.arange(len(word)))
+    held = _Sorted(p, _rows(states.T[None]), word, tail, np.arange(len(word)))
     out = np.empty(len(word), states.dtype)
     out[held.order] = held.log_probs()
     return out
 
 
-def _to_gradient(exps: np.ndarray, at: np.ndarray, share: float) -> None:
-    """Turn exponentials of logits into ``share`` times the gradient of the loss at the given columns."""
-    exps *= (share / (exps @ np.ones(exps.shape[1], exps.dtype)))[:, None]
-    exps[np.arange(len(at)), at] -= share
-
-
 def gradient(p, inputs, word, tail, mask, h):
     """(gradients, loss sum, next state) of one window of shape (T, B), for the mean of the masked words."""
     H, (T, B) = h.shape[1], inputs.shape
@@ -144,22 +175,13 @@ def gradient(p, inputs, word, tail, mask, h):
     after = run_states(_tables(p), inputs, np.ascontiguousarray(h.T), x)
     kind, rows = after.dtype, np.flatnonzero(mask)
     g = {k: np.zeros_like(v) for k, v in p.items()}
-    held, share = _Sorted(p, after.transpose(1, 0, 2).reshape(H, T * B), word, tail, rows), 1 / max(1, len(rows))
-    S, C, W, e, q = held.S, held.C, held.W, held.e, held.q
-    loss = -held.log_probs().sum(dtype="float64")
-    _to_gradient(e, held.cls, share)
-    _to_gradient(q, held.at, share)
-    got = S @ e
-    g["C"], g["c"] = got[:H], got[H]
-    d = np.zeros((H, len(rows) + 1), kind)  # the last column is for words that aren't masked
-    np.matmul(C[:H], e.T, out=d[:, :-1])
-    for k, s in held.inside:
-        got = S[:, s] @ q[s]
-        g["W"][k], g["w"][k] = got[:H], got[H]
-        d[:, s] += W[k, :H] @ q[s].T
-    place = np.full(T * B, len(rows))
-    place[held.order] = np.arange(len(rows))
-    dS = np.ascontiguousarray(d.take(place, axis=1).reshape(H, T, B).transpose(1, 0, 2))
+    held = _Sorted(p, _rows(after), word, tail, rows)
+    got, of_states, of_C, of_W = held.log_probs(1 / max(1, len(rows)))
+    loss = -got.sum(dtype="float64")
+    g["C"], g["c"], g["W"], g["w"] = of_C[:H], of_C[H], of_W[:, :H], of_W[:, H]
+    d = np.zeros((T * B, H + 1), kind)  # words that aren't masked have none
+    d[held.order] = of_states
+    dS = np.ascontiguousarray(d.reshape(T, B, H + 1)[:, :, :H].transpose(0, 2, 1))
     a, before = x["a"], x["before"]
     z, r, n = a[:, :H], a[:, H : 2 * H], a[:, 2 * H :]
     dn = (1 - z) * (1 - n * n)
@@ -185,7 +207,7 @@ def gradient(p, inputs, word, tail, mask, h):
     by = np.argsort(ids, kind="stable")
     ids = ids[by]
     starts = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
-    g["E"][ids[starts]] = np.add.reduceat(da.take(by, axis=1), starts, axis=1).T
+    g["E"][ids[starts]] = np.add.reduceat(da.take(by, axis=1, mode="clip"), starts, axis=1).T
     g["b"] = g["E"].sum(0)
     return g, float(loss), after[-1].T
 
@@ -240,13 +262,13 @@ class Trainer:
 def lanes(docs, width: int):
     """Deal documents to lanes of about equal length: (inputs, word, tail, mask) of shape (T, B), and each document's (lane, start)."""
     width = max(1, min(width, len(docs)))
-    ends = np.zeros(width, "int64")
+    ends = [(0, k) for k in range(width)]  # a heap
     place = [(0, 0)] * len(docs)
     for i in sorted(range(len(docs)), key=lambda i: -len(docs[i][0])):
-        k = int(ends.argmin())
-        place[i] = k, int(ends[k])
-        ends[k] += len(docs[i][0])
-    T = int(ends.max())
+        a, k = ends[0]
+        place[i] = k, a
+        heapq.heapreplace(ends, (a + len(docs[i][0]), k))
+    T = max(ends)[0]
     inputs, word = np.full((T, width), START, "int32"), np.full((T, width), -1, "int32")
     tail, mask = np.zeros((T, width), "int32"), np.zeros((T, width), bool)
     for (w, t), (k, a) in zip(docs, place, strict=True):
@@ -282,7 +304,7 @@ def _score(p, docs, width: int, window: int) -> np.ndarray:
         m = mask[at]
         states = run_states(tables, inputs[at], h[:, live])
         h[:, live] = states[-1]
-        held = _Sorted(p, states.transpose(1, 0, 2).reshape(len(h), m.size), word[at], tail[at], np.flatnonzero(m))
+        held = _Sorted(p, _rows(states), word[at], tail[at], np.flatnonzero(m))
         got = np.zeros(m.size, "float32")
         got[held.order] = held.log_probs()
         lp[at] = got.reshape(m.shape)

@@ -22,6 +22,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -49,32 +50,45 @@ def tail_class(word: bytes) -> int:
     return zlib.crc32(word[-3:]) % lm.TAIL
 
 
-def tokens_of(text: bytes) -> list[bytes]:
-    return [*text.lower().split(), END]
+def tail_classes(words: pa.Array) -> np.ndarray:
+    """``tail_class`` of each word: few endings differ."""
+    ends = pc.binary_slice(words, -3).dictionary_encode()
+    return np.fromiter(map(tail_class, ends.dictionary.to_pylist()), "int32", len(ends.dictionary))[ends.indices.to_numpy()]
+
+
+def tokens_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """(tokens of all texts, where each text's begin and the last one's end); a null text is empty.
+
+    A text that gets a space at its end and loses those before it splits into its words and one empty word, the end.
+    """
+    texts = pc.fill_null(texts.cast(pa.large_string(), safe=False), "")
+    spaced = pc.binary_join_element_wise(texts, *pa.array(["", " "], pa.large_string()))
+    # Lower case after the copy: pyarrow 23 mixes up the texts of a slice that was cast.
+    split = pc.ascii_split_whitespace(pc.ascii_ltrim_whitespace(pc.ascii_lower(spaced)))
+    return split.flatten().cast(pa.large_binary()), np.r_[0, np.cumsum(pc.list_value_length(split).to_numpy())]
 
 
 def word_counts(docs: DataFrame, text: str = "text", flush: int = 400_000) -> DataFrame:
     """(word, n) over all rows; the end of a document is the empty word."""
 
     def run(batches):
-        from collections import Counter
+        held, size = [], 0
 
-        seen = Counter()
-
-        def out():
-            words = list(seen)
-            for k in range(0, len(words), 100_000):
-                part = words[k : k + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary()), pa.array([seen[w] for w in part], pa.int64())], ["word", "n"])
-            seen.clear()
+        def counted():
+            return pa.concat_tables(held).group_by("word", use_threads=False).aggregate([("n", "sum")]).rename_columns(["word", "n"])
 
         for b in common.pieces(batches, "text"):
-            for x in raw(b.column("text")):
-                seen.update(x.lower().split())
-                seen[END] += 1
-                if len(seen) > flush:
-                    yield from out()
-        yield from out()
+            got = pc.value_counts(tokens_of(b.column("text"))[0])
+            held.append(pa.table([got.field(0).cast(pa.binary()), got.field(1)], ["word", "n"]))
+            size += len(got)
+            if size > 2 * flush:
+                held = [counted()]
+                size = len(held[0])
+                if size > flush:
+                    yield from held[0].to_batches(100_000)
+                    held, size = [], 0
+        if held:
+            yield from counted().to_batches(100_000)
 
     return docs.select(common.column(text).alias("text")).mapInArrow(run, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -109,13 +123,8 @@ class Vocabulary:
         p["c"] = np.log(np.r_[share.sum(1), 10**self.class_log]).astype("float32")
         return p
 
-    def index(self) -> dict[bytes, int]:
-        return _Index(zip(self.words, range(len(self.words)), strict=True))
-
-
-class _Index(dict):
-    def __missing__(self, word):
-        return -1
+    def held(self) -> pa.Array:
+        return pa.array(self.words, pa.large_binary())
 
 
 def _vocabulary(vocab: DataFrame, known: int) -> Vocabulary:
@@ -127,8 +136,8 @@ def _vocabulary(vocab: DataFrame, known: int) -> Vocabulary:
             break
         held, least = held + r.words, r.bin
     got = vocab.where(bins >= least).toPandas() if least is not None else vocab.limit(0).toPandas()
-    words = [bytes(w) for w in got["word"]]
-    order = sorted(range(len(words)), key=lambda i: (-got["n"].iat[i], words[i]))
+    words, counts = [bytes(w) for w in got["word"]], got["n"].tolist()
+    order = sorted(range(len(words)), key=lambda i: (-counts[i], words[i]))
     per = vocab.mapInArrow(_class_sums, "cls int, n double").groupBy("cls").agg(F.sum("n").alias("n")).collect()
     classes = np.zeros(lm.TAIL)
     for r in per:
@@ -139,28 +148,28 @@ def _vocabulary(vocab: DataFrame, known: int) -> Vocabulary:
 def _class_sums(batches):
     total = np.zeros(lm.TAIL)
     for b in batches:
-        cls = np.fromiter(map(tail_class, b.column("word").to_pylist()), "int64", b.num_rows)
-        total += np.bincount(cls, b.column("n").to_numpy(zero_copy_only=False) + 1.0, lm.TAIL)
+        total += np.bincount(tail_classes(b.column("word")), b.column("n").to_numpy(zero_copy_only=False) + 1.0, lm.TAIL)
     yield pa.RecordBatch.from_arrays([pa.array(np.arange(lm.TAIL), pa.int32()), pa.array(total)], ["cls", "n"])
 
 
 _held: dict = {}
 
 
-def _here(sent) -> tuple[Vocabulary, dict]:
-    """The broadcast vocabulary with its index, built once a worker."""
+def _here(sent) -> tuple[Vocabulary, pa.Array]:
+    """The broadcast vocabulary with its words, made once a worker."""
     if _held.get("id") != sent.value[0]:
         _held.clear()
-        _held.update(id=sent.value[0], index=sent.value[1].index())
-    return sent.value[1], _held["index"]
+        _held.update(id=sent.value[0], words=sent.value[1].held())
+    return sent.value[1], _held["words"]
 
 
-def _encoded(v: Vocabulary, index: dict, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(positions in the vocabulary, codes of two bytes, places of words that aren't held)."""
-    at = np.fromiter(map(index.__getitem__, words), "int32", len(words))
+def _encoded(v: Vocabulary, held: pa.Array, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """(positions in the vocabulary, codes of two bytes, places of words that aren't held, these words)."""
+    at = pc.fill_null(pc.index_in(words, value_set=held), -1).to_numpy()
     rare, codes = np.flatnonzero(at < 0), v.code[at]
-    codes[rare] = [lm.FREQUENT + tail_class(words[i]) for i in rare]
-    return at, codes, rare
+    others = words.take(pa.array(rare))
+    codes[rare] = lm.FREQUENT + tail_classes(others)
+    return at, codes, rare, others
 
 
 def _decoded(codes: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -252,21 +261,23 @@ def _with_codes(docs: DataFrame, v: Vocabulary) -> DataFrame:
 
     def run(batches):
         number = TaskContext.get().partitionId() << 33
-        v, index = _here(sent)
+        v, held = _here(sent)
         for b in common.pieces(batches, "text"):
-            rows = []
-            for x in raw(b.column("text")):
-                words = tokens_of(x)
-                at, codes, rare = _encoded(v, index, words)
-                inner = v.inner[at].sum() - v.class_log[codes[rare] - lm.FREQUENT].sum()
-                rows.append((len(words), len(words) - len(rare), int(v.once[at].sum()), float(v.log_count[at].sum()), float(inner), codes.tobytes(), [words[i] for i in rare]))
-            cols = list(zip(*rows, strict=True))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.list_(pa.binary()))
+            words, ends = tokens_of(b.column("text"))
+            at, codes, rare, others = _encoded(v, held, words)
+            inner = v.inner[at]
+            inner[rare] = -v.class_log[codes[rare] - lm.FREQUENT]
+            known, single, base, inner = (np.add.reduceat(x, ends[:-1]) for x in ((at >= 0).astype("int64"), v.once[at].astype("int64"), v.log_count[at], inner))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(range(number, number + len(rows)), pa.int64()), b.column("id"), b.column("mark"), b.column("tie"), *map(pa.array, cols, kinds)],
+                [
+                    pa.array(range(number, number + b.num_rows), pa.int64()), b.column("id"), b.column("mark"), b.column("tie"),
+                    *map(pa.array, (np.diff(ends), known, single, base, inner)),
+                    pa.Array.from_buffers(pa.binary(), b.num_rows, [None, pa.py_buffer((2 * ends).astype("int32")), pa.py_buffer(codes)]),
+                    pa.ListArray.from_arrays(pa.array(np.searchsorted(rare, ends), pa.int32()), others.cast(pa.binary())),
+                ],
                 ["rid", "id", "mark", "tie", "n_tokens", "known", "single", "base", "inner", "codes", "rare"],
             )
-            number += len(rows)
+            number += b.num_rows
 
     kept = docs.select("id", F.xxhash64("id", F.lit(11)).alias("mark"), F.xxhash64("text").alias("tie"), "text")
     return kept.mapInArrow(run, f"rid bigint, id {docs.schema['id'].dataType.simpleString()}, mark bigint, tie bigint, n_tokens bigint, known bigint, single bigint, base double, inner double, codes binary, rare array<binary>")

@@ -64,3 +64,25 @@ def test_long_documents_are_read_whole_beside_short_ones(monkeypatch):
     _, words = lm.Trainer(lm.fresh(1), lanes=64).train(docs)
     assert words == sum(len(w) for w, _ in docs) == sum(n for n, _ in seen)
     assert len(seen) < 20 and max(n for _, n in seen) <= 64 * lm.WINDOW
+
+
+def test_logits_are_clipped_only_where_they_could_be_too_large(monkeypatch):
+    r, seen, held = np.random.default_rng(6), [], np.clip
+    p, docs = lm.fresh(1), some(r, 30)
+    monkeypatch.setattr(np, "clip", lambda *a, **k: (seen.append(1), held(*a, **k))[1])
+    small = lm.score(p, docs)
+    lm.Trainer(p).train(docs)
+    assert not seen and np.isfinite(small).all()
+    p["C"] *= 5000
+    p["W"] *= 5000
+    assert np.isfinite(lm.score(p, docs)).all() and seen
+    assert all(np.isfinite(x).all() for x in lm.gradient(p, *lm.lanes(docs, 4)[:4], np.zeros((4, lm.HIDDEN), "float32"))[0].values())
+
+
+def test_lanes_are_dealt_to_the_shortest_first():
+    docs = some(np.random.default_rng(7), 60)
+    place, ends = lm.lanes(docs, 7)[4], np.zeros(7, int)
+    for i in sorted(range(60), key=lambda i: -len(docs[i][0])):
+        k = ends.argmin()
+        assert place[i] == (k, ends[k])
+        ends[k] += len(docs[i][0])

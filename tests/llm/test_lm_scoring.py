@@ -65,3 +65,40 @@ def test_every_training_document_trains_the_model(spark, docs, monkeypatch):
     for turned in (None, *ids[5:9]):  # the same words in another order: counts and vocabulary stay
         lm_scoring.lm_scores(docs([(i, " ".join(["a b b c", "c b b a"][i == turned] for _ in range(20))) for i in ids]))
     assert all((f != fits[0]).any() for f in fits[1:]) and len(fits) == 5
+
+
+def test_tokens_of_odd_texts():
+    import pyarrow as pa
+
+    texts = [None, "", " ", "\x0bA b\t\r\n", "É \xa0é\x85 \u2003x", "".join(f"{chr(i)}x{chr(i)}{chr(i)}Y " for i in range(128)), "end"]
+    for some in (texts, texts[1:]):  # the second has no nulls at all
+        for kind in (pa.string(), pa.large_string(), pa.binary()):
+            column = pa.array([t.encode() if t and kind == pa.binary() else t for t in some], kind)
+            for k in range(len(some)):  # slices begin in the middle of their batch
+                words, ends = lm_scoring.tokens_of(column[k:])
+                got = words.to_pylist()
+                assert [got[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)] == [[*(t or "").encode().lower().split(), b""] for t in some[k:]]
+    broken = pa.array([b"A\xff b"], pa.binary())
+    assert lm_scoring.tokens_of(broken)[0].to_pylist() == [b"a\xff", b"b", b""]
+
+
+def test_an_ending_is_hashed_once_for_all_words_that_have_it(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    words = [f"{i}{end}".encode() for i in range(500) for end in ("ing", "ed ", "")] + [b"", b"a"]
+    want = np.zeros(lm_scoring.lm.TAIL)
+    for n, w in enumerate(words):
+        want[lm_scoring.tail_class(w)] += n + 1
+    seen, held = [], lm_scoring.tail_class
+    monkeypatch.setattr(lm_scoring, "tail_class", lambda w: (seen.append(w[-3:]), held(w))[1])
+    batch = pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(range(len(words)), pa.int64())], ["word", "n"])
+    (got,) = lm_scoring._class_sums([batch])
+    assert got.column("n").to_pylist() == want.tolist() and len(seen) == len(set(seen))
+
+
+def test_word_counts_of_many_flushes(spark, docs):
+    r = random.Random(17)
+    rows = [(i, " ".join(f"w{r.randint(0, 900)}" for _ in range(r.randint(0, 40)))) for i in range(300)]
+    got = {bytes(x.word): x.n for x in lm_scoring.word_counts(docs(rows).repartition(3), flush=50).collect()}
+    assert got == Counter(w for _, t in rows for w in [*t.encode().split(), b""])
