@@ -12,6 +12,7 @@ from __future__ import annotations
 import zlib
 from bisect import bisect_left, insort
 from collections import defaultdict
+from collections.abc import Iterator
 from itertools import accumulate
 
 import numpy as np
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .token_counts import raw, word_tokens
+from .token_counts import WordTokens, word_tokens
 
 CAPACITY = 2048
 END = 0
@@ -59,7 +60,15 @@ def best_fit(lengths: list[int], capacity: int = CAPACITY) -> list[list[int]]:
     return bins
 
 
-def cut(ids: bytes, capacity: int) -> list[tuple[int, int, int]]:
+def ended(tokens: WordTokens, texts: pa.Array) -> Iterator[memoryview]:
+    """The ids of each text, the end id being the last."""
+    ids, which, starts = tokens.of_column(texts, int(END).to_bytes(4, "little"))
+    _, offsets, data = pa.array(ids, pa.large_binary()).take(pa.array(which)).buffers()
+    at, data = np.frombuffer(offsets, "<i8")[starts].tolist(), memoryview(data)
+    return (data[a:b] for a, b in zip(at, at[1:], strict=False))
+
+
+def cut(ids: bytes | memoryview, capacity: int) -> list[tuple[int, int, int]]:
     """(start, length, crc32) of the pieces of a document's ids."""
     return [(a // 4, len(p) // 4, zlib.crc32(p)) for a in range(0, len(ids), 4 * capacity) for p in [ids[a : a + 4 * capacity]]]
 
@@ -95,7 +104,6 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", file: str = c
     docs = docs.select(common.column(key).alias("id"), common.column(text).alias("text"))
     kind = docs.schema["id"].dataType.simpleString()
     schema = f"bin bigint, fill bigint, pieces {PIECES.format(kind=kind)}"
-    end = int(END).to_bytes(4, "little")
 
     def local(batches):
         tokens, task = word_tokens(file), TaskContext.get().partitionId()
@@ -103,8 +111,8 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", file: str = c
         for b in common.pieces(batches, "text"):
             arrow = b.schema.field("id").type
             full = []
-            for k, (_, ids) in zip(b.column("id").to_pylist(), tokens.of_texts(raw(b.column("text"))), strict=True):
-                for i, (start, n, crc) in enumerate(cut(b"".join(ids) + end, capacity)):
+            for k, ids in zip(b.column("id").to_pylist(), ended(tokens, b.column("text")), strict=True):
+                for i, (start, n, crc) in enumerate(cut(ids, capacity)):
                     (full if n == capacity else items).append([(k, i, start, n, crc)])
             if full:
                 yield _bins(full, first, arrow)

@@ -9,6 +9,7 @@ stored, questions about truncation and budgets need no encoding of the text.
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_right
 from collections.abc import Callable, Iterator
 from functools import cache, cached_property
@@ -16,6 +17,7 @@ from itertools import accumulate, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,16 +26,30 @@ from . import common
 LIMIT = 2048
 #: Words remembered by one worker at most, and by one that idles between tasks.
 MEMORY, IDLE_MEMORY = 600_000, 200_000
-#: Marks that end a word and never share a token with letters or digits.
-MARKS = b".,;:!?"
+#: Marks of ASCII that may end a word: with one another they form one token or more, never with letters or digits.
+#: Not those of special strings, nor the apostrophe, which takes letters.
+MARKS = "!\"#$%&()*+,-./:;=?@[\\]^_`{}~"
+
+#: What keeps a text's capitals: special strings, and the marks that a small letter may join where its capital doesn't,
+#: for the vocabulary composes before it lowers (T and U+0308 stay two, t and U+0308 are one).
+CASED = "|".join(["<\\|", *"\u0307\u0308\u030a\u030c\u0331\u0344"])
+
+
+def spread(words: pa.Array) -> list[bytes]:
+    """The words, which have no spaces; faster than one by one."""
+    if not len(words):
+        return []
+    together = pa.LargeListArray.from_arrays(pa.array([0, len(words)], pa.int64()), words)
+    return pc.binary_join(together, pa.scalar(" ", words.type))[0].as_buffer().to_pybytes().split(b" ")
 
 
 class WordTokens:
     """The ids of the words of texts, each distinct word encoded once.
 
     A word is what stands between white space.  Full stops and the like that follow a letter or digit
-    form tokens of their own, so they are split off; what counts is the letter in lower case, as the
-    vocabulary sees it, for one capital (U+0130) turns into a letter and a mark that joins the full stop.
+    form tokens of their own, so they are split off, and what is remembered is words without them.  Whether
+    they do so after a character is asked of the library, once for each: the vocabulary sees composed text in
+    lower case, so some letters (U+0130, U+0958) turn into a letter and a mark that joins the full stop.
     Words of letters alone end in exactly one token that marks a word's end, so many of them are encoded
     in one call and told apart by that mark.
     """
@@ -48,6 +64,7 @@ class WordTokens:
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.ids: dict[bytes, bytes] = {}
+        self.apart: dict[str, bool] = {}
 
     def encode(self, word: bytes) -> bytes:
         return np.asarray(self.library.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
@@ -66,35 +83,27 @@ class WordTokens:
                 out += map(self.encode, part)
         return out
 
+    def stands_apart(self, last: str) -> bool:
+        """Whether marks that follow this character, or none, have tokens of their own: they end a word more then."""
+        if last not in self.apart:
+            before, after = (self.ends[np.frombuffer(self.encode(x.encode()), "<u4")].sum() for x in (last, last + "."))
+            self.apart[last] = bool(after > before)
+        return self.apart[last]
+
     def words(self, text: bytes) -> list[bytes]:
-        """The words, in lower case unless the text may hold special strings."""
-        return (text if b"<|" in text else text.lower()).split()
+        """The words, in lower case unless that may change their ids."""
+        return (text if re.search(CASED.encode(), text) else text.lower()).split()
 
-    def learn(self, lists: list[list[bytes]]) -> None:
-        """Make sure that ``ids`` has every word of the lists."""
-        new = {w for w in set().union(*lists) if w not in self.ids}  # a difference with the keys would visit all of them
+    def learn(self, words: list[bytes]) -> None:
+        """Make sure that ``ids`` has every one of the words."""
+        new = {w for w in words if w not in self.ids}
         if len(self.ids) + len(new) > MEMORY:
             self.forget(IDLE_MEMORY)
-            new = {w for w in set().union(*lists) if w not in self.ids}
-        known, tails, letters, other = self.ids, [], set(), set()
-        for w in new:
-            x = w.rstrip(MARKS)
-            if len(x) == len(w):
-                pass
-            elif x and (x[-1:].isalnum() or x[-1] > 127 and x.decode()[-1].lower()[-1].isalnum()):
-                tails.append((w, x, mark := w[len(x) :]))
-                if mark not in known:
-                    other.add(mark)
-            else:
-                x = w
-            if x not in known:  # bytes.isalpha holds for ASCII letters alone
-                (letters if x.isalpha() or not x.isascii() and x.decode().isalpha() else other).add(x)
-        found = list(letters)
-        known.update(zip(found, self.encode_letters(found), strict=True))
-        for x in other:
-            known[x] = self.encode(x)
-        for w, x, mark in tails:
-            known[w] = known[x] + known[mark]
+            new = {w for w in words if w not in self.ids}
+        letters = [w for w in new if w.isalpha() or not w.isascii() and w.decode().isalpha()]  # bytes.isalpha holds for ASCII letters alone
+        self.ids.update(zip(letters, self.encode_letters(letters), strict=True))
+        for w in new.difference(letters):
+            self.ids[w] = self.encode(w)
 
     def word_ids(self, word: bytes) -> bytes:
         got = self.ids.get(word)
@@ -103,6 +112,34 @@ class WordTokens:
     def word_count(self, word: bytes) -> int:
         return len(self.word_ids(word)) // 4
 
+    def of_column(self, texts: pa.Array, end: bytes = b"") -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """(ids of the distinct words, which of them each word is, where each text's words begin and the last one's end).
+
+        Every text ends with one empty word, whose ids are ``end``: it gets a space at its end and loses those
+        before it, and is split at white space.  A null text is empty.
+        """
+        texts = pc.fill_null(texts.cast(pa.large_string(), safe=False), "")
+        spaced = pc.ascii_ltrim_whitespace(pc.binary_join_element_wise(texts, *pa.array(["", " "], pa.large_string())))
+        # Lower case after the copy: pyarrow 23 mixes up the texts of a slice that was cast.
+        split = pc.ascii_split_whitespace(pc.if_else(pc.match_substring_regex(spaced, CASED), spaced, pc.ascii_lower(spaced)))
+        coded = split.flatten().dictionary_encode()
+        words = coded.dictionary
+        bare = pc.ascii_rtrim(words, MARKS)
+        marked = pc.not_equal(pc.binary_length(bare), pc.binary_length(words))
+        last = pc.utf8_slice_codeunits(bare.filter(marked), -1).dictionary_encode()
+        apart = marked.to_numpy(zero_copy_only=False).copy()
+        apart[apart] = np.fromiter(map(self.stands_apart, last.dictionary.to_pylist()), bool, len(last.dictionary))[last.indices.to_numpy()]
+        bare, at = pc.if_else(pa.array(apart), bare, words), np.flatnonzero(apart)
+        tails = [w[n:] for w, n in zip(spread(words.take(pa.array(at))), pc.binary_length(bare).to_numpy()[at].tolist(), strict=True)]
+        bare = spread(bare)
+        self.learn([*bare, *set(tails)])
+        ids = list(map(self.ids.__getitem__, bare))
+        for k, x in zip(at.tolist(), tails, strict=True):
+            ids[k] += self.ids[x]
+        if ids:
+            ids[pc.index(words, "").as_py()] = end
+        return ids, coded.indices.to_numpy(), np.r_[0, np.cumsum(pc.list_value_length(split).to_numpy())]
+
     def of_texts(self, texts: list[bytes], most: int = 4 << 20) -> Iterator[tuple[bytes, list[bytes]]]:
         """(text, ids of its words) for each text; a few MB of text are learned at a time."""
         at = 0
@@ -111,10 +148,10 @@ class WordTokens:
             while to < len(texts) and (to == at or size + len(texts[to]) <= most):
                 size += len(texts[to])
                 to += 1
-            lists = [self.words(x) for x in texts[at:to]]
-            self.learn(lists)
-            for x, words in zip(texts[at:to], lists, strict=True):
-                yield x, list(map(self.ids.__getitem__, words))
+            ids, which, starts = self.of_column(pa.array(texts[at:to], pa.large_binary()))
+            parts, starts = list(map(ids.__getitem__, which.tolist())), starts.tolist()
+            for x, a, b in zip(texts[at:to], starts, starts[1:], strict=False):
+                yield x, parts[a : b - 1]
             at = to
 
     def text_ids(self, text: bytes) -> bytes:

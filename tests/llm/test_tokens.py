@@ -41,6 +41,30 @@ def test_random_strings_match_the_library(monkeypatch, memory):
         assert np.frombuffer(b"".join(parts), "<u4").tolist() == ids(t), t
 
 
+def test_letters_that_composing_or_lower_case_changes(spark, docs):
+    rows = list(enumerate(x + m for x in ("\u0958", "a\u09dc", "\u0a36", "\u0f43", "\ufb2a", "\u0130", "T\u0308", "I\u0324\u0307", "J\u030c", "T\u0344", "e", "é", "5", "\xa0", "a\xa0", "日", "'", "it's", "a<", "<|endoftext|>", "") for m in (".", ",!", "$$$", ".&&&", '")', "-", "'.", "|>.", "")))
+    check_packing(rows, packing.pack(docs(rows)).collect())
+    got = {r.id: r.n_tokens for r in token_counts.token_counts(docs(rows)).collect()}
+    assert got == {i: len(ids(t)) for i, t in rows}
+
+
+def test_words_are_learned_without_the_marks_that_follow():
+    tokens = token_counts.WordTokens(common.tokenizer_path())
+    library, calls = tokens.library, []
+
+    class Counting:
+        def encode(self, text, **how):
+            calls.append(text)
+            return library.encode(text, **how)
+
+    tokens.library = Counting()
+    words = ["q" + a + b + c for a in "abcdefghij" for b in "abcdefghij" for c in "abcdefghij"]
+    text = " ".join(w + m for w in words for m in ("", ".", ",", "$$$", ".&&&", ')"'))
+    assert np.frombuffer(tokens.text_ids(text.encode()), "<u4").tolist() == ids(text)
+    assert len(calls) < 50
+    assert set(tokens.ids) == {w.encode() for w in words} | {b"", b".", b",", b"$$$", b".&&&", b')"'}
+
+
 def test_every_prefix_is_exact():
     tokens = token_counts.word_tokens(common.TOKENIZER_FILE)
     for t in texts(10):
