@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from math import gcd
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.halffloat import bf16
 from ..operators import quant, registry
 from ..operators import tensor as _tensor  # noqa: F401  registers the operators
-from ..operators.tensorframe import TensorFrame
+from ..operators.tensorframe import TensorFrame, cells
 from . import calibration, compare, verify
 from .catalogue import query
 
@@ -77,14 +79,26 @@ def tensor_binary_pair(spark, sf_dir):
     return out.select("row", "col", F.round("sub", 6).alias("sub"), F.round("mul", 6).alias("mul"), F.when(F.abs("div") == float("inf"), 0.0).otherwise(F.round(F.nanvl("div", F.lit(0.0)), 1)).alias("div"))
 
 
+def reflowed(t: TensorFrame, width: int) -> DataFrame:
+    """Cells of the tensor in rows of ``width``, the last of which may be short: blocks of rows that fill whole ones are reshaped, the few after them are placed cell by cell."""
+    whole = t.shape[0] - t.shape[0] % (width // gcd(width, t.inner))
+    head = TensorFrame(t.df.where(F.col("row") < whole), (whole, t.inner))
+    long = registry.apply("reshape", [head], {"shape": [-1, width]}).long()
+    if whole == t.shape[0]:
+        return long
+    lin = F.col("lin")
+    rest = cells(TensorFrame(t.df.where(F.col("row") >= whole), t.shape))
+    return long.unionByName(rest.select(F.floor(lin / width).cast("bigint").alias("row"), (lin % width).alias("col"), F.col("value").cast("double")))
+
+
 @query("q_tensor_reshape", cells_sql("v", row="r // 2", col="(r % 2) * 64 + c"))
 def tensor_reshape(spark, sf_dir):
-    return registry.apply("reshape", [embeddings(spark, sf_dir)], {"shape": [-1, 128]}).long()
+    return reflowed(embeddings(spark, sf_dir), 128)
 
 
 @query("q_tensor_reshape_uneven", cells_sql("v", row="(r * 64 + c) // 80", col="(r * 64 + c) % 80"))
 def tensor_reshape_uneven(spark, sf_dir):
-    return registry.apply("reshape", [embeddings(spark, sf_dir)], {"shape": [-1, 80]}).long()
+    return reflowed(embeddings(spark, sf_dir), 80)
 
 
 @query("q_tensor_squeeze_shape", cells_sql("v"))
