@@ -34,8 +34,8 @@ class TensorFrame:
         return self.shape[:-1]
 
     def map(self, f: Callable[[Column], Column]) -> TensorFrame:
-        """Apply ``f`` to every element; results are 32-bit floats."""
-        return TensorFrame(self.df.select("row", F.transform("values", lambda x: f(x).cast("float")).alias("values")), self.shape)
+        """Apply ``f`` to every element; results are 32-bit floats.  Columns beside ``values`` stay."""
+        return TensorFrame(self.df.withColumn("values", F.transform("values", lambda x: f(x).cast("float"))), self.shape)
 
     def long(self) -> DataFrame:
         """(row, col, value) with the value as a double."""

@@ -54,11 +54,17 @@ def tensor_neg_exp(spark, sf_dir):
     return cells.select("row", F.col("col").cast("bigint"), F.round(F.col("x.neg").cast("double"), 6).alias("neg"), F.round(F.col("x.exp").cast("double"), 5).alias("exp"))
 
 
+def logs(t: TensorFrame) -> DataFrame:
+    """(row, col, x, value): every cell and its logarithm to four places, rounded as SQL does: what is below zero may become -0."""
+    both = registry.apply("log", [TensorFrame(t.df.withColumn("x", F.col("values")), t.shape)]).df
+    v = F.col("c.values").cast("double")
+    return both.select("row", F.posexplode(F.arrays_zip("x", "values")).alias("col", "c")).select("row", F.col("col").cast("bigint"), "c.x", F.when(v < 0, -F.round(-v, 4)).otherwise(F.round(v, 4)).alias("value"))
+
+
 @query("q_tensor_log_guarded", cells_sql("CASE WHEN v > 0 THEN round(ln(v::DOUBLE)::FLOAT::DOUBLE, 4) WHEN v = 0 THEN -1e308 ELSE -1e307 END"))
 def tensor_log(spark, sf_dir):
-    long = registry.apply("log", [embeddings(spark, sf_dir)]).long()
-    v = F.col("value")
-    return long.select("row", "col", F.when(F.isnan(v), -1e307).when(v == float("-inf"), -1e308).otherwise(F.round(v, 4)).alias("value"))
+    x, v = F.col("x"), F.col("value")
+    return logs(embeddings(spark, sf_dir)).select("row", "col", F.when(F.isnan(x) | (x > 0), v).when(x == 0, -1e308).otherwise(-1e307).alias("value"))
 
 
 @query("q_tensor_add_scalar", cells_sql("round((v + (-1.0)::FLOAT)::FLOAT::DOUBLE, 6)"))
@@ -167,10 +173,10 @@ def tensor_v_heads(spark, sf_dir):
 @query("q_tensor_decay_parameter", cells_sql("CASE WHEN -v > 0 THEN round(ln((-v)::DOUBLE)::FLOAT::DOUBLE, 4) ELSE 0 END", multiple=16, row="(((r // 2) % (n // 4)) * 2 + (r // 2) // (n // 4)) * 2 + r % 2"))
 def tensor_decay(spark, sf_dir):
     t = embeddings(spark, sf_dir, 16)
-    for op, args in (("reorder_grouped_heads", {"axis": 0, "block": 2, "ratio": 2}), ("neg", {}), ("log", {})):
+    for op, args in (("reorder_grouped_heads", {"axis": 0, "block": 2, "ratio": 2}), ("neg", {})):
         t = registry.apply(op, [t], args)
-    v = F.col("value")
-    return t.long().select("row", "col", F.when(F.isnan(v) | (F.abs(v) == float("inf")), 0.0).otherwise(F.round(v, 4)).alias("value"))
+    x = F.col("x")
+    return logs(t).select("row", "col", F.when(F.isnan(x) | (x > 0), F.col("value")).otherwise(0.0).alias("value"))
 
 
 @query("q_tensor_bf16", cells_sql("CASE WHEN v = 0 THEN 0.0 ELSE round_even(v::DOUBLE / pow(2.0, floor(log2(abs(v::DOUBLE))) - 7), 0) * pow(2.0, floor(log2(abs(v::DOUBLE))) - 7) END"))

@@ -36,3 +36,9 @@ def vectors(n):
 @pytest.mark.parametrize("name", ["q_tensor_reshape", "q_tensor_reshape_uneven"])
 def test_rows_that_fill_no_whole_row(spark, tmp_path, name, n):
     agrees(spark, tmp_path, name, embeddings=vectors(n))
+
+
+@pytest.mark.parametrize("name", ["q_tensor_log_guarded", "q_tensor_decay_parameter"])
+def test_logarithms_of_odd_values(spark, tmp_path, name):
+    odd = "[NULL, 'nan', 'inf', '-inf', '0', '-0', '1e-45', '-1e-45', '0.99999', '1.00001', '-0.99999', '1', '-1', '3e38', '-3e38', '0.0106']::FLOAT[]"
+    agrees(spark, tmp_path, name, embeddings=f"SELECT i AS vec_id, CASE WHEN i = 30 THEN NULL ELSE list_transform(range(64), lambda k: CASE WHEN k < 16 THEN ({odd})[k + 1] ELSE sin(i * 64 + k)::FLOAT END) END AS embedding, 0 AS label FROM range(37) t(i)")
