@@ -1,22 +1,25 @@
 """Text functions for scoring model outputs, as Column expressions.
 
-Only Unicode compatibility normalisation needs Python (an Arrow-batched UDF): Spark has no function
-for it.  Everything else stays in the JVM, so it fuses with the scan and the aggregation around it.
+Unicode compatibility normalisation needs Python (an Arrow-batched UDF): Spark has no function for it.
+Repetition and the share of printable characters are found there too: as nested array functions and
+regular expressions they take several times the processor time.  Everything else stays in the JVM, so it
+fuses with the scan and the aggregation around it.
 """
 
 from __future__ import annotations
 
+import re
 import unicodedata
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .columns import let
-
 #: Unicode white space as Python sees it: Java's class and the four information separators.
 BLANK = r"(?U)[\s\x1c-\x1f]"
+BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 # What counts as a word, a number and the marks around thoughts and turns.
 WORDS = r"[0-9a-z]+|[\u4e00-\u9fff]+"
@@ -40,7 +43,7 @@ CHECK = "struct<type:string,patterns:array<string>,value:double,target:string,ma
 
 def strip(text: Column) -> Column:
     """The text without white space at both ends."""
-    return F.regexp_replace(text, rf"\A{BLANK}+|{BLANK}+\z", "")
+    return F.btrim(text, F.lit(BLANKS))
 
 
 def squeezed(text: Column) -> Column:
@@ -59,7 +62,8 @@ def after_thinking(raw: Column) -> Column:
 
 
 def extract_final(raw: Column) -> Column:
-    return strip(F.regexp_replace(after_thinking(raw), TURN_MARK, ""))
+    rest = after_thinking(raw)
+    return strip(F.when(F.contains(rest, F.lit("<|")), F.regexp_replace(rest, TURN_MARK, "")).otherwise(rest))
 
 
 @F.pandas_udf(T.StringType())
@@ -89,11 +93,17 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(WORDS), F.lit(0))
 
 
-def printable_ratio(text: Column) -> Column:
+def _printable(text: str) -> float:
+    body = "".join(text.split())
+    if body.isprintable() and "\ufffd" not in body:
+        return 1.0
+    return sum(n for c, n in Counter(body).items() if c.isprintable() and c != "\ufffd") / len(body)
+
+
+@F.pandas_udf(T.DoubleType())
+def printable_ratio(text: pd.Series) -> pd.Series:
     """Share of the non-space characters that can be printed; 1 without any."""
-    body = F.length(F.regexp_replace(text, BLANK, ""))
-    good = F.length(F.regexp_replace(text, r"(?U)[\p{C}\p{Z}\s\ufffd]", ""))
-    return F.when(body == 0, F.lit(1.0)).otherwise(good / F.greatest(body, F.lit(1)))
+    return pd.Series([None if x is None else _printable(x) for x in text], dtype="Float64")
 
 
 def printable_share_of_all(text: Column) -> Column:
@@ -102,39 +112,64 @@ def printable_share_of_all(text: Column) -> Column:
     return F.when(F.length(text) == 0, F.lit(0.0)).otherwise(good / F.greatest(F.length(text), F.lit(1)))
 
 
-def _tail_repeats(s: Column, most: int) -> Column:
-    """Whether the text ends with a block of 8 to ``most`` characters twice; only its end is looked at."""
-    same = lambda e, k: (F.length(e) >= 2 * k) & (F.right(e, k) == F.substring(e, F.length(e) - 2 * k + 1, k))
-    return let(F.right(s, F.lit(2 * most)), lambda e: F.exists(F.sequence(F.lit(8), F.lit(most)), lambda k: same(e, k)))
+def _tail_repeats(s: str, most: int) -> bool:
+    """Whether the text ends with a block of 8 to ``most`` characters twice."""
+    end = s[-2 * most :]
+    n = len(end)
+    return any(end[n - k :] == end[n - 2 * k : n - k] for k in range(8, min(most, n // 2) + 1))
 
 
-#: Runs up to this length are sorted out by their beginnings before any is searched for.
+#: Texts with a run longer than this look for each of their runs at once.
 LONG_RUN = 200
+#: So do texts with so little to search: characters of all runs, times different runs.
+SHORT_SEARCH = 20_000
 
 
-def _segment_repeats(s: Column) -> Column:
+def _segment_repeats(s: str) -> bool:
     """A run of ten characters or more without a space that the text holds five times.
 
-    A run can only stand inside another run.  Its first ten characters then occur five times among all
-    stretches of ten, which sorting finds; only runs that begin so are searched for.
+    A run can only stand inside another run, and as often as it fits there.  Its first ten characters then
+    occur five times among all stretches of ten, which are counted; only runs that begin so are searched for.
     """
-    times = lambda hay, x: (F.length(hay) - F.length(F.replace(hay, x, F.lit("")))) >= 5 * F.length(x)
-    stretches = lambda runs: F.array_sort(F.flatten(F.transform(runs, lambda r: F.transform(F.sequence(F.lit(1), F.length(r) - 9), lambda i: F.substring(r, i, F.lit(10))))))
-    often = lambda runs: let(stretches(runs), lambda g: F.array_distinct(F.filter(g, lambda x, i: x == F.get(g, i + 4))))
-    likely = lambda runs: F.when(F.exists(runs, lambda r: F.length(r) > LONG_RUN), F.array_distinct(runs)).otherwise(let(often(runs), lambda b: F.filter(F.array_distinct(runs), lambda r: F.array_contains(b, F.substring(r, 1, 10)))))
-    among = lambda runs: let(F.concat_ws(" ", runs), lambda hay: F.exists(likely(runs), lambda x: times(hay, x)))
-    return let(F.regexp_extract_all(s, F.lit(r"\S{10,}"), F.lit(0)), lambda runs: (F.size(runs) > 0) & among(runs))
+    runs = [x for x in s.split(" ") if len(x) >= 10]
+    if sum(len(x) // 10 for x in runs) < 5:
+        return False
+    hay, likely = " ".join(runs), set(runs)
+    if len(likely) * len(hay) > SHORT_SEARCH and max(map(len, likely)) <= LONG_RUN:
+        stretches = Counter(x[i : i + 10] for x in runs for i in range(len(x) - 9))
+        likely = {x for x in likely if stretches[x[:10]] >= 5}
+    return any(hay.count(x) >= 5 for x in likely)
 
 
-def repetition_flags(text: Column) -> Column:
-    """A struct (loops, repeats): ``is_repetition_loop`` and ``is_repetition`` of one text, whose common parts are computed once."""
-    four = lambda last: (F.size(last) >= 4) & (F.size(F.array_distinct(F.slice(last, F.greatest(F.size(last) - 3, F.lit(1)), F.lit(4)))) == 1)
+ONE_CHARACTER = re.compile(r"(.)\1{29}", re.DOTALL)
+
+
+def _one_character(s: str) -> bool:
+    """Thirty times the same character: they fill one of the blocks of 15 that the text is cut into."""
+    return any(s[p] == s[p + 14] and s[p : p + 15] == s[p] * 15 for p in range(0, len(s) - 14, 15)) and ONE_CHARACTER.search(s) is not None
 
-    def flags(s, segment):
-        loops = (F.length(s) >= 64) & (segment | _tail_repeats(s, 64) | let(lines(text), four) | s.rlike(r"(.)\1{29,}"))
-        return F.struct(loops.alias("loops"), ((F.length(s) >= 48) & (segment | _tail_repeats(s, 48))).alias("repeats"))
 
-    return let(squeezed(text), lambda s: let((F.length(s) >= 48) & _segment_repeats(s), lambda segment: flags(s, segment)))
+def _four_lines(text: str) -> bool:
+    """Whether the last four lines with something in them are the same."""
+    last = [y for x in text.strip().splitlines() if (y := x.strip())][-4:]
+    return len(last) == 4 and last.count(last[0]) == 4
+
+
+def _repetition(text: str | None) -> tuple[bool | None, bool | None]:
+    if text is None:
+        return None, None
+    s = " ".join(text.split())
+    if len(s) < 48:
+        return False, False
+    segment = _segment_repeats(s)
+    loops = len(s) >= 64 and (segment or _tail_repeats(s, 64) or _four_lines(text) or _one_character(s))
+    return loops, segment or _tail_repeats(s, 48)
+
+
+@F.pandas_udf(T.StructType([T.StructField("loops", T.BooleanType()), T.StructField("repeats", T.BooleanType())]))
+def repetition_flags(text: pd.Series) -> pd.DataFrame:
+    """A struct (loops, repeats): ``is_repetition_loop`` and ``is_repetition`` of one text, whose common parts are computed once."""
+    return pd.DataFrame([_repetition(x) for x in text], columns=["loops", "repeats"], dtype=object)
 
 
 def is_repetition_loop(text: Column) -> Column:
@@ -144,7 +179,7 @@ def is_repetition_loop(text: Column) -> Column:
 
 def is_repetition(text: Column) -> Column:
     """The same for answers to multiple-choice questions, by tail and segment alone."""
-    return let(squeezed(text), lambda s: (F.length(s) >= 48) & (_tail_repeats(s, 48) | _segment_repeats(s)))
+    return repetition_flags(text)["repeats"]
 
 
 def _found(text: Column, pattern: str) -> Column:
@@ -171,12 +206,11 @@ def _flags(*pairs: tuple[str, Column]) -> Column:
 def detect_anomalies(raw: Column, final: Column, truncated: Column) -> Column:
     """The anomalies of one output, in a fixed order; null counts as empty and not truncated."""
     raw, final = F.coalesce(raw, F.lit("")), F.coalesce(final, F.lit(""))
-    some = final != ""
     return _flags(
         ("empty_output", (strip(raw) == "") | (strip(final) == "")),
-        ("garbled", some & (printable_ratio(final) < LEAST_PRINTABLE)),
-        ("repetition_loop", some & is_repetition_loop(final)),
-        ("replacement_chars", count_of(raw, "\ufffd") >= 3),
+        ("garbled", printable_ratio(final) < LEAST_PRINTABLE),
+        ("repetition_loop", is_repetition_loop(final)),
+        ("replacement_chars", F.length(raw) - F.length(F.replace(raw, F.lit("\ufffd"), F.lit(""))) >= 3),
         ("control_chars", count_of(raw, r"[\x00-\x08\x0b\x0c\x0e-\x1f]") >= 3),
         ("truncated", F.coalesce(truncated, F.lit(False))),
     )
